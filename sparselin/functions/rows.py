@@ -31,12 +31,13 @@ def inline_dot(indices: Column, values: Column, weights: Sequence[float]) -> Col
 
 def densify(indices: Column, values: Column, n_features: Column | int) -> Column:
     """The example as a dense array. For looking at rows, not for computing with them."""
-    width = n_features if isinstance(n_features, Column) else F.lit(n_features)
-    lookup = F.map_from_arrays(indices, values)
-    return F.transform(
-        F.sequence(F.lit(0).cast("bigint"), width.cast("bigint") - 1),
-        lambda j: F.coalesce(F.try_element_at(lookup, j), F.lit(0.0)),
+    width = (n_features if isinstance(n_features, Column) else F.lit(n_features)).cast("bigint")
+    cells = F.transform(
+        F.sequence(F.lit(0).cast("bigint"), width - 1),
+        lambda j: F.coalesce(F.get(values, F.array_position(indices, j).cast("int") - 1), F.lit(0.0)),
     )
+    # Naming the arrays outside the lambda as well keeps Spark from evaluating what produces them per cell.
+    return F.when(F.size(indices) == F.size(values), cells)
 
 
 def decide(margin: Column, threshold: Column | float = 0.0) -> Column:

@@ -21,26 +21,31 @@ STRICT_LABEL = r"-?(?:\d+\.?\d*|\.\d+)"
 
 def readable(value: Column) -> Column:
     """Drop bytes that are not UTF-8, keep everything else."""
-    repaired = F.replace(F.make_valid_utf8(value), F.lit("�"), F.lit(""))
-    return F.when(F.is_valid_utf8(value), value).otherwise(repaired)
+    return F.coalesce(
+        F.try_validate_utf8(value), F.replace(F.make_valid_utf8(value), F.lit("\ufffd"), F.lit("")))
 
 
 def strip(value: Column) -> Column:
     return F.regexp_replace(value, f"^{SPACE}+|{SPACE}+$", "")
 
 
+def strip_comment(value: Column) -> Column:
+    return strip(F.substring_index(value, "#", 1))
+
+
 def is_data_line(value: Column) -> Column:
-    """Neither blank nor a comment line."""
-    body = strip(value)
-    return (body != "") & ~body.startswith("#")
+    """Neither blank nor a comment line: it starts, after spaces, with something else than ``#``."""
+    return value.rlike(f"^{SPACE}*(?!{SPACE})[^#]")
 
 
-def strip_comment(value: Column) -> Column:
-    return strip(F.regexp_replace(value, "(?s)#.*$", ""))
+def has_strict_label(value: Column) -> Column:
+    """The line starts with a plain number."""
+    return value.rlike(f"^{SPACE}*{STRICT_LABEL}(?:{SPACE}|#|$)")
 
 
-def tokens(body: Column) -> Column:
-    return F.split(body, f"{SPACE}+")
+def tokens(line: Column) -> Column:
+    """What stands before a comment, split at spaces."""
+    return F.array_remove(F.split(F.substring_index(line, "#", 1), f"{SPACE}+"), "")
 
 
 def number(token: Column) -> Column:

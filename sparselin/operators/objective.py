@@ -20,6 +20,9 @@ from sparselin.operators import kernels
 from sparselin.operators.matvec import products, to_coo
 from sparselin.session import MAX_BROADCAST_FEATURES, map_in_arrow
 
+# Fixed value: the id a scalar travels under, below all feature ids.
+LOSS_ID = -1
+
 # ---------------------------------------------------------------- coo strategy
 
 
@@ -57,19 +60,35 @@ def gradient(rows: DataFrame, weights: DataFrame, loss: Loss | str, C: float, wi
     return _plus_vector(weights, "w", _back_to_features(rows, per_row), C, "g")
 
 
-def hessian_vector(rows: DataFrame, vectors: DataFrame, loss: Loss | str, C: float, width: int | None = None, **kw) -> DataFrame:
-    """``(j, h)`` for a table ``(j, w, s)``: x·w and x·s come from the same join."""
+def loss_and_slope(rows: DataFrame, weights: DataFrame, loss: Loss | str, width: int | None = None, **kw) -> DataFrame:
+    """``(j, z)``: Xᵀ residual, and Σ loss under the id ``LOSS_ID``, from one evaluation of the margins."""
+    loss = _loss(loss)
+    m = products(rows, weights.select("j", "w"), ["w"], width, **kw)
+    y, x = F.col("label"), F.col("x_w")
+    per_row = m.select("row_id", loss.value(x, y).alias("loss"), loss.residual(x, y).alias("r"))
+    located = rows.select("row_id", "indices", "values").join(per_row, "row_id")
+    pairs = F.concat(
+        F.array(F.struct(F.lit(LOSS_ID).cast("bigint").alias("j"), F.col("loss").alias("v"))),
+        F.zip_with("indices", "values", lambda j, v: F.struct(j.alias("j"), (v * F.col("r")).alias("v"))),
+    )
+    return located.select(F.inline(pairs).alias("j", "v")).groupBy("j").agg(F.sum("v").alias("z"))
+
+
+def curvature_product(rows: DataFrame, vectors: DataFrame, loss: Loss | str, width: int | None = None, **kw) -> DataFrame:
+    """``(j, z)``: Xᵀ D X s for a table ``(j, w, s)``; x·w and x·s come from the same join."""
     loss = _loss(loss)
     m = products(rows, vectors.select("j", "w", "s"), ["w", "s"], width, **kw)
-    per_row = m.select(
-        "row_id", (loss.curvature(F.col("x_w"), F.col("label")) * F.col("x_s")).alias("r"))
-    return _plus_vector(vectors, "s", _back_to_features(rows, per_row), C, "h")
+    bent = loss.curvature(F.col("x_w"), F.col("label")) * F.col("x_s")
+    return _back_to_features(rows, m.select("row_id", bent.alias("r")))
+
+
+def hessian_vector(rows: DataFrame, vectors: DataFrame, loss: Loss | str, C: float, width: int | None = None, **kw) -> DataFrame:
+    """``(j, h)`` for a table ``(j, w, s)``."""
+    return _plus_vector(vectors, "s", curvature_product(rows, vectors, loss, width, **kw), C, "h")
 
 
 # ---------------------------------------------------------- partition strategy
 
-# Fixed value: the id a scalar travels under, below all feature ids.
-LOSS_ID = -1
 # Fixed value: partial sums added on the driver at most, 16 MiB of ids and numbers.
 MAX_DRIVER_SUMS = 1 << 20
 

@@ -189,7 +189,7 @@ def sweep_sql() -> str:
     parts = []
     for solver in ("lr", "l2svm"):
         for C in (0.1, 1.0):
-            tag = f"{solver}_C{C:g}_eps1e-09_bias-1_rep1"
+            tag = f"{solver}_C{C:g}_eps1e-07_bias-1_rep1"
             parts.append(f"""select * from (with recursive {_descent(solver, STEPS[solver], C)}, {_model_scores(C)},
 cuts as (select t.m as cut, avg(case when (f.m >= t.m) = (f.y > 0) then 1.0::double else 0.0 end) as score
   from final f, final t group by 1),

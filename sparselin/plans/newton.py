@@ -48,9 +48,9 @@ class NewtonResult:
     history: list[dict] = field(default_factory=list)
 
 
-def _to_border(space, p, d, delta: float) -> float:
+def _to_border(problem, p, d, delta: float) -> float:
     """The step along ``d`` from inside the ball that ends on its border."""
-    dd, pd, pp = space.dot(d, d), space.dot(p, d), space.dot(p, p)
+    dd, pd, pp = problem.dot(d, d), problem.dot(p, d), problem.dot(p, p)
     if dd == 0:
         return 0.0
     return (math.sqrt(max(0.0, pd * pd + dd * (delta * delta - pp))) - pd) / dd
@@ -63,7 +63,7 @@ def newton_step(problem, w, g, delta: float, tol: float):
     iterations.
     """
     p = problem.zeros()
-    r = problem.combine(p, -1.0, g)
+    r = problem.combine(p, -1.0, g, "residual")
     d, rr = r, problem.dot(r, r)
     steps, norm = 0, 0.0
     while rr > 0:
@@ -71,19 +71,19 @@ def newton_step(problem, w, g, delta: float, tol: float):
         z = problem.hessian_vector(w, d)
         bend = problem.dot(d, z)
         alpha = rr / bend if bend > 0 else 1.0
-        beyond = problem.combine(p, alpha, d)
+        beyond = problem.combine(p, alpha, d, "step")
         norm = math.sqrt(problem.dot(beyond, beyond))
         if norm > delta:
             alpha = _to_border(problem, p, d, delta)
-            p = problem.combine(p, alpha, d)
-            r = problem.combine(r, -alpha, z)
+            p = problem.combine(p, alpha, d, "step")
+            r = problem.combine(r, -alpha, z, "residual")
             norm = math.sqrt(problem.dot(p, p))
             break
-        p, r = beyond, problem.combine(r, -alpha, z)
+        p, r = beyond, problem.combine(r, -alpha, z, "residual")
         rr_before, rr = rr, problem.dot(r, r)
         if math.sqrt(rr) <= tol:
             break
-        d = problem.combine(r, rr / rr_before, d)
+        d = problem.combine(r, rr / rr_before, d, "direction")
     # r = -g - Hp, hence -(g·p + p·Hp / 2) = (r·p - g·p) / 2.
     predicted = 0.5 * (problem.dot(r, p) - problem.dot(g, p))
     return p, norm, predicted, steps
@@ -101,6 +101,7 @@ def minimize(
     start = time.time()
     w = problem.zeros() if w0 is None else w0
     f, g = problem.value_and_gradient(w)
+    problem.hold("weights", "gradient")
     norm0 = math.sqrt(problem.dot(g, g))
     delta = max(1.0, norm0) if o.delta_init is None else o.delta_init
     if o.delta_max is not None:
@@ -117,7 +118,7 @@ def minimize(
             state.reason = "p ~ 0"
             return state
 
-        candidate = problem.combine(state.w, 1.0, p)
+        candidate = problem.combine(state.w, 1.0, p, "weights")
         f_new, g_new = problem.value_and_gradient(candidate)
         gained = state.f - f_new
         ratio = gained / predicted if predicted > 0 else -math.inf
@@ -130,6 +131,7 @@ def minimize(
         accepted = ratio > ACCEPT_RATIO and gained > 0
         if accepted:
             state.w, state.f, g = candidate, f_new, g_new
+            problem.hold("weights", "gradient")
             state.g_norm = math.sqrt(problem.dot(g, g))
         state.iters += 1
         row = {

@@ -7,14 +7,16 @@ model of any width can be fitted without collecting it.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sparselin.functions.losses import Loss
 from sparselin.operators import objective as obj
-from sparselin.operators.matvec import hot_features, products, to_coo
+from sparselin.operators.matvec import hot_features, to_coo
 from sparselin.session import MAX_BROADCAST_ROWS, RotatingTable
 from sparselin.sources import weights as W
 
@@ -31,13 +33,16 @@ class _Dense:
     def dot(self, a, b) -> float:
         return float(a @ b)
 
-    def combine(self, a, scale: float, b):
-        """a + scale * b."""
+    def combine(self, a, scale: float, b, kind: str):
+        """a + scale * b; ``kind`` says which of the solver's vectors this is a version of."""
         return a + scale * b
 
     def largest(self, a) -> float:
         return float(np.max(np.abs(a), initial=0.0))
 
+    def hold(self, *kinds: str) -> None:
+        """The last vectors of these kinds stay in use until the next call."""
+
 
 class DenseProblem(_Dense):
     """One objective over packed examples; every method is one Spark job."""
@@ -57,35 +62,30 @@ class DenseProblem(_Dense):
         return W.from_array(spark, w)
 
 
-class CooProblem(_Dense):
-    """The same objective by joins and aggregations, with driver vectors.
+def _keyed(rows: DataFrame, partitions: int | None) -> DataFrame:
+    """The rows hash-partitioned by ``row_id`` and persisted.
 
-    The rows are hash-partitioned by ``row_id`` once and persisted, so the
-    per-row sums and the way back to the rows need no further exchange of rows.
+    Per-row sums and the way back to the rows then need no exchange of rows.
+    Without a partition count AQE sizes the partitions.
     """
+    keyed = rows.repartition(partitions, "row_id") if partitions else rows.repartition("row_id")
+    return keyed.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+class CooProblem(_Dense):
+    """The same objective by joins and aggregations, with driver vectors."""
 
     def __init__(self, rows: DataFrame, n_features: int, loss: Loss, C: float, partitions: int | None = None):
         super().__init__(n_features)
         self.spark = rows.sparkSession
-        count = partitions or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        self.rows = rows.repartition(count, "row_id").persist(StorageLevel.MEMORY_AND_DISK)
+        self.rows = _keyed(rows, partitions)
         self.loss, self.C = loss, float(C)
 
     def close(self) -> None:
         self.rows.unpersist()
 
     def value_and_gradient(self, w):
-        weights = W.from_array(self.spark, w)
-        m = products(self.rows, weights, ["w"], self.n_features)
-        y, x = F.col("label"), F.col("x_w")
-        per_row = m.select("row_id", self.loss.value(x, y).alias("loss"), self.loss.residual(x, y).alias("r"))
-        located = self.rows.select("row_id", "indices", "values").join(per_row, "row_id")
-        # The loss of a row is an entry of its own, under an id below all features.
-        pairs = F.concat(
-            F.array(F.struct(F.lit(obj.LOSS_ID).cast("bigint").alias("j"), F.col("loss").alias("v"))),
-            F.zip_with("indices", "values", lambda j, v: F.struct(j.alias("j"), (v * F.col("r")).alias("v"))),
-        )
-        sums = located.select(F.inline(pairs).alias("j", "v")).groupBy("j").agg(F.sum("v").alias("z")).toArrow()
+        sums = obj.loss_and_slope(self.rows, W.from_array(self.spark, w), self.loss, self.n_features).toArrow()
         j, z = sums["j"].to_numpy(), sums["z"].to_numpy()
         slope = np.zeros(self.n_features)
         slope[j[j >= 0]] = z[j >= 0]
@@ -93,16 +93,25 @@ class CooProblem(_Dense):
         return 0.5 * float(w @ w) + self.C * total, w + self.C * slope
 
     def hessian_vector(self, w, s):
-        vectors = W.from_array(self.spark, w).join(W.from_array(self.spark, s).withColumnRenamed("w", "s"), "j")
-        h = obj.hessian_vector(self.rows, vectors, self.loss, self.C, self.n_features)
-        return W.to_array(h, self.n_features, "h")
+        vectors = W.from_arrays(self.spark, w=w, s=s)
+        z = obj.curvature_product(self.rows, vectors, self.loss, self.n_features)
+        return s + self.C * W.to_array(z, self.n_features, "z")
 
     def to_table(self, w, spark) -> DataFrame:
         return W.from_array(spark, w)
 
 
+@dataclass
+class TableVector:
+    """A written vector ``(j, x)`` with the figures observed while writing it; an absent feature is 0."""
+
+    df: DataFrame
+    square: float = 0.0
+    largest: float = 0.0
+
+
 class TableProblem:
-    """The same objective with vectors as tables ``(j, x)``; an absent feature is 0."""
+    """The same objective with vectors as tables, for any number of features."""
 
     def __init__(
         self,
@@ -115,50 +124,67 @@ class TableProblem:
     ):
         self.spark = rows.sparkSession
         self.n_features = n_features
-        count = partitions or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        self.rows = rows.repartition(count, "row_id").persist(StorageLevel.MEMORY_AND_DISK)
+        self.rows = _keyed(rows, partitions)
         self.loss, self.C, self.max_broadcast = loss, float(C), max_broadcast
         self.hot = hot_features(to_coo(self.rows)) if n_features > max_broadcast else []
-        # A vector lives until later ones of its kind have replaced it; the solver
-        # holds at most the current and the candidate of each.
-        self._gradients = RotatingTable(self.spark, "gradient")
-        self._products = RotatingTable(self.spark, "product")
-        self._combined = RotatingTable(self.spark, "vector", slots=12)
+        # Of each kind of vector the solver needs the last version, and of some a held one.
+        self._tables: dict[str, RotatingTable] = {}
 
     def close(self) -> None:
         self.rows.unpersist()
 
+    def _rotating(self, kind: str) -> RotatingTable:
+        if kind not in self._tables:
+            self._tables[kind] = RotatingTable(self.spark, kind)
+        return self._tables[kind]
+
+    def _keep(self, kind: str, df: DataFrame) -> TableVector:
+        seen = Observation()
+        x = F.col("x")
+        watched = df.observe(
+            seen, F.coalesce(F.sum(x * x), F.lit(0.0)).alias("square"),
+            F.coalesce(F.max(F.abs(x)), F.lit(0.0)).alias("largest"))
+        written = self._rotating(kind).write(watched)
+        return TableVector(written, **seen.get)
+
+    def hold(self, *kinds: str) -> None:
+        for kind in kinds:
+            if kind in self._tables:
+                self._tables[kind].hold()
+
     def _lookup(self) -> dict:
         return {"width": self.n_features, "hot": self.hot, "max_broadcast": self.max_broadcast}
 
-    def zeros(self) -> DataFrame:
-        return self.spark.createDataFrame([], "j bigint, x double")
+    def zeros(self) -> TableVector:
+        return TableVector(self.spark.createDataFrame([], "j bigint, x double"))
 
-    def dot(self, a: DataFrame, b: DataFrame) -> float:
+    def dot(self, a: TableVector, b: TableVector) -> float:
         if a is b:
-            return a.agg(F.coalesce(F.sum(F.col("x") * F.col("x")), F.lit(0.0))).first()[0]
-        both = a.join(b.withColumnRenamed("x", "x2"), "j")
+            return a.square
+        both = a.df.join(b.df.withColumnRenamed("x", "x2"), "j")
         return both.agg(F.coalesce(F.sum(F.col("x") * F.col("x2")), F.lit(0.0))).first()[0]
 
-    def combine(self, a: DataFrame, scale: float, b: DataFrame) -> DataFrame:
-        both = a.join(b.withColumnRenamed("x", "x2"), "j", "full_outer")
+    def combine(self, a: TableVector, scale: float, b: TableVector, kind: str) -> TableVector:
+        both = a.df.join(b.df.withColumnRenamed("x", "x2"), "j", "full_outer")
         total = F.coalesce("x", F.lit(0.0)) + scale * F.coalesce("x2", F.lit(0.0))
-        return self._combined.write(both.select("j", total.alias("x")))
+        return self._keep(kind, both.select("j", total.alias("x")))
 
-    def largest(self, a: DataFrame) -> float:
-        return a.agg(F.coalesce(F.max(F.abs("x")), F.lit(0.0))).first()[0]
+    def largest(self, a: TableVector) -> float:
+        return a.largest
 
-    def value_and_gradient(self, w: DataFrame):
-        weights = w.withColumnRenamed("x", "w")
-        f = obj.objective(self.rows, weights, self.loss, self.C, **self._lookup()).first()["f"]
-        g = obj.gradient(self.rows, weights, self.loss, self.C, **self._lookup())
-        return f, self._gradients.write(g.withColumnRenamed("g", "x"))
+    def value_and_gradient(self, w: TableVector):
+        weights = w.df.withColumnRenamed("x", "w")
+        sums = self._rotating("sums").write(
+            obj.loss_and_slope(self.rows, weights, self.loss, **self._lookup()))
+        total = sums.where(F.col("j") == obj.LOSS_ID).agg(F.coalesce(F.sum("z"), F.lit(0.0))).first()[0]
+        slope = TableVector(sums.where(F.col("j") >= 0).withColumnRenamed("z", "x"))
+        return 0.5 * w.square + self.C * total, self.combine(w, self.C, slope, "gradient")
 
-    def hessian_vector(self, w: DataFrame, s: DataFrame) -> DataFrame:
-        vectors = w.withColumnRenamed("x", "w").join(s.withColumnRenamed("x", "s"), "j", "full_outer").select(
+    def hessian_vector(self, w: TableVector, s: TableVector) -> TableVector:
+        vectors = w.df.withColumnRenamed("x", "w").join(s.df.withColumnRenamed("x", "s"), "j", "full_outer").select(
             "j", F.coalesce("w", F.lit(0.0)).alias("w"), F.coalesce("s", F.lit(0.0)).alias("s"))
         h = obj.hessian_vector(self.rows, vectors, self.loss, self.C, **self._lookup())
-        return self._products.write(h.withColumnRenamed("h", "x"))
+        return self._keep("product", h.withColumnRenamed("h", "x"))
 
-    def to_table(self, w: DataFrame, spark) -> DataFrame:
-        return w.withColumnRenamed("x", "w")
+    def to_table(self, w: TableVector, spark) -> DataFrame:
+        return w.df.withColumnRenamed("x", "w")

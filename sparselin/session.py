@@ -69,21 +69,26 @@ def materialize(df: DataFrame, path: str) -> DataFrame:
 
 
 class RotatingTable:
-    """Successive versions of one table in a fixed number of folders.
+    """Successive versions of one table in three folders.
 
-    An iteration that derives version k+1 from version k writes it to the next
-    folder, so a lost executor re-reads version k and storage stays bounded.
+    An iteration that derives the next version from the last one writes it to
+    another folder, so a lost executor can read its input again and storage stays
+    bounded. A version that must outlive later ones is held.
     """
 
-    def __init__(self, spark: SparkSession, name: str, slots: int = 3):
+    def __init__(self, spark: SparkSession, name: str):
         root = scratch_path(spark, name)
-        self._paths = [f"{root}/{i}" for i in range(slots)]
-        self._next = 0
+        self._paths = [f"{root}/{i}" for i in range(3)]
+        self._last: str | None = None
+        self._held: str | None = None
 
     def write(self, df: DataFrame) -> DataFrame:
-        path = self._paths[self._next % len(self._paths)]
-        self._next += 1
-        return materialize(df, path)
+        self._last = next(p for p in self._paths if p not in (self._last, self._held))
+        return materialize(df, self._last)
+
+    def hold(self) -> None:
+        """Keep the last version, and release the one held before."""
+        self._held = self._last
 
 
 def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:

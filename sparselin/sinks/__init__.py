@@ -42,7 +42,7 @@ def write_timings(timings: DataFrame, path: str) -> None:
 
     A strategy has one entry per repetition, so the arrays stay short.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("iter", "t_sec", "f")))
+    ordered = F.sort_array(F.collect_list(F.struct("iter", "t_sec", "f")))
     packed = timings.groupBy("strategy").agg(ordered.alias("x"))
     arrays = {}
     for s in ("map", "mappart"):

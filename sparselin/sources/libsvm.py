@@ -53,19 +53,15 @@ def parse(lines: DataFrame, dialect: str = "libsvm", value: str = "value", row_i
     if dialect not in DIALECTS:
         raise ValueError(f"unknown dialect {dialect!r}; known: {DIALECTS}")
     key = [row_id] if row_id else []
-    to_label = X.lenient_label if dialect == "libsvm" else X.strict_label
-    words = (
-        lines.withColumn("_line", X.readable(F.col(value)))
-        .where(X.is_data_line(F.col("_line")))
-        .select(*key, X.strip_comment(F.col("_line")).alias("_body"))
-        .where(F.col("_body") != "")
-        .select(*key, X.tokens(F.col("_body")).alias("_words"))
-        .withColumn("label", to_label(F.get("_words", F.lit(0))))
-        .where(F.col("label").isNotNull())
-    )
+    usable, to_label = (
+        (X.is_data_line, X.lenient_label) if dialect == "libsvm" else (X.has_strict_label, X.strict_label))
+    # The filter is a match on the raw line, so that nothing of the parsing is done twice when it is pushed down.
+    line = X.readable(F.col(value))
+    words = lines.where(usable(line)).select(*key, X.tokens(line).alias("_words")).withColumn(
+        "label", to_label(F.get("_words", F.lit(0))))
     pairs = words.select(
         *key, "label",
-        F.array_sort(X.feature_pairs(F.slice("_words", 2, F.size("_words")))).alias("_pairs"),
+        F.sort_array(X.feature_pairs(F.slice("_words", 2, F.size("_words")))).alias("_pairs"),
     )
     merged = pairs.select(
         *key, "label",

@@ -54,9 +54,9 @@ def finite_points(history: DataFrame) -> DataFrame:
     return history.where(tags.is_finite(F.col("t_sec")) & tags.is_finite(F.col("f")))
 
 
-def read_thresholds(spark: SparkSession, pattern: str) -> DataFrame:
+def read_thresholds(spark: SparkSession, pattern: str, one_per_file: bool = True) -> DataFrame:
     """Threshold records by run folder and tag; unreadable files give no record."""
-    found = spark.read.schema(THRESHOLD).options(**_READ, multiLine=True).json(pattern).select(
+    found = spark.read.schema(THRESHOLD).options(**_READ, multiLine=one_per_file).json(pattern).select(
         F.col("_metadata.file_path").alias("path"), "*")
     return found.where(F.col("best_threshold").isNotNull()).select(
         tags.run_folder(F.col("path")).alias("dir"),
@@ -65,9 +65,9 @@ def read_thresholds(spark: SparkSession, pattern: str) -> DataFrame:
     )
 
 
-def read_timings(spark: SparkSession, pattern: str) -> DataFrame:
+def read_timings(spark: SparkSession, pattern: str, one_per_file: bool = True) -> DataFrame:
     """Strategy timings as rows ``(strategy, iter, t_sec, f)``."""
-    logs = spark.read.schema(TIMINGS).options(**_READ, multiLine=True).json(pattern)
+    logs = spark.read.schema(TIMINGS).options(**_READ, multiLine=one_per_file).json(pattern)
     parts = []
     for strategy in ("map", "mappart"):
         pairs = F.arrays_zip(F.col(f"t_{strategy}").alias("t"), F.col(f"f_{strategy}").alias("f"))

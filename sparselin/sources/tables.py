@@ -44,7 +44,7 @@ def document_rows(documents: DataFrame, labels: DataFrame, target: str = "qualit
     length = F.transform(F.split("text", r"\s+"), lambda t: F.least(F.length(t), F.lit(width - 1)).cast("bigint"))
     words = documents.join(labels, "doc_id").select(
         "doc_id", binary_label(F.col(target)).alias("label"), length.alias("js"))
-    indices = F.array_sort(F.array_distinct("js"))
+    indices = F.sort_array(F.array_distinct("js"))
     return words.select(
         F.col("doc_id").alias("row_id"), "label", indices.alias("indices"),
         F.transform(indices, lambda j: F.size(F.filter("js", lambda x: x == j)).cast("double")).alias("values"),
@@ -62,7 +62,8 @@ def event_history(events: DataFrame) -> DataFrame:
         F.col("user_id").cast("string").alias("run_id"),
         tag.alias("tag"),
         F.col("event_id").alias("iter"),
-        F.unix_micros("ts").alias("t_us"),
+        (F.col("ts").cast("timestamp_ntz") - F.lit("1970-01-01").cast("timestamp_ntz"))
+        .cast("interval second").cast("decimal(20,6)").cast("double").alias("t_sec"),
         F.col("value").alias("f"),
         F.get_json_object("props", "$.k").cast("double").alias("g_norm"),
     )

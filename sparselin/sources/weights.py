@@ -26,6 +26,12 @@ def from_array(spark: SparkSession, w: np.ndarray, run_id: str | None = None) ->
     return frame if run_id is None else frame.select(F.lit(run_id).alias("run_id"), "j", "w")
 
 
+def from_arrays(spark: SparkSession, **columns: np.ndarray) -> DataFrame:
+    """Several vectors of one length as columns of one table."""
+    width = len(next(iter(columns.values())))
+    return spark.createDataFrame(pa.table({"j": np.arange(width, dtype=np.int64), **columns}))
+
+
 def to_array(weights: DataFrame, n_features: int | None = None, column: str = "w") -> np.ndarray:
     """A weight table as a dense vector; only for widths that fit a broadcast."""
     width = weight_width(weights) if n_features is None else n_features
