@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparselin.functions.losses import Loss
@@ -103,7 +103,7 @@ class CooProblem(_Dense):
 
 @dataclass
 class TableVector:
-    """A written vector ``(j, x)`` with the figures observed while writing it; an absent feature is 0."""
+    """A written vector ``(j, x)`` with the figures the solver asks for most; an absent feature is 0."""
 
     df: DataFrame
     square: float = 0.0
@@ -139,13 +139,12 @@ class TableProblem:
         return self._tables[kind]
 
     def _keep(self, kind: str, df: DataFrame) -> TableVector:
-        seen = Observation()
+        written = self._rotating(kind).write(df)
         x = F.col("x")
-        watched = df.observe(
-            seen, F.coalesce(F.sum(x * x), F.lit(0.0)).alias("square"),
-            F.coalesce(F.max(F.abs(x)), F.lit(0.0)).alias("largest"))
-        written = self._rotating(kind).write(watched)
-        return TableVector(written, **seen.get)
+        figures = written.agg(
+            F.coalesce(F.sum(x * x), F.lit(0.0)).alias("square"),
+            F.coalesce(F.max(F.abs(x)), F.lit(0.0)).alias("largest")).first()
+        return TableVector(written, **figures.asDict())
 
     def hold(self, *kinds: str) -> None:
         for kind in kinds:
