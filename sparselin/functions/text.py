@@ -77,8 +77,8 @@ def feature_pairs(feature_tokens: Column) -> Column:
     """``array<struct<j, v>>`` of the well-formed tokens, 0-based, in line order."""
     well_formed = F.filter(feature_tokens, lambda t: t.rlike(f"^{INTEGER}:{NUMBER}$"))
     pairs = F.transform(well_formed, lambda t: F.struct(
-        (F.split_part(t, F.lit(":"), F.lit(1)).try_cast("bigint") - 1).alias("j"),
-        F.split_part(t, F.lit(":"), F.lit(2)).try_cast("double").alias("v"),
+        (F.substring_index(t, ":", 1).try_cast("bigint") - 1).alias("j"),
+        F.substring_index(t, ":", -1).try_cast("double").alias("v"),
     ))
     return F.filter(pairs, lambda e: e["j"] >= 0)
 

@@ -54,7 +54,10 @@ def from_rows(batch: pa.RecordBatch) -> Batch:
     return Batch(labels, offsets.astype(np.int64), indices, values)
 
 
-BLOCK_SCHEMA = "labels binary, offsets binary, indices binary, vals binary"
+BLOCK_SCHEMA = "labels binary, offsets binary, indices binary, vals binary, top bigint"
+
+
+_PACKED = pa.schema([*((n, pa.binary()) for n in ("labels", "offsets", "indices", "vals")), ("top", pa.int64())])
 
 
 def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,7 +74,8 @@ def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 "offsets": [(b.offsets[start:stop + 1] - lo).tobytes()],
                 "indices": [b.indices[lo:hi].tobytes()],
                 "vals": [b.values[lo:hi].tobytes()],
-            }, schema=pa.schema([(n, pa.binary()) for n in ("labels", "offsets", "indices", "vals")]))
+                "top": [int(b.indices[lo:hi].max(initial=-1))],
+            }, schema=_PACKED)
             start = stop
 
 

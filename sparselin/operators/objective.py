@@ -102,15 +102,28 @@ class Blocks:
     by the counts of tasks and features, are they added without that exchange.
     """
 
-    def __init__(self, rows: DataFrame, n_features: int, storage: StorageLevel = StorageLevel.MEMORY_AND_DISK):
-        if n_features > MAX_BROADCAST_FEATURES:
-            raise ValueError(f"{n_features} features exceed the dense limit of {MAX_BROADCAST_FEATURES}")
-        self.n_features = n_features
+    def __init__(
+        self, rows: DataFrame, n_features: int | None = None, storage: StorageLevel = StorageLevel.MEMORY_AND_DISK,
+    ):
+        """Without ``n_features`` the width is the largest id in the blocks + 1, so the rows are still read once."""
         self.spark = rows.sparkSession
         packed = map_in_arrow(rows.select("label", "indices", "values"), kernels.pack, kernels.BLOCK_SCHEMA)
         self.blocks = packed.persist(storage)
+        if n_features is None:
+            n_features = self._width()
+        if n_features > MAX_BROADCAST_FEATURES:
+            self.close()
+            raise ValueError(f"{n_features} features exceed the dense limit of {MAX_BROADCAST_FEATURES}")
+        self.n_features = n_features
         self._few_sums = self.blocks.rdd.getNumPartitions() * (n_features + 1) <= MAX_DRIVER_SUMS
 
+    def _width(self) -> int:
+        top = self.blocks.agg(F.max("top")).first()[0]
+        if top is None:
+            self.close()
+            raise ValueError("no usable examples")
+        return top + 1
+
     def __enter__(self) -> Blocks:
         return self
 
@@ -122,7 +135,7 @@ class Blocks:
 
     def _collect(self, task, sent) -> tuple[np.ndarray, dict[int, float]]:
         try:
-            parts = map_in_arrow(self.blocks, task, "j bigint, z double")
+            parts = map_in_arrow(self.blocks.drop("top"), task, "j bigint, z double")
             sums = (parts if self._few_sums else parts.groupBy("j").agg(F.sum("z").alias("z"))).toArrow()
         finally:
             sent.destroy()

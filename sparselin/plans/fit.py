@@ -114,8 +114,9 @@ def fit(
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}; known: {STRATEGIES}")
     spark = rows.sparkSession
-    width = feature_width(rows) if n_features is None else n_features
+    width = n_features
     if strategy == "auto":
+        width = feature_width(rows) if width is None else width
         strategy = "partition" if width <= MAX_BROADCAST_FEATURES else "table"
     if partitions and strategy == "partition":
         rows = rows.repartition(partitions)
@@ -123,6 +124,7 @@ def fit(
         blocks = Blocks(rows, width)
         problem, close = DenseProblem(blocks, loss, C), blocks.close
     else:
+        width = feature_width(rows) if width is None else width
         kind = CooProblem if strategy == "coo" else TableProblem
         problem = kind(rows, width, loss, C, partitions)
         close = problem.close

@@ -19,7 +19,7 @@ from sparselin.plans.fit import Fit, run_tag, solve
 from sparselin.plans.vectors import DenseProblem
 from sparselin.session import MAX_BROADCAST_FEATURES
 from sparselin.sources import weights as W
-from sparselin.sources.libsvm import feature_width, with_bias
+from sparselin.sources.libsvm import with_bias
 
 # The default grid.
 C_GRID = (1e-3, 1e-2, 1e-1, 1.0, 10.0, 100.0)
@@ -106,10 +106,9 @@ def objective_grid(
 ) -> DataFrame:
     """``(run_id, f)`` at the weights of every run, from one pass over the rows."""
     spark = rows.sparkSession
-    width = feature_width(rows) if n_features is None else n_features
     names = [r["run_id"] for r in weights.select("run_id").distinct().orderBy("run_id").collect()]
-    arrays = [W.to_array(weights.where(F.col("run_id") == n), width) for n in names]
-    with Blocks(rows, width) as blocks:
+    with Blocks(rows, n_features) as blocks:
+        arrays = [W.to_array(weights.where(F.col("run_id") == n), blocks.n_features) for n in names]
         losses = blocks.losses_at(get_loss(solver), arrays)
     return spark.createDataFrame(
         [(n, 0.5 * float(w @ w) + C * total) for n, w, total in zip(names, arrays, losses)], "run_id string, f double")

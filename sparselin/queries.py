@@ -22,7 +22,7 @@ from sparselin.operators import curves, metrics, objective, split
 from sparselin.operators import matvec as M
 from sparselin.plans import baseline, evaluate, fit, reports, sweep
 from sparselin.schema import CONFIG, META, STEP, SUMMARY
-from sparselin.session import scratch_path
+from sparselin.session import materialize, scratch_path, spread
 from sparselin.sources import libsvm, runlogs, tables
 from sparselin.sources import weights as W
 
@@ -53,7 +53,12 @@ def events(spark, sf):
 
 
 def event_rows(spark, sf):
-    return libsvm.parse(tables.event_lines(events(spark, sf)))
+    return libsvm.parse(tables.event_lines(spread(events(spark, sf))))
+
+
+def stored_event_rows(spark, sf):
+    """The parsed rows as a written table, for queries that read them more than once."""
+    return materialize(event_rows(spark, sf), scratch_path(spark, "events"))
 
 
 def embedding_rows(spark, sf):
@@ -76,7 +81,7 @@ def weights_and_direction(spark, width):
 
 def event_scores(spark, sf):
     """Margins rounded to six digits, so that equal scores are equal in both engines."""
-    rows = event_rows(spark, sf)
+    rows = stored_event_rows(spark, sf)
     width = libsvm.feature_width(rows)
     return M.margins(rows, rule_weights(spark, width), width).select("row_id", "label", r6("margin", "margin"))
 
@@ -148,7 +153,7 @@ def document_features_toxic(spark, sf):
        "union all select row_id, label, width, 1.0 from labelled, width) "
        "select row_id, label, j, round(v, 6) + 0.0 as v from biased")
 def bias_append(spark, sf):
-    rows, _ = libsvm.with_bias(event_rows(spark, sf), 1.0)
+    rows, _ = libsvm.with_bias(stored_event_rows(spark, sf), 1.0)
     return stored(rows)
 
 
@@ -224,7 +229,7 @@ def margin(spark, sf):
 @query("margin_partition", f"with {O.LINES}, {O.PARSED}, {O.EVENT_MARGIN} "
        "select row_id, label, round(m, 6) + 0.0 as margin from scored")
 def margin_partition(spark, sf):
-    rows = event_rows(spark, sf)
+    rows = stored_event_rows(spark, sf)
     w = W.to_array(rule_weights(spark, libsvm.feature_width(rows)))
     return M.dense_margins(rows, w).select("row_id", "label", r6("margin", "margin"))
 
@@ -233,7 +238,7 @@ def margin_partition(spark, sf):
        "select row_id, label, round(m, 6) + 0.0 as margin from scored")
 def margin_wide(spark, sf):
     """The route of a weight table too wide to broadcast: hot features apart, the rest shuffled."""
-    rows = event_rows(spark, sf)
+    rows = stored_event_rows(spark, sf)
     width = libsvm.feature_width(rows)
     scores = M.margins(rows, rule_weights(spark, width), width, max_broadcast=0)
     return scores.select("row_id", "label", r6("margin", "margin"))
@@ -249,7 +254,7 @@ def margin_inline(spark, sf):
 @query("xt_dot", f"with {O.LINES}, {O.PARSED} select j, round(sum(v * ((row_id * 7) % 5 - 2) / 4), 6) + 0.0 as z "
        "from coo where (row_id * 7) % 5 <> 2 group by 1")
 def xt_dot(spark, sf):
-    rows = event_rows(spark, sf)
+    rows = stored_event_rows(spark, sf)
     r = rows.select("row_id", (((F.col("row_id") * 7) % 5 - 2) / 4).alias("r"))
     return M.transposed_by_id(M.to_coo(rows), r).select("j", r6("z", "z"))
 
@@ -267,7 +272,7 @@ _SIGNED = (f"with {O.LINES}, {O.PARSED}, {O.EVENT_MARGIN} "
 
 @query("signed_margin_sum", _SIGNED)
 def signed_margin_sum(spark, sf):
-    rows = event_rows(spark, sf)
+    rows = stored_event_rows(spark, sf)
     width = libsvm.feature_width(rows)
     total = M.signed_margin_sum(M.margins(rows, rule_weights(spark, width), width))
     return total.select((F.round("signed_sum", 4) + 0.0).alias("signed_sum"))
@@ -275,7 +280,7 @@ def signed_margin_sum(spark, sf):
 
 @query("signed_margin_sum_partition", _SIGNED)
 def signed_margin_sum_partition(spark, sf):
-    rows = event_rows(spark, sf)
+    rows = stored_event_rows(spark, sf)
     w = W.to_array(rule_weights(spark, libsvm.feature_width(rows)))
     total = M.signed_margin_sum_partition(rows, w)
     return total.select((F.round("signed_sum", 4) + 0.0).alias("signed_sum"))
@@ -358,14 +363,14 @@ _MODEL_SCORES = (f"with {O.LINES}, {O.PARSED}, {O.EVENT_MARGIN}, {O.models(MODEL
 
 @query("score_models", _MODEL_SCORES)
 def score_models(spark, sf):
-    rows = event_rows(spark, sf)
+    rows = stored_event_rows(spark, sf)
     scored = M.score_models(rows, model_table(spark, libsvm.feature_width(rows)))
     return scored.select("run_id", "row_id", "label", r6("margin", "margin"))
 
 
 @query("score_models_partition", _MODEL_SCORES)
 def score_models_partition(spark, sf):
-    rows = event_rows(spark, sf)
+    rows = stored_event_rows(spark, sf)
     w = W.to_array(rule_weights(spark, libsvm.feature_width(rows)))
     scored = M.model_margins(rows, {f"run{s}": w * s for s in MODEL_SCALES})
     return scored.select("run_id", "row_id", "label", r6("margin", "margin"))
@@ -421,7 +426,7 @@ def tron_table(spark, sf):
 @query("tron_events")
 def tron_events(spark, sf):
     """Sparse text examples end to end: parse, add a bias, fit, evaluate."""
-    rows, width = libsvm.with_bias(event_rows(spark, sf), 1.0)
+    rows, width = libsvm.with_bias(stored_event_rows(spark, sf), 1.0)
     done = fit.fit(rows, "lr", 1e-4, 1e-3, n_features=width, bias=1.0)
     return evaluate.summarize(M.dense_margins(rows, done.w))
 
@@ -531,7 +536,7 @@ def best_threshold_f1(spark, sf):
 @query("evaluate", O.evaluate_sql())
 def evaluate_query(spark, sf):
     """The flagship: text lines, tolerant parse, margins of a fixed model, accuracy and AUC."""
-    rows = event_rows(spark, sf)
+    rows = stored_event_rows(spark, sf)
     width = libsvm.feature_width(rows)
     done = evaluate.evaluate(rows, rule_weights(spark, width))
     return done.select("n", r6("accuracy", "accuracy"), r6("auc", "auc"))

@@ -34,6 +34,16 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for heavy per-record work on an input of a few files.
+
+    Only an input with fewer partitions than cores is exchanged; a large one
+    stays where its scan puts it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def map_in_arrow(df: DataFrame, task, schema) -> DataFrame:
     ship_package(df.sparkSession)
     return df.mapInArrow(task, schema)

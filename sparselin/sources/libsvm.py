@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparselin.functions import rows as R
 from sparselin.functions import text as X
+from sparselin.session import materialize, scratch_path
 
 DIALECTS = ("libsvm", "svmlight")
 
@@ -88,13 +89,16 @@ def with_bias(rows: DataFrame, bias: float = -1.0, n_features: int | None = None
     """Append the bias column if ``bias >= 0`` and return the rows with their total width.
 
     ``n_features`` forces the total width, bias included; a feature that does not
-    fit below it, or that would fall on the bias column, is an error.
+    fit below it, or that would fall on the bias column, is an error. The error is
+    raised by whatever reads the rows, so a known width costs no pass of its own.
     """
-    used = feature_width(rows)
     has_bias = bias is not None and bias >= 0
-    width = used + has_bias if n_features is None else n_features
-    if used > width - has_bias:
-        raise ValueError(f"{used} features do not fit into {width} columns{' with a bias' if has_bias else ''}")
+    width = feature_width(rows) + has_bias if n_features is None else n_features
+    room = width - has_bias
+    if n_features is not None:
+        message = f"a feature does not fit into {width} columns{' with a bias' if has_bias else ''}"
+        fits = F.coalesce(F.array_max("indices"), F.lit(-1)) < room
+        rows = rows.withColumn("indices", F.when(fits, F.col("indices")).otherwise(F.raise_error(F.lit(message))))
     if not has_bias:
         return rows, width
     indices, values = R.append_bias(F.col("indices"), F.col("values"), width - 1, bias)
@@ -108,10 +112,20 @@ def read_libsvm(
     n_features: int | None = None,
     partitions: int | None = None,
     dialect: str = "libsvm",
+    store: bool = True,
 ) -> tuple[DataFrame, int]:
-    """Read a file or folder: ROWS and the total number of features."""
-    lines = with_row_id(read_lines(spark, path, partitions))
-    return with_bias(parse(lines, dialect), bias, n_features)
+    """Read a file or folder: ROWS and the total number of features.
+
+    The parsed rows are written once to the shared folder, since finding the
+    width and every later pass would parse the text again; ``store=False`` leaves
+    them unwritten for a single pass over a known width.
+    """
+    rows = parse(with_row_id(read_lines(spark, path, partitions)), dialect)
+    if store:
+        rows = materialize(rows, scratch_path(spark, "rows"))
+        if n_features is not None:
+            feature_width(rows)  # an input without rows is an error with a forced width, too
+    return with_bias(rows, bias, n_features)
 
 
 def read_strict(spark: SparkSession, path: str, n_features: int | None = None) -> DataFrame:

@@ -75,10 +75,10 @@ def test_bias(micro):
 
 
 def test_width_errors(spark, micro):
-    with pytest.raises(ValueError):
-        libsvm.with_bias(micro, 1.0, 3)  # a feature would share the bias column
-    with pytest.raises(ValueError):
-        libsvm.with_bias(micro, -1.0, 2)
+    with pytest.raises(Exception, match="does not fit into 3 columns with a bias"):
+        libsvm.with_bias(micro, 1.0, 3)[0].collect()  # a feature would share the bias column
+    with pytest.raises(Exception, match="does not fit into 2 columns"):
+        libsvm.with_bias(micro, -1.0, 2)[0].collect()
     with pytest.raises(ValueError):
         libsvm.feature_width(spark.createDataFrame([], ROWS))
 
@@ -88,6 +88,8 @@ def test_comment_only_file(spark, tmp_path):
     path.write_text("# a\n\n  # b\n")
     with pytest.raises(ValueError):
         libsvm.read_libsvm(spark, str(path))
+    with pytest.raises(ValueError):
+        libsvm.read_libsvm(spark, str(path), n_features=4)
 
 
 def test_row_ids_are_dense_over_files(spark, tmp_path):
