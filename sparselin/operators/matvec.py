@@ -133,24 +133,23 @@ def model_margins(rows: DataFrame, models: dict[str, np.ndarray]) -> DataFrame:
 def score_models(rows: DataFrame, weights: DataFrame, max_broadcast: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """The same as a join, for weight tables ``(run_id, j, w)`` of any width.
 
-    Every model scores every row, so rows without features are listed once per
-    model; the model list is as short as the sweep that made it.
+    Every row gets an entry 0 of a feature -1 that every model has with weight 0,
+    so each model scores each row, rows without any known feature included.
     """
-    runs = weights.select("run_id").distinct()
-    entries = to_coo(rows, "label")
-    per_run = F.struct("run_id", "w")
-    by_feature = weights.groupBy("j").agg(F.collect_list(per_run).alias("models"))
-    hits = (
-        lookup(entries, by_feature, max_broadcast=max_broadcast)
+    everywhere = weights.select("run_id").distinct().select(
+        "run_id", F.lit(-1).cast("bigint").alias("j"), F.lit(0.0).alias("w"))
+    # As many models per feature as the sweep that made them has.
+    models = weights.select("run_id", "j", "w").unionByName(everywhere).groupBy("j").agg(
+        F.collect_list(F.struct("run_id", "w")).alias("models"))
+    entries = to_coo(rows.withColumns({
+        "indices": F.concat("indices", F.array(F.lit(-1).cast("bigint"))),
+        "values": F.concat("values", F.array(F.lit(0.0))),
+    }), "label")
+    return (
+        lookup(entries, models, max_broadcast=max_broadcast)
         .select("row_id", "label", "v", F.inline("models"))
         .groupBy("run_id", "row_id", "label").agg(F.sum(F.col("v") * F.col("w")).alias("margin"))
     )
-    names = runs.agg(F.sort_array(F.collect_list("run_id"))).scalar()
-    all_pairs = rows.select(F.explode(names).alias("run_id"), "row_id", "label")
-    return (
-        all_pairs.join(hits, ["run_id", "row_id", "label"], "left")
-        .select("run_id", "row_id", "label", F.coalesce("margin", F.lit(0.0)).alias("margin"))
-    )
 
 
 def transposed(rows: DataFrame, r: Column) -> DataFrame:

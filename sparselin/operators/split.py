@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparselin.session import materialize, scratch_path
+
 # Fixed value: leading hex digits of the hash that form a bucket, 16**4 buckets.
 PREFIX_DIGITS = 4
 
@@ -18,6 +20,40 @@ def seeded_order(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
     return df.orderBy(seeded_hash(key, seed), key)
 
 
+def _cut(keys: DataFrame, key: str, ratio: float, seed: int) -> tuple | None:
+    """Hash and key of the last record of the first ``int(ratio * n)``, None if there is none.
+
+    A count per hash prefix finds the prefix that contains the cut, and a ranking
+    within that prefix finds the record.
+    """
+    hashed = keys.select(seeded_hash(key, seed).alias("h"), F.col(key).alias("k")).withColumn(
+        "b", F.substring("h", 1, PREFIX_DIGITS))
+    # One record per prefix, so these windows see at most 16**PREFIX_DIGITS records.
+    everything = Window.partitionBy(F.lit(0))
+    upto = everything.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = hashed.groupBy("b").agg(F.count("*").alias("n")).select(
+        "b", "n", F.sum("n").over(upto).alias("upto"), F.sum("n").over(everything).alias("all"))
+    wanted = F.floor(F.lit(float(ratio)) * F.col("all").cast("double"))
+    before = F.col("upto") - F.col("n")
+    found = sizes.where((before < wanted) & (wanted <= F.col("upto"))).select("b", (wanted - before).alias("rank")).first()
+    if found is None:
+        return None
+    order = Window.partitionBy("b").orderBy("h", "k")
+    ranked = hashed.where(F.col("b") == found["b"]).withColumn("rn", F.row_number().over(order))
+    return tuple(ranked.where(F.col("rn") == found["rank"]).select("h", "k").first())
+
+
+def _is_first(key: str, seed: int, cut: tuple | None) -> Column:
+    if cut is None:
+        return F.lit(False)
+    h = seeded_hash(key, seed)
+    return (h < cut[0]) | ((h == cut[0]) & (F.col(key) <= cut[1]))
+
+
+def _keys(df: DataFrame, key: str) -> DataFrame:
+    return materialize(df.select(key), scratch_path(df.sparkSession, "split-keys"))
+
+
 def exact_split(
     df: DataFrame,
     key: str,
@@ -29,27 +65,10 @@ def exact_split(
     """Mark ``int(ratio * n)`` records with the first name and the rest with the second.
 
     The first part holds the records that come first in ``seeded_order``; ``key``
-    must be unique. Only the position of the cut is searched: a count per hash
-    prefix finds the prefix that contains it, and a ranking within that prefix
-    finds the record. The records themselves are compared with the cut in place,
-    without a shuffle.
+    must be unique. Only the keys are searched for the position of the cut; the
+    records are compared with it in place, without a shuffle.
     """
-    place = F.struct(seeded_hash(key, seed).alias("h"), F.col(key).alias("k"))
-    hashed = df.select(place.alias("p")).withColumn("b", F.substring("p.h", 1, PREFIX_DIGITS))
-
-    # One record per prefix, so these windows see at most 16**PREFIX_DIGITS records.
-    everything = Window.partitionBy(F.lit(0))
-    upto = everything.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-    sizes = hashed.groupBy("b").agg(F.count("*").alias("n")).select(
-        "b", "n", F.sum("n").over(upto).alias("upto"), F.sum("n").over(everything).alias("all"))
-    wanted = F.floor(F.lit(float(ratio)) * F.col("all").cast("double"))
-    crossing = (F.col("upto") - F.col("n") < wanted) & (wanted <= F.col("upto"))
-    target = sizes.where(crossing).select("b", (wanted - (F.col("upto") - F.col("n"))).alias("rank"))
-
-    near = hashed.join(F.broadcast(target), "b")
-    ranked = near.withColumn("rn", F.row_number().over(Window.partitionBy("b").orderBy("p")))
-    cut = ranked.where(F.col("rn") == F.col("rank")).select("p").scalar()
-    first = F.coalesce(place <= cut, F.lit(False))
+    first = _is_first(key, seed, _cut(_keys(df, key), key, ratio, seed))
     return df.withColumn(column, F.when(first, F.lit(names[0])).otherwise(F.lit(names[1])))
 
 
@@ -62,7 +81,7 @@ def three_way_split(
     inner_seed: int = 7,
 ) -> DataFrame:
     """Train, validation and test: the training part of a first split is split again."""
-    outer = exact_split(df, key, ratio, seed, column="_outer")
-    inner = exact_split(outer.where(F.col("_outer") == "train"), key, inner_ratio, inner_seed, ("train", "val"))
-    rest = outer.where(F.col("_outer") == "test").withColumn("split", F.col("_outer"))
-    return inner.unionByName(rest).drop("_outer")
+    keys = _keys(df, key)
+    outer = _is_first(key, seed, _cut(keys, key, ratio, seed))
+    inner = _is_first(key, inner_seed, _cut(keys.where(outer), key, inner_ratio, inner_seed))
+    return df.withColumn("split", F.when(~outer, F.lit("test")).when(inner, F.lit("train")).otherwise(F.lit("val")))

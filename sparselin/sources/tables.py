@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparselin.functions.text import binary_label
+from sparselin.functions.text import binary_label, sum_repeated
 
 # Event types that count as the positive class.
 POSITIVE_EVENTS = ("purchase", "signup")
@@ -41,14 +41,14 @@ def embedding_rows(embeddings: DataFrame) -> DataFrame:
 
 def document_rows(documents: DataFrame, labels: DataFrame, target: str = "quality", width: int = 64) -> DataFrame:
     """Labelled documents by word length: feature j counts the words of j characters, the last one all longer."""
-    length = F.transform(F.split("text", r"\s+"), lambda t: F.least(F.length(t), F.lit(width - 1)).cast("bigint"))
+    one_each = F.transform(F.split("text", r"\s+"), lambda t: F.struct(
+        F.least(F.length(t), F.lit(width - 1)).cast("bigint").alias("j"), F.lit(1.0).alias("v")))
     words = documents.join(labels, "doc_id").select(
-        "doc_id", binary_label(F.col(target)).alias("label"), length.alias("js"))
-    indices = F.sort_array(F.array_distinct("js"))
-    return words.select(
-        F.col("doc_id").alias("row_id"), "label", indices.alias("indices"),
-        F.transform(indices, lambda j: F.size(F.filter("js", lambda x: x == j)).cast("double")).alias("values"),
-    )
+        F.col("doc_id").alias("row_id"), binary_label(F.col(target)).alias("label"),
+        F.sort_array(one_each).alias("_pairs"))
+    counted = words.select("row_id", "label", sum_repeated(F.col("_pairs")).alias("_pairs"))
+    return counted.select(
+        "row_id", "label", F.col("_pairs")["j"].alias("indices"), F.col("_pairs")["v"].alias("values"))
 
 
 def event_history(events: DataFrame) -> DataFrame:

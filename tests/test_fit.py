@@ -127,6 +127,20 @@ def test_table_vectors_beyond_the_broadcast_bound(random_rows):
     assert problem.hot and [w.get(j, 0.0) for j in range(30)] == pytest.approx(list(a.w), abs=1e-9)
 
 
+@pytest.mark.parametrize("solver", ["lr", "l2svm"])
+@pytest.mark.parametrize("bias", [-1.0, 1.0])
+def test_fit_equals_numpy_newton(random_rows, solver, bias):
+    rows, X, y = random_rows
+    if bias >= 0:
+        rows, X = libsvm.with_bias(rows, bias)[0], np.hstack([X, np.full((len(y), 1), bias)])
+    loss, w = get_loss(solver), np.zeros(X.shape[1])
+    for _ in range(50):
+        m = X @ w
+        H = np.eye(len(w)) + 0.3 * X.T @ (loss.curvature(m, y, np)[:, None] * X)
+        w -= np.linalg.solve(H, w + 0.3 * X.T @ loss.residual(m, y, np))
+    assert fit.fit(rows, solver, 0.3, 1e-7, bias=bias).w == pytest.approx(w, abs=1e-5)
+
+
 def test_fit_arguments(random_rows):
     rows, *_ = random_rows
     with pytest.raises(ValueError):
