@@ -41,6 +41,8 @@ PARSED_STRICT = _parsed("try_cast(p[1] as double)", f"regexp_full_match(p[1], '{
 STORED = ("select l.row_id, l.label, c.j, round(c.v, 6) + 0.0 as v from labelled l left join coo c using (row_id)")
 STORED_ANONYMOUS = ("select l.label, c.j, round(c.v, 6) + 0.0 as v, count(*) as n "
                     "from labelled l left join coo c using (row_id) group by 1, 2, 3")
+# Spark's strict reader does not store explicit zeros.
+STORED_NONZERO = STORED_ANONYMOUS.replace("left join coo c", "left join (select * from coo where v <> 0) c")
 ENCODED = ("select l.row_id, (case when l.label > 0 then '+1' else '-1' end) || "
            "coalesce(string_agg(' ' || (c.j + 1) || ':' || c.v, '' order by c.j), '') as value "
            "from labelled l left join coo c using (row_id) group by l.row_id, l.label")

@@ -686,7 +686,7 @@ def libsvm_roundtrip(spark, sf):
     return stored(rows).groupBy("label", "j", "v").agg(F.count("*").alias("n"))
 
 
-@query("strict_libsvm_reader", f"with {O.LINES}, {O.PARSED} {O.STORED_ANONYMOUS}")
+@query("strict_libsvm_reader", f"with {O.LINES}, {O.PARSED} {O.STORED_NONZERO}")
 def strict_libsvm_reader(spark, sf):
     path = scratch_path(spark, "strict")
     sinks.write_libsvm(event_rows(spark, sf), path)

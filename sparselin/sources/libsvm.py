@@ -129,7 +129,10 @@ def read_libsvm(
 
 
 def read_strict(spark: SparkSession, path: str, n_features: int | None = None) -> DataFrame:
-    """Spark's own strict reader: ``label`` and an ML vector; any irregular line is an error."""
+    """Spark's own strict reader: ``label`` and an ML vector.
+
+    Any irregular line is an error, and entries that are explicitly 0 are not stored.
+    """
     reader = spark.read.format("libsvm")
     if n_features is not None:
         reader = reader.option("numFeatures", str(n_features))

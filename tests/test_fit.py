@@ -211,4 +211,10 @@ def test_curve(embeddings):
 def test_vectors_round_trip(micro):
     back = baseline.vector_rows(baseline.to_ml(micro, 3))
     assert back.orderBy("row_id").collect() == micro.orderBy("row_id").select(*back.columns).collect()
+    from pyspark.ml.linalg import Vectors
+    mixed = micro.sparkSession.createDataFrame(
+        [(0, 1.0, Vectors.dense([0.0, 2.0])), (1, -1.0, Vectors.sparse(9, [3, 5], [0.0, 4.0])),
+         (2, 1.0, Vectors.sparse(9, [], []))], ["row_id", "label", "features"])
+    got = {r["row_id"]: (r["indices"], r["values"]) for r in baseline.vector_rows(mixed).collect()}
+    assert got == {0: ([0, 1], [0.0, 2.0]), 1: ([3, 5], [0.0, 4.0]), 2: ([], [])}
     assert baseline.with_class_labels(micro).where(~F.col("label").isin(0.0, 1.0)).count() == 0
