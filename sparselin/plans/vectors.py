@@ -80,12 +80,13 @@ class CooProblem(_Dense):
         self.spark = rows.sparkSession
         self.rows = _keyed(rows, partitions)
         self.loss, self.C = loss, float(C)
+        self.hot = hot_features(to_coo(self.rows)) if n_features > MAX_BROADCAST_ROWS else []
 
     def close(self) -> None:
         self.rows.unpersist()
 
     def value_and_gradient(self, w):
-        sums = obj.loss_and_slope(self.rows, W.from_array(self.spark, w), self.loss, self.n_features).toArrow()
+        sums = obj.loss_and_slope(self.rows, W.from_array(self.spark, w), self.loss, self.n_features, hot=self.hot).toArrow()
         j, z = sums["j"].to_numpy(), sums["z"].to_numpy()
         slope = np.zeros(self.n_features)
         slope[j[j >= 0]] = z[j >= 0]
@@ -94,7 +95,7 @@ class CooProblem(_Dense):
 
     def hessian_vector(self, w, s):
         vectors = W.from_arrays(self.spark, w=w, s=s)
-        z = obj.curvature_product(self.rows, vectors, self.loss, self.n_features)
+        z = obj.curvature_product(self.rows, vectors, self.loss, self.n_features, hot=self.hot)
         return s + self.C * W.to_array(z, self.n_features, "z")
 
     def to_table(self, w, spark) -> DataFrame:
