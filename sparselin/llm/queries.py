@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparselin.llm import packing, token_files
+from sparselin.llm import packing, quality, token_files, toxicity, urls, warc
 from sparselin.llm.store import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +42,77 @@ def op5(spark, sf):
     """Sequences of at most 1,024 tokens from all documents."""
     pieces = token_files.piece_table(documents(spark, sf), "byte_bpe_50k.json", end_id=2, size=1024)
     return packing.pack(pieces, 1024)
+
+
+QUALITY_SQL = r"""
+with t as (select doc_id, coalesce(text, '') as text from documents),
+     w as (select doc_id, text,
+                  list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') as words,
+                  string_split(text, chr(10)) as lines,
+                  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as filled
+           from t),
+     grams as (select doc_id, i, words[i] as a, words[i + 1] as b, words[i + 2] as c
+               from (select doc_id, words, unnest(generate_series(1, len(words) - 2)) as i from w)),
+     found as (select doc_id, i, count(*) over (partition by doc_id, a, b, c) as n from grams),
+     covered as (select doc_id, count(distinct p) as n from (
+                   select doc_id, unnest([i, i + 1, i + 2]) as p from found where n > 1) group by doc_id),
+     counts as (
+       select doc_id, len(words) as n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) as word_chars,
+              length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols,
+              len(filled) - len(list_distinct(filled)) as n_dup_lines, coalesce(covered.n, 0) as n_repeat_words,
+              len(filled) as n_lines,
+              len(list_filter(words, lambda x: lower(x) in (STOP))) as n_stop_words,
+              len(list_filter(filled, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]'))) as n_bullet_lines,
+              len(list_filter(filled, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) as n_ellipsis_lines
+       from w left join covered using (doc_id)),
+     judged as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from counts)
+select *, not base_failed and n_words <= 1000000 and word_chars / n_words between 2 and 14 and n_symbols / n_words <= 0.1
+          and n_stop_words >= 2 and n_dup_lines / n_lines <= 0.5 and n_bullet_lines / n_lines <= 0.9
+          and n_ellipsis_lines / n_lines <= 0.5 as kept
+from judged
+""".replace("STOP", ", ".join(f"'{w}'" for w in sorted({w for words in quality.STOP_WORDS.values() for w in words})))
+
+
+@query("op6_quality_rules", QUALITY_SQL)
+def op6(spark, sf):
+    """Counts and verdicts of all documents."""
+    return quality.judge(documents(spark, sf))
+
+
+@query("op4_toxicity")
+def op4(spark, sf):
+    """Scores of all documents by a model of the labelled ones that are not held out."""
+    docs = documents(spark, sf)
+    model = toxicity.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    return toxicity.score(docs.select("doc_id", "text"), model).select(
+        "doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"),
+             ("block", "net/fr/")]
+
+
+@query("op8_url_filter")
+def op8(spark, sf):
+    """Verdicts on the urls of all pages."""
+    return urls.judge(spark.read.parquet(f"{sf}/pages.parquet"), URL_RULES)
+
+
+WARC_SQL = """
+with p as (select page_id, encode(coalesce(html, '')) as body from pages),
+     d as (select page_id, octet_length(body) as payload_bytes, sha256(body) as payload_digest from p),
+     f as (select *, case when payload_bytes >= 100 then min(page_id) over (partition by payload_digest)
+                     else page_id end as first from d)
+select page_id, payload_bytes, payload_digest, case when first = page_id then 'response' else 'revisit' end as record_type,
+       case when first = page_id then null else first end as refers_to
+from f
+"""
+
+
+@query("op10_warc", WARC_SQL)
+def op10(spark, sf):
+    """Archives of all pages, read back."""
+    scratch = Scratch(spark, "warc")
+    folder = scratch.path("archives")
+    manifest = scratch.table(warc.write_warc(spark.read.parquet(f"{sf}/pages.parquet"), folder), "manifest")
+    return warc.read_warc(spark, folder, manifest)
