@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparselin.llm import packing, quality, token_files, toxicity, urls, warc
+from sparselin.llm import line_dedup, packing, quality, substring_dedup, token_files, toxicity, urls, warc
 from sparselin.llm.store import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,45 @@ def op10(spark, sf):
     folder = scratch.path("archives")
     manifest = scratch.table(warc.write_warc(spark.read.parquet(f"{sf}/pages.parquet"), folder), "manifest")
     return warc.read_warc(spark, folder, manifest)
+
+
+LINES_SQL = r"""
+with t as (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+     l as (select doc_id, unnest(lines) as line, unnest(generate_series(1, len(lines))) as i from t),
+     k as (select *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
+     m as (select key, min(doc_id) as first from k where length(key) >= 10 group by key having count(distinct doc_id) > 1),
+     j as (select k.*, m.first is not null and m.first <> doc_id as gone from k left join m using (key))
+select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256
+from j group by doc_id
+"""
+
+
+@query("op7_line_dedup", LINES_SQL)
+def op7(spark, sf):
+    """Lines of all documents without those of smaller documents."""
+    kept = line_dedup.drop_repeated_lines(documents(spark, sf).select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+WINDOWS_SQL = r"""
+with t as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words from documents),
+     w as (select doc_id, i, list_aggregate(words[i:i + 34], 'string_agg', ' ') as gram
+           from (select doc_id, words, unnest(generate_series(1, len(words) - 34)) as i from t)),
+     r as (select doc_id, i from (select *, count(*) over (partition by gram) as n from w) where n > 1),
+     gone as (select distinct doc_id, unnest(generate_series(i, i + 34)) as p from r),
+     g as (select doc_id, list(p) as ps from gone group by doc_id),
+     p as (select doc_id, unnest(words) as word, unnest(generate_series(1, len(words))) as p from t),
+     k as (select p.*, gone.p is not null as gone from p left join gone using (doc_id, p))
+select t.doc_id, len(words) as n_words, coalesce(len(g.ps), 0) as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256
+from t left join g using (doc_id)
+left join (select doc_id, string_agg(word, ' ' order by p) filter (not gone) as text from k group by doc_id) kept using (doc_id)
+"""
+
+
+@query("op9_substring_dedup", WINDOWS_SQL)
+def op9(spark, sf):
+    """Words of all documents without repeated passages."""
+    kept = substring_dedup.remove_repeated(documents(spark, sf).select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
