@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparselin.llm import line_dedup, packing, quality, substring_dedup, token_files, toxicity, urls, warc
+from sparselin.llm import line_dedup, near_dup, packing, quality, substring_dedup, token_files, toxicity, urls, warc
 from sparselin.llm.store import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,3 +158,24 @@ def op9(spark, sf):
     """Words of all documents without repeated passages."""
     kept = substring_dedup.remove_repeated(documents(spark, sf).select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+NEAR_SQL = r"""
+with recursive t as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                            'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+     s as (select distinct doc_id, case when len(w) < 3 then array_to_string(w, ' ') else w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] end as g
+           from (select doc_id, w, unnest(generate_series(1, greatest(len(w) - 2, 1))) as i from t where len(w) > 0)),
+     n as (select doc_id, count(*) as n from s group by doc_id),
+     p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+     l as materialized (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+     e as materialized (select a, b from l union all select b, a from l),
+     r as (select doc_id as d, doc_id as m from n union select e.a, r.m from r join e on e.b = r.d and r.m < e.a)
+select t.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(q.m, t.doc_id) as component_id, coalesce(q.m, t.doc_id) = t.doc_id as kept
+from t left join n using (doc_id) left join (select d as doc_id, min(m) as m from r group by d) q using (doc_id)
+"""
+
+
+@query("op3_near_duplicates", NEAR_SQL)
+def op3(spark, sf):
+    """Classes of near-duplicates among all documents, on three-word shingles at 0.85."""
+    return near_dup.near_duplicates(documents(spark, sf), shingle=3, percent=85)
