@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from sparselin.llm.components import components
 from sparselin.llm.store import Scratch, map_batches, partitions
-from sparselin.llm.words import U64, chain, join, mix, words_of
+from sparselin.llm.words import LOWER, U64, chain, join, mix, words_of
 from sparselin.session import ship_package
 
 BANDS, BAND_ROWS = 24, 5
@@ -41,7 +41,7 @@ SIGNATURES = "doc_id long, n_shingles long, f long, g long, bands array<bigint>,
 
 def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """``(text, shingle hash)`` of each distinct shingle, in that order."""
-    words = words_of(texts, lower=True)
+    words = words_of(texts, LOWER)
     hashes = words.hashes()
     counts, owner = words.counts(), words.owner()
     found = words.windows(size)

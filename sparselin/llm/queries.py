@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparselin.llm import line_dedup, near_dup, packing, quality, substring_dedup, token_files, toxicity, urls, warc
+from sparselin.llm import decontaminate, line_dedup, near_dup, packing, quality, substring_dedup, token_files, toxicity, urls, warc
 from sparselin.llm.store import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -179,3 +179,9 @@ from t left join n using (doc_id) left join (select d as doc_id, min(m) as m fro
 def op3(spark, sf):
     """Classes of near-duplicates among all documents, on three-word shingles at 0.85."""
     return near_dup.near_duplicates(documents(spark, sf), shingle=3, percent=85)
+
+
+@query("op2_decontamination")
+def op2(spark, sf):
+    """Every benchmark item in every document, by word edits."""
+    return decontaminate.find(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))

@@ -16,6 +16,9 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"):ord("Z") + 1] += 32
+# Lower case, with ASCII characters other than letters and digits as blanks.
+BARE = LOWER.copy()
+BARE[[b for b in range(128) if not chr(b).isalnum()]] = 0x20
 # Keeps the first n bytes of a little-endian 8-byte load.
 KEEP = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], dtype=U64)
 
@@ -82,10 +85,11 @@ class Words:
         return np.flatnonzero(np.arange(len(self.starts)) + size <= room)
 
 
-def words_of(texts: pa.Array, lower: bool = False) -> Words:
+def words_of(texts: pa.Array, fold: np.ndarray | None = None) -> Words:
+    """``fold`` maps each byte before words are cut."""
     body, at = text_bytes(texts)
-    if lower:
-        body = LOWER[body]
+    if fold is not None:
+        body = fold[body]
     inside = ~SPACE[body]
     # Texts touch each other: a word also starts or ends where its text does.
     edge = np.zeros(len(body) + 1, bool)
