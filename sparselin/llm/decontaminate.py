@@ -203,7 +203,7 @@ def find(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, recall: floa
 def remove(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, recall: float = RECALL) -> DataFrame:
     """``docs`` without the documents that contain an item; nothing is shuffled."""
     at = docs.columns.index("text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    schema = docs.schema
     for items in blocks(benchmark, rate, recall):
         def task(part, items=items):
             clean = np.ones(part.num_rows, bool)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparselin.llm.mph import PerfectHash
-from sparselin.llm.store import Scratch, map_batches, partitions
+from sparselin.llm.store import Scratch, extended, map_batches, named, others, partitions, unused
 from sparselin.llm.words import LOWER, U64
 
 MIN_POINTS = 10
@@ -31,6 +31,7 @@ SHARD_KEYS = 1 << 18
 HOT_ROWS = 1 << 20
 STRIP = b" \t\n\x0b\x0c\r"
 FOLD = LOWER.tobytes()
+COUNTS = "n_lines long, n_dropped long"
 INDEX = "shard long, words binary, starts binary, fingerprints binary, counts binary, owners binary"
 
 
@@ -108,11 +109,14 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, min_points: int) -> DataFr
 
 
 def drop_repeated_lines(docs: DataFrame, min_points: int = MIN_POINTS) -> DataFrame:
-    """``docs`` (``doc_id, text`` and more) with the repeated lines gone, ``n_lines`` before and ``n_dropped``."""
+    """``docs`` (``doc_id, text`` and more) with the repeated lines gone, ``n_lines`` before and ``n_dropped``.
+
+    Columns of those names are replaced.
+   """
     scratch = Scratch(docs.sparkSession, "lines")
     drops = repeated_lines(docs, scratch, min_points)
-    names = docs.columns
-    joined = docs.join(drops.hint("shuffle_hash"), "doc_id", "left").select(*names, "_drops")
+    names, gone_here = others(docs, COUNTS), unused(docs, "_drops")
+    joined = docs.join(drops.withColumnRenamed("_drops", gone_here).hint("shuffle_hash"), "doc_id", "left").select(*named([*names, gone_here]))
 
     def task(part):
         at = names.index("text")
@@ -130,5 +134,4 @@ def drop_repeated_lines(docs: DataFrame, min_points: int = MIN_POINTS) -> DataFr
         yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())],
                                          names=[*names, "n_lines", "n_dropped"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_batches(joined, task, f"{schema}, n_lines long, n_dropped long")
+    return map_batches(joined, task, extended(docs, names, COUNTS))

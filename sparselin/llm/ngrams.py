@@ -19,7 +19,7 @@ def features(texts: list[str], orders: range, bits: int, salt: int = 0, fold: bo
     ends = np.flatnonzero(points == 0)
     sizes = np.diff(np.concatenate([[-1], ends]))
     owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
-    left = np.repeat(ends, sizes) - np.arange(len(points))
+    left = np.repeat(ends, sizes).astype(np.int32) - np.arange(len(points), dtype=np.int32)
     values = points.astype(U64) + U64(1)
     texts_of, found = [], []
     h = np.full(len(points), U64(salt * 2 + 1) * STEP)
@@ -32,8 +32,8 @@ def features(texts: list[str], orders: range, bits: int, salt: int = 0, fold: bo
         if order >= orders.start:
             inside = left[:n] >= order
             texts_of.append(owner[:n][inside])
-            found.append(((h[inside] * U64(0xBF58476D1CE4E5B9)) >> U64(64 - bits)).astype(np.int64))
-    return np.concatenate(texts_of or [np.empty(0, np.int32)]), np.concatenate(found or [np.empty(0, np.int64)])
+            found.append(((h[inside] * U64(0xBF58476D1CE4E5B9)) >> U64(64 - bits)).astype(np.int32))
+    return np.concatenate(texts_of or [np.empty(0, np.int32)]), np.concatenate(found or [np.empty(0, np.int32)])
 
 
 def distinct(owner: np.ndarray, feature: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:

@@ -22,7 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparselin.llm.store import Scratch, map_batches, partitions
+from sparselin.llm.store import Scratch, extended, map_batches, named, others, partitions, unused
+
+PLACES = "sequence_id long, offset long"
 
 
 class Gaps:
@@ -69,33 +71,32 @@ def match_runs(counts: dict[int, int], size: int) -> list[tuple[int, int, int]]:
 
 
 def pack(pieces: DataFrame, size: int = 1024) -> DataFrame:
-    """``pieces`` (``doc_id, piece, length`` and more) with ``sequence_id`` and ``offset``."""
+    """``pieces`` (``doc_id, piece, length`` and more) with ``sequence_id`` and ``offset``; columns of those names are replaced."""
     spark = pieces.sparkSession
     scratch = Scratch(spark, "packing")
+    names, at_here = others(pieces, PLACES), unused(pieces, "_at")
     written = scratch.table(pieces, "pieces")
     order = [F.desc("length"), F.col("doc_id"), F.col("piece")]
     # The high bits of the row number are the partition, the low 33 the place in it.
     ranked = scratch.table(
         written.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
-        .withColumn("_at", F.monotonically_increasing_id()), "ranked")
+        .withColumn(at_here, F.monotonically_increasing_id()), "ranked")
     scratch.drop("pieces")
     counts = {r["length"]: r["n"] for r in ranked.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    rows = ranked.groupBy(F.shiftright("_at", 33).alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()
+    rows = ranked.groupBy(F.shiftright(at_here, 33).alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()
     before = np.zeros(max([r["part"] for r in rows], default=0) + 2, np.int64)
     for r in rows:
         before[r["part"] + 1] = r["n"]
     before = np.cumsum(before)
     runs = np.array(match_runs(counts, size), np.int64).reshape(-1, 3)
-    fields = [f for f in ranked.schema if f.name != "_at"]
-    names = [f.name for f in fields] + ["sequence_id", "offset"]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["sequence_id long", "offset long"])
 
     def place(rows):
-        at = rows.column("_at").to_numpy()
+        at = rows.column(at_here).to_numpy()
         rank = before[at >> 33] + (at & ((1 << 33) - 1))
         run = np.searchsorted(runs[:, 0], rank, "right") - 1
-        columns = [rows.column(n) for n in names[:-2]]
+        columns = rows.columns[:-1]
         yield pa.RecordBatch.from_arrays(
-            [*columns, pa.array(runs[run, 1] + rank - runs[run, 0]), pa.array(runs[run, 2])], names=names)
+            [*columns, pa.array(runs[run, 1] + rank - runs[run, 0]), pa.array(runs[run, 2])],
+            names=[*names, "sequence_id", "offset"])
 
-    return map_batches(ranked.select(*names[:-2], "_at"), place, schema)
+    return map_batches(ranked.select(*named([*names, at_here])), place, extended(pieces, names, PLACES))

@@ -6,23 +6,27 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparselin.session import scratch_path, ship_package
 
 
-def map_batches(df: DataFrame, task: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str,
+def map_batches(df: DataFrame, task: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | T.StructType,
                 slice_bytes: int = 1 << 22) -> DataFrame:
     """``mapInArrow`` over slices of about ``slice_bytes``, so a task's arrays stay small whatever the batch."""
     ship_package(df.sparkSession)
 
+    names = df.columns
+
     def run(batches):
         for batch in batches:
             for part in slices(batch, slice_bytes):
-                yield from task(part)
+                yield from task(part.rename_columns(names))
 
-    return df.mapInArrow(run, schema)
+    # Spark looks columns up by name here, and would take a dot in it for a path.
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(run, schema)
 
 
 def slices(batch: pa.RecordBatch, limit: int) -> Iterator[pa.RecordBatch]:
@@ -68,6 +72,29 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
+def others(df: DataFrame, made: str) -> list[str]:
+    """Columns of ``df`` but those an operator makes (a schema string); names are compared without case."""
+    taken = {f.name.lower() for f in T.StructType.fromDDL(made)}
+    return [c for c in df.columns if c.lower() not in taken]
+
+
+def named(names: list[str]) -> list[Column]:
+    """Columns by their literal names, dots and quotes included."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
+def extended(df: DataFrame, names: list[str], made: str) -> T.StructType:
+    """Schema of the named columns of ``df`` and those of a schema string."""
+    return T.StructType([df.schema[n] for n in names] + T.StructType.fromDDL(made).fields)
+
+
 def text_column(column: str = "text"):
     """A null text is an empty one."""
     return F.coalesce(F.col(column), F.lit("")).alias(column)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparselin.llm.store import Scratch, map_batches, partitions, slices
+from sparselin.llm.store import extended, map_batches, named, others, partitions, slices, unused
 from sparselin.llm.words import U64, Words, chain, mix, words_of
 from sparselin.session import ship_package
 
@@ -32,6 +32,7 @@ ANCHOR = 16
 ROWS = 2
 MAX_BITS = 29
 RANGE_BITS = 20
+COUNTS = "n_words long, n_removed long"
 # Anchors a task holds before it sends their cells.
 SEND = 1 << 20
 
@@ -138,12 +139,15 @@ def estimated(words: Words, hashes: np.ndarray, size: int, bits: int, twice: lis
 
 
 def remove_repeated(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """``docs`` (``text`` and more): ``text`` holds the words kept, joined by blanks; ``n_words``, ``n_removed``."""
+    """``docs`` (``text`` and more): ``text`` holds the words kept, joined by blanks; ``n_words``, ``n_removed``.
+
+    Columns of those names are replaced.
+   """
     spark = docs.sparkSession
     bits = sketch_bits(docs, size)
     twice = spark.sparkContext.broadcast(sketch(docs, size, bits))
-    names = docs.columns
-    keyed = docs.withColumn("_row", F.xxhash64(*[c for c in ("doc_id", "text") if c in names]))
+    names, row, alone_here = others(docs, COUNTS), unused(docs, "_row"), unused(docs, "_alone")
+    keyed = docs.withColumn(row, F.xxhash64(*[c for c in ("doc_id", "text") if c in names]))
 
     def windows(part):
         words = words_of(part.column(1))
@@ -156,10 +160,10 @@ def remove_repeated(docs: DataFrame, size: int = SIZE) -> DataFrame:
             names=["_row", "at", "a", "b"])
 
     # A window that is alone has one place, and any aggregate over one row is that row.
-    alone = (map_batches(keyed.select("_row", "text"), windows, "_row long, at int, a long, b long")
+    alone = (map_batches(keyed.select(F.col(row).alias("_row"), "text"), windows, "_row long, at int, a long, b long")
              .groupBy("a", "b").agg(F.count("*").alias("n"), F.max("_row").alias("_row"), F.max("at").alias("at")).where("n = 1")
-             .groupBy("_row").agg(F.collect_list("at").alias("_alone")))
-    joined = keyed.join(alone.hint("shuffle_hash"), "_row", "left").select(*names, "_alone")
+             .groupBy(F.col("_row").alias(row)).agg(F.collect_list("at").alias(alone_here)))
+    joined = keyed.join(alone.hint("shuffle_hash"), row, "left").select(*named([*names, alone_here]))
 
     def remove(part):
         place = names.index("text")
@@ -182,5 +186,4 @@ def remove_repeated(docs: DataFrame, size: int = SIZE) -> DataFrame:
         columns = [*part.columns[:place], pa.array(kept, pa.string()), *part.columns[place + 1:len(names)]]
         yield pa.RecordBatch.from_arrays([*columns, pa.array(words.counts()), pa.array(removed)], names=[*names, "n_words", "n_removed"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_batches(joined, remove, f"{schema}, n_words long, n_removed long")
+    return map_batches(joined, remove, extended(docs, names, COUNTS))

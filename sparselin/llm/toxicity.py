@@ -7,8 +7,8 @@ and P and N all of them. Features whose ratio is within ``MIN_Z`` standard error
 
 The fit takes at most ``TRAIN_ROWS`` labelled texts, in the order of a hash of their ids; scoring takes every
 whole text. Rows: a null or empty text is scored by the intercept; a null id is never a training row;
-repeated rows are scored each; of contradicting labels of an id the toxic one counts; null labels and other
-columns are ignored. Without two classes to learn from, every score is the share of toxic rows (0 if none).
+repeated rows are scored each; of contradicting labels of an id the toxic one counts; null labels are ignored;
+other columns stay as they are. Without two classes to learn from, every score is the share of toxic rows (0 if none).
 """
 
 from __future__ import annotations
@@ -21,8 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparselin.llm.ngrams import distinct, features, logistic
-from sparselin.llm.store import Scratch, map_batches, text_column
+from sparselin.llm.store import Scratch, extended, map_batches, named, others, slices, text_column
 from sparselin.plans.fit import fit as fit_linear
+from sparselin.session import ship_package
 
 ORDERS = range(3, 6)
 BITS = 20
@@ -30,6 +31,9 @@ TRAIN_ROWS = 20_000
 MIN_TEXTS = 5
 MIN_Z = 4.0
 SMOOTHING = 1.0
+# Bytes of text whose n-grams a task holds at once.
+SLICE = 1 << 19
+SCORES = "score double, predicted int"
 
 
 @dataclass
@@ -57,16 +61,22 @@ def training_rows(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
 
 def count_features(rows: DataFrame) -> DataFrame:
     """``feature, toxic, other``: training texts of either class that have each feature."""
-    def task(part):
-        toxic = part.column(1).to_numpy(zero_copy_only=False).astype(bool)
-        owner, feature = distinct(*features(part.column(0).to_pylist(), ORDERS, BITS), BITS)
-        found, slot = np.unique(feature, return_inverse=True)
-        positive = np.bincount(slot, weights=toxic[owner], minlength=len(found)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(found), pa.array(positive), pa.array(np.bincount(slot, minlength=len(found)) - positive)],
-            names=["feature", "toxic", "other"])
-
-    partial = map_batches(rows.select("text", "toxic"), task, "feature long, toxic long, other long", 1 << 23)
+    def count(batches):
+        counts = np.zeros((2, 1 << BITS), np.int64)
+        for batch in batches:
+            for part in slices(batch, SLICE):
+                toxic = part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+                owner, feature = distinct(*features(part.column(0).to_pylist(), ORDERS, BITS), BITS)
+                for k in range(2):
+                    counts[k] += np.bincount(feature[toxic[owner] == k], minlength=1 << BITS)
+        found = np.flatnonzero(counts.any(axis=0))
+        for at in range(0, len(found), 1 << 16):
+            some = found[at:at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[1, some]), pa.array(counts[0, some])],
+                                             names=["feature", "toxic", "other"])
+
+    ship_package(rows.sparkSession)
+    partial = rows.select("text", "toxic").mapInArrow(count, "feature long, toxic long, other long")
     return partial.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
@@ -85,7 +95,7 @@ def scaled_rows(rows: DataFrame, feature: np.ndarray, ratio: np.ndarray) -> Data
             names=["row_id", "label", "indices", "values"])
 
     return map_batches(rows.select("text", "toxic"), task,
-                       "row_id long, label double, indices array<bigint>, values array<double>")
+                       "row_id long, label double, indices array<bigint>, values array<double>", SLICE)
 
 
 def chosen_features(texts: list[str], feature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,8 +133,9 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on), for every whole text."""
-    names = docs.columns
+    """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on), for every whole text; columns of those names are replaced."""
+    names = others(docs, SCORES)
+    docs = docs.select(*named(names))
     weights, intercept, feature = model.weight, model.intercept, model.feature
 
     def task(part):
@@ -135,5 +146,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         yield pa.RecordBatch.from_arrays(
             [*part.columns, pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_batches(docs, task, f"{schema}, score double, predicted int", 1 << 21)
+    return map_batches(docs, task, extended(docs, names, SCORES), SLICE)
