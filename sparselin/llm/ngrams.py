@@ -22,7 +22,7 @@ def features(texts: list[str], orders: range, bits: int, salt: int = 0, fold: bo
     left = np.repeat(ends, sizes).astype(np.int32) - np.arange(len(points), dtype=np.int32)
     values = points.astype(U64) + U64(1)
     texts_of, found = [], []
-    h = np.full(len(points), U64(salt * 2 + 1) * STEP)
+    h = np.full(len(points), U64((salt * 2 + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
     for order in range(1, orders.stop):
         n = len(points) - order + 1
         if n <= 0:
