@@ -9,11 +9,12 @@ probability of 5e-5, at 0.85 of 8e-7. The samples are also folded into an odd sk
 each flips a bit, so the bits in which two sketches differ tell in how many samples the documents do. Pairs
 whose estimate lies more than ``SLACK``, six standard errors, below the threshold are not looked at further.
 
-Links are found in two steps, neither of which takes all pairs of a bucket. First each class is compared with
-the smallest id among its buckets. Then, in buckets that still hold several components, the members of
-different components are screened against each other, in blocks of at most ``BLOCK`` by ``BLOCK`` sketches that
-spread over tasks; only pairs that pass are ever rows. After that every pair of a bucket is linked, refuted or
-joined already, so components are what all links would give.
+Links are found in two steps, neither of which has all pairs as rows. First each class is compared with the
+smallest id among its buckets. Then, where classes that share buckets are still of several components, those
+outside the largest one meet all others in blocks of about ``BLOCK`` classes, which spread over tasks. A meeting
+compares sketches, then full sets, of members of different components, and gives only links that join two of
+them, fewer than it has members. After that every pair of a bucket is linked, refuted or joined already, so
+components are what all links would give.
 
 Rows: a null or wordless text has an empty set, which is linked with nothing; a null id keeps a null component
 and stays; repeated rows are of one class, and rows of one id count as one document; other columns are ignored.
@@ -29,13 +30,13 @@ from pyspark.sql import functions as F
 
 from sparselin.llm.components import components
 from sparselin.llm.store import Scratch, map_batches, partitions
-from sparselin.llm.words import LOWER, U64, chain, join, mix, words_of
+from sparselin.llm.words import LOWER, U64, chain, join, mix, spread_runs, words_of
 from sparselin.session import ship_package
 
 BANDS, BAND_ROWS = 24, 5
 SKETCH_BITS = 512
 SLACK = 0.22
-BLOCK = 512
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 SIGNATURES = "doc_id long, n_shingles long, f long, g long, bands array<bigint>, sketch binary"
 
 
@@ -137,59 +138,91 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return map_batches(pairs.join(one, "a").join(other, "b").select("a", "b", "ta", "tb"), task, "a long, b long", 1 << 21)
 
 
-def unsettled_pairs(members: DataFrame, sketches: DataFrame, names: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components within a bucket whose sketches allow the threshold."""
+def grouped(batches, keys: list[str]):
+    """Tables of the rows with equal keys, from batches sorted by them; a group may span batches."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        values = np.stack([table.column(c).to_numpy() for c in keys])
+        edges = np.concatenate([[0], np.flatnonzero((values[:, 1:] != values[:, :-1]).any(axis=0)) + 1])
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            yield table.slice(a, b - a)
+        held = table.slice(int(edges[-1]))
+    if held is not None and len(held):
+        yield held
+
+
+def meeting(table: pa.Table, size: int, percent: int) -> list[tuple[int, int]]:
+    """Links that join components within one meeting of queries and targets, by their full sets."""
+    ids, names, asks = (table.column(c).to_numpy() for c in ("doc_id", "component", "asks"))
+    names, bits = names.copy(), bits_of(table.column("sketch"))
+    owner, values = shingle_sets(table.column("text").combine_chunks(), size)
+    sizes = np.bincount(owner, minlength=len(ids))
+    starts = np.cumsum(sizes) - sizes
+    distinct, place = np.unique(values, return_inverse=True)
+    mark = np.zeros(len(distinct), bool)
+    targets, out = np.flatnonzero(asks == 0), []
+    for i in np.flatnonzero(asks == 1).tolist():
+        others = targets[names[targets] != names[i]]
+        # No intersection is larger than the smaller set, nor a union smaller than the larger one.
+        others = others[100 * np.minimum(sizes[others], sizes[i]) >= percent * np.maximum(sizes[others], sizes[i])]
+        differing = np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1)
+        others = others[estimate(differing) >= percent / 100 - SLACK]
+        if not len(others):
+            continue
+        mine = place[starts[i]:starts[i] + sizes[i]]
+        mark[mine] = True
+        hits = mark[place[spread_runs(starts[others], sizes[others])]]
+        common = np.add.reduceat(hits.astype(np.int64), np.cumsum(sizes[others]) - sizes[others])
+        mark[mine] = False
+        linked = others[100 * common >= percent * (sizes[others] + sizes[i] - common)]
+        for name in np.unique(names[linked]).tolist():
+            other = linked[names[linked] == name][0] if (names[linked] == name).any() else None
+            if other is not None and name != names[i]:
+                out.append((int(min(ids[i], ids[other])), int(max(ids[i], ids[other]))))
+                names[names == name] = names[i]
+    return out
+
+
+def remaining_links(members: DataFrame, standing: DataFrame, texts: DataFrame, names: DataFrame, scratch: Scratch,
+                    size: int, percent: int) -> DataFrame:
+    """``a, b``: links that join the components of a family, as far as the stars have left it in several.
+
+    A family is what shares buckets, directly or over others, so it holds every pair of a bucket. The members
+    outside its largest component are the queries, all members the targets, both in blocks.
+    """
     spark = members.sparkSession
     ship_package(spark)
-    named = members.join(names.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select(
-        "doc_id", "bucket", F.coalesce("component", "doc_id").alias("component"))
-    mixed = (named.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y"))
-             .where("x < y").select("bucket", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks")))
-    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
-    # Every block of a bucket meets every other and itself once.
-    dealt = (named.join(mixed, "bucket").join(sketches.select("doc_id", "sketch"), "doc_id")
-             .withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-             .select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc_id", "component", "sketch"))
-
-    def meet(ids, names, blocks, sketches):
-        """Pairs of one meeting; one row of the matrix at a time."""
-        first = blocks == blocks.min()
-        left, right = np.flatnonzero(first), np.flatnonzero(~first)
-        same = not len(right)
-        for i in left.tolist():
-            others = np.arange(i + 1, len(ids)) if same else right
-            others = others[names[others] != names[i]]
-            differing = np.bitwise_count(sketches[others] ^ sketches[i]).sum(axis=1)
-            yield ids[i], ids[others[estimate(differing) >= percent / 100 - SLACK]]
+    families = components(members.select(F.col("doc_id").alias("a"), F.col("first").alias("b")), scratch, "families")
+    placed = (families.select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
+              .join(names.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+              .join(standing.select("doc_id", "n_shingles"), "doc_id")
+              .select("doc_id", "family", F.coalesce("component", "doc_id").alias("component"), "n_shingles"))
+    parts = placed.groupBy("family", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    large = F.max(F.struct("n", "component", "s"))
+    mixed = parts.groupBy("family").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("s").alias("s"), large.alias("large")).where("k > 1")
+
+    def blocks(n, s):
+        return F.ceil(F.greatest(n / BLOCK, s / BLOCK_SHINGLES, F.lit(1.0))).cast("long")
+
+    mixed = mixed.select("family", F.col("large.component").alias("large"), blocks(F.col("n"), F.col("s")).alias("target_blocks"),
+                         blocks(F.col("n") - F.col("large.n"), F.col("s") - F.col("large.s")).alias("query_blocks"))
+    met = placed.join(mixed, "family").withColumn("h", F.xxhash64("doc_id"))
+    everywhere = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    queries = met.where("component <> large").select(
+        "doc_id", "component", "family", F.pmod("h", "query_blocks").alias("q"), everywhere("target_blocks").alias("t"), F.lit(1).alias("asks"))
+    targets = met.select(
+        "doc_id", "component", "family", everywhere("query_blocks").alias("q"), F.pmod("h", "target_blocks").alias("t"), F.lit(0).alias("asks"))
+    dealt = queries.unionAll(targets).join(standing.select("doc_id", "sketch"), "doc_id").join(texts, "doc_id")
 
     def task(batches):
-        held = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = table if held is None else pa.concat_tables([held, table])
-            keys = np.stack([table.column(c).to_numpy() for c in ("bucket", "lo", "hi")])
-            edges = np.concatenate([[0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1])
-            # The last meeting may go on in the next batch.
-            held = table.slice(int(edges[-1]))
-            yield from meetings(table, edges)
-        if held is not None and len(held):
-            yield from meetings(held, np.array([0, len(held)]))
-
-    def meetings(table, edges):
-        if len(edges) < 2:
-            return
-        table = table.slice(0, int(edges[-1]))
-        ids, names, blocks = (table.column(c).to_numpy() for c in ("doc_id", "component", "block"))
-        bits, a, b = bits_of(table.column("sketch")), [], []
-        for start, end in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            for one, others in meet(ids[start:end], names[start:end], blocks[start:end], bits[start:end]):
-                a.append(np.minimum(others, one))
-                b.append(np.maximum(others, one))
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-
-    dealt = dealt.repartition(partitions(spark), "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
-    return dealt.mapInArrow(task, "a long, b long").distinct()
+        for table in grouped(batches, ["family", "q", "t"]):
+            if links := meeting(table, size, percent):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], names=["a", "b"])
+
+    dealt = dealt.repartition(partitions(spark), "family", "q", "t").sortWithinPartitions("family", "q", "t")
+    return dealt.mapInArrow(task, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -203,7 +236,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     # One class for each set; its smallest id stands for it.
     classes = scratch.table(usable.groupBy("f", "g", "n_shingles").agg(F.min("doc_id").alias("doc_id")), "classes")
     standing = scratch.table(usable.join(classes.select("doc_id", "f", "g"), ["doc_id", "f", "g"], "left_semi")
-                             .select("doc_id", "bands", "sketch"), "standing")
+                             .select("doc_id", "n_shingles", "bands", "sketch"), "standing")
     exploded = standing.select("doc_id", F.explode("bands").alias("bucket"))
     full = exploded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1").drop("n")
     members = scratch.table(exploded.join(full, "bucket"), "members")
@@ -212,10 +245,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     stars = members.where("doc_id <> first").groupBy("doc_id").agg(F.min("first").alias("a")).select("a", F.col("doc_id").alias("b"))
     links = scratch.table(confirmed(screened(stars, standing, percent), texts, shingle, percent), "links-1")
     names = components(links, scratch, "stars")
-    left = scratch.table(unsettled_pairs(members, standing, names, percent), "unsettled")
-    more = scratch.table(confirmed(left, texts, shingle, percent), "links-2")
+    more = scratch.table(remaining_links(members, standing, texts, names, scratch, shingle, percent), "links-2")
     names = components(links.unionAll(more), scratch, "all")
-    scratch.drop("members", "texts", "unsettled")
+    scratch.drop("members", "texts")
     named = classes.join(names.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select(
         "f", "g", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
     return signed.select("doc_id", "n_shingles", "f", "g").join(named, ["f", "g", "n_shingles"], "left").select(
