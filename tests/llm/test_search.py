@@ -68,6 +68,7 @@ def test_a_bucket_whose_smallest_id_is_no_hub(spark, prose):
 
 def test_blocks_of_a_large_bucket(spark, prose, monkeypatch):
     monkeypatch.setattr(near_dup, "BLOCK", 7)
+    monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", 900)
     words = prose(9, 400).split(" ")
     rows = [(i, " ".join(words[3 * i:3 * i + 180])) for i in range(60)]
     got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
