@@ -14,7 +14,7 @@ item has at that place are left at once. ``repetitions`` derives how many are ne
 Candidates are verified by exact edit distance, so what is reported is right, and only recall is a matter of chance.
 
 Items are sent to all tasks in blocks of at most ``BLOCK_WORDS`` words, with one pass over the documents for
-each block. Rows: null texts and items have no words; repeated documents are judged each, repeated items give
+each block. Walks whose key so far no item has are given up on the way. Rows: null texts and items have no words; repeated documents are judged each, repeated items give
 a row each; null ids stay null; other columns stay as they are. Empty tables give no matches.
 """
 
@@ -28,14 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from sparselin.llm.store import map_batches, text_column
-from sparselin.llm.words import BARE, U64, Words, join, mix, words_of
+from sparselin.llm.words import BARE, U64, Words, join, mix, spread_runs, words_of
 
 RATE = 0.2
 RECALL = 0.99
-STEPS = 8
-SAMPLED = 3
+STEPS = 10
+SAMPLED = 5
 BLOCK_WORDS = 1 << 20
 TABLE_BITS = 18
+# Candidates whose words are compared at once.
+CHECKED = 1 << 14
 MATCHES = "item_id long, start long, distance int, item_words int"
 
 
@@ -54,7 +56,9 @@ class Items:
 
     ids: list
     words: list[np.ndarray]
+    pairs: np.ndarray
     first: np.ndarray
+    seen: list[np.ndarray]
     keys: list[np.ndarray]
     owner: list[np.ndarray]
     offset: list[np.ndarray]
@@ -70,21 +74,34 @@ def coordinates(repetition: int) -> list[int]:
     return [0, *sorted(int(x) for x in drawn)]
 
 
-def walk_keys(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, repetition: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the walks from ``starts`` that stay before ``ends``, and which starts those are."""
+def walk_keys(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, repetition: int, seen=None):
+    """Keys of the walks from ``starts`` that stay before ``ends``, which starts those are, and the keys on the way.
+
+    ``seen`` holds, for each sampled coordinate, which short hashes of keys items have there; walks without
+    one are given up, as no item can have their key.
+    """
     moves = mix(hashes ^ seed(repetition))
     sampled = coordinates(repetition)
     alive, at = np.arange(len(starts)), starts.copy()
-    key = np.full(len(starts), repetition, U64)
+    key, on_the_way = np.full(len(starts), repetition, U64), []
     for step in range(sampled[-1] + 1):
         if step in sampled:
             key = join(key, hashes[at])
+            if seen is None:
+                on_the_way.append(short(key))
+            else:
+                keep = seen[sampled.index(step)][short(key)]
+                alive, at, key = alive[keep], at[keep], key[keep]
         if step < sampled[-1]:
             at = at + (moves[at] >> U64(step) & U64(1)).astype(np.int64)
             inside = at < ends[alive]
             if not inside.all():
                 alive, at, key = alive[inside], at[inside], key[inside]
-    return key, alive
+    return key, alive, on_the_way
+
+
+def short(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> U64(64 - TABLE_BITS)).astype(np.int64)
 
 
 def index(rows: list[tuple], rate: float, recall: float) -> Items:
@@ -99,17 +116,24 @@ def index(rows: list[tuple], rate: float, recall: float) -> Items:
     begins = np.cumsum(sizes) - sizes
     n = repetitions(rate, recall)
     first = np.zeros(1 << TABLE_BITS, np.uint64)
-    out = Items(ids, words, first, [], [], [])
+    # Which words an item has, as hashes of both.
+    pairs = np.unique(join(flat, np.repeat(np.arange(len(words)), sizes).astype(U64)))
+    out = Items(ids, words, pairs, first, [], [], [], [])
     for r in range(n):
         # Offsets go evenly from the item's start to the last place a walk stays inside.
         offset = np.round((sizes - STEPS) * (r / max(n - 1, 1))).astype(np.int64)
         starts = begins + offset
-        key, alive = walk_keys(flat, starts, begins + sizes, r)
+        # An item's walk ends before the item does, so none is given up.
+        key, alive, on_the_way = walk_keys(flat, starts, begins + sizes, r)
+        tables = np.zeros((SAMPLED, 1 << TABLE_BITS), bool)
+        for table, found in zip(tables, on_the_way):
+            table[found] = True
+        out.seen.append(tables)
         order = np.argsort(key)
         out.keys.append(key[order])
         out.owner.append(alive[order])
         out.offset.append(offset[alive][order])
-        first[(flat[starts] >> U64(64 - TABLE_BITS)).astype(np.int64)] |= U64(1 << r % 64)
+        first[short(flat[starts])] |= U64(1 << r % 64)
     return out
 
 
@@ -128,49 +152,60 @@ def edit_match(item: np.ndarray, stretch: np.ndarray) -> tuple[int, int]:
 def candidates(words: Words, hashes: np.ndarray, items: Items) -> np.ndarray:
     """Distinct ``(item, first word of the window)`` pairs that some repetition finds."""
     ends = np.repeat(words.bounds[1:], words.counts())
-    flags = items.first[(hashes >> U64(64 - TABLE_BITS)).astype(np.int64)]
-    found = []
-    for r in range(len(items.keys)):
+    flags = items.first[short(hashes)]
+    found = [np.empty((0, 2), np.int64)]
+    for r, keys in enumerate(items.keys):
         starts = np.flatnonzero(flags >> U64(r % 64) & U64(1))
-        key, alive = walk_keys(hashes, starts, ends[starts], r)
-        low = np.searchsorted(items.keys[r], key)
-        hit = np.flatnonzero(items.keys[r][np.minimum(low, len(items.keys[r]) - 1)] == key) if len(items.keys[r]) else []
-        for i in np.asarray(hit, np.int64).tolist():
-            k = int(low[i])
-            while k < len(items.keys[r]) and items.keys[r][k] == key[i]:
-                found.append((int(items.owner[r][k]), int(starts[alive[i]] - items.offset[r][k])))
-                k += 1
-    return np.unique(np.array(found, np.int64).reshape(-1, 2), axis=0)
+        key, alive, _ = walk_keys(hashes, starts, ends[starts], r, items.seen[r])
+        low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+        slot = spread_runs(low, high - low)
+        window = np.repeat(starts[alive], high - low) - items.offset[r][slot]
+        found.append(np.stack([items.owner[r][slot], window], axis=1))
+    return np.unique(np.concatenate(found), axis=0)
 
 
 def matches(words: Words, items: Items, rate: float) -> list[tuple]:
     """``(text, item_id, start, distance, item words)`` of the best match of each item in each text."""
     hashes = words.hashes()
+    if not len(hashes) or not items.ids:
+        return []
     best: dict[tuple[int, int], tuple] = {}
-    done = set()
-    for item, start in candidates(words, hashes, items).tolist():
-        own = items.words[item]
-        edits = int(rate * len(own))
-        # Windows that start within the edits of each other are covered by one stretch.
-        middle = min(max(start + len(own) // 2, 0), len(hashes) - 1)
-        text = int(np.searchsorted(words.bounds, middle, "right")) - 1
-        if (text, item, start // (edits + 1)) in done:
-            continue
-        done.add((text, item, start // (edits + 1)))
-        low, high = max(start - 2 * edits - 1, int(words.bounds[text])), min(start + len(own) + 2 * edits + 1, int(words.bounds[text + 1]))
-        stretch = hashes[low:high]
-        if np.isin(stretch, own).sum() < len(own) - edits:
-            continue
+    for item, text, low, high in plausible(words, hashes, items, rate).tolist():
+        own, stretch = items.words[item], hashes[low:high]
         distance, end = edit_match(own, stretch)
-        if distance <= edits:
+        if distance <= int(rate * len(own)):
             # The same alignment from the other side gives the first word.
             first = low + end - edit_match(own[::-1], stretch[:end][::-1])[1]
             value = (distance, first - int(words.bounds[text]))
-            if (text, item) not in best or value < best[text, item][:2]:
+            if (text, item) not in best or value < best[text, item]:
                 best[text, item] = value
     return [(text, items.ids[item], start, distance, len(items.words[item])) for (text, item), (distance, start) in sorted(best.items())]
 
 
+def plausible(words: Words, hashes: np.ndarray, items: Items, rate: float) -> np.ndarray:
+    """``(item, text, first, end)``: stretches around candidates that have as many words of the item as a match must."""
+    item, start = candidates(words, hashes, items).T
+    sizes = np.array([len(w) for w in items.words], np.int64)[item]
+    edits = (rate * sizes).astype(np.int64)
+    text = np.searchsorted(words.bounds, np.clip(start + sizes // 2, 0, len(hashes) - 1), "right") - 1
+    # Windows that start within the edits of each other are covered by one stretch.
+    _, one = np.unique(np.stack([text, item, start // (edits + 1)], axis=1), axis=0, return_index=True)
+    item, start, sizes, edits, text = (x[one] for x in (item, start, sizes, edits, text))
+    low = np.maximum(start - 2 * edits - 1, words.bounds[text])
+    high = np.minimum(start + sizes + 2 * edits + 1, words.bounds[text + 1])
+    found = [np.empty((0, 4), np.int64)]
+    for at in range(0, len(item), CHECKED):
+        part = slice(at, at + CHECKED)
+        lengths = np.maximum(high[part] - low[part], 0)
+        keys = join(hashes[spread_runs(low[part], lengths)], np.repeat(item[part], lengths).astype(U64))
+        place = np.minimum(np.searchsorted(items.pairs, keys), len(items.pairs) - 1)
+        common = np.concatenate([[0], np.cumsum(items.pairs[place] == keys)])
+        ends = np.cumsum(lengths)
+        enough = common[ends] - common[ends - lengths] >= sizes[part] - edits[part]
+        found.append(np.stack([x[part][enough] for x in (item, text, low, high)], axis=1))
+    return np.concatenate(found)
+
+
 def blocks(benchmark: DataFrame, rate: float, recall: float) -> list[Items]:
     """Indexes of the items, each of a bounded number of words."""
     out, rows, size = [], [], 0
