@@ -30,12 +30,19 @@ def inline_dot(indices: Column, values: Column, weights: Sequence[float]) -> Col
 
 
 def densify(indices: Column, values: Column, n_features: Column | int) -> Column:
-    """The example as a dense array. For looking at rows, not for computing with them."""
-    width = (n_features if isinstance(n_features, Column) else F.lit(n_features)).cast("bigint")
-    cells = F.transform(
-        F.sequence(F.lit(0).cast("bigint"), width - 1),
-        lambda j: F.coalesce(F.get(values, F.array_position(indices, j).cast("int") - 1), F.lit(0.0)),
-    )
+    """The example as a dense array, of ``n_features`` numbers a row. For looking at rows, not for computing.
+
+    Each entry brings the zeros before it, so a row takes one pass; indices ascend.
+    """
+    width = (n_features if isinstance(n_features, Column) else F.lit(n_features)).cast("int")
+
+    def zeros(n: Column) -> Column:
+        return F.array_repeat(F.lit(0.0), F.greatest(n.cast("int"), F.lit(0)))
+
+    runs = F.transform(indices, lambda j, i: F.concat(
+        zeros(j - F.coalesce(F.get(indices, i - 1), F.lit(-1)) - 1), F.array(F.get(values, i))))
+    tail = zeros(width - 1 - F.coalesce(F.element_at(F.when(F.size(indices) > 0, indices), -1), F.lit(-1)))
+    cells = F.slice(F.concat(F.flatten(runs), tail), F.lit(1), width)
     # Naming the arrays outside the lambda as well keeps Spark from evaluating what produces them per cell.
     return F.when(F.size(indices) == F.size(values), cells)
 

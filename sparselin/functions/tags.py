@@ -66,6 +66,7 @@ def reg_param(C: float, n_rows: int) -> float:
     return 1.0 / (C * n_rows)
 
 
-def utc_stamp() -> Column:
-    now = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())
+def utc_stamp(moment: Column | None = None) -> Column:
+    """A moment, by default now, as text in UTC."""
+    now = F.to_utc_timestamp(F.current_timestamp() if moment is None else moment, F.current_timezone())
     return F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")

@@ -25,14 +25,6 @@ def readable(value: Column) -> Column:
         F.try_validate_utf8(value), F.replace(F.make_valid_utf8(value), F.lit("\ufffd"), F.lit("")))
 
 
-def strip(value: Column) -> Column:
-    return F.regexp_replace(value, f"^{SPACE}+|{SPACE}+$", "")
-
-
-def strip_comment(value: Column) -> Column:
-    return strip(F.substring_index(value, "#", 1))
-
-
 def is_data_line(value: Column) -> Column:
     """Neither blank nor a comment line: it starts, after spaces, with something else than ``#``."""
     return value.rlike(f"^{SPACE}*(?!{SPACE})[^#]")

@@ -14,6 +14,8 @@ import pyarrow as pa
 
 # Fixed value: stored entries per packed block, 2**22 of 16 bytes each.
 BLOCK_ENTRIES = 1 << 22
+# Partial sums in a record batch.
+SLICE = 1 << 18
 
 
 @dataclass
@@ -29,7 +31,14 @@ class Batch:
         return np.repeat(np.arange(len(self.labels)), np.diff(self.offsets))
 
     def dot(self, w: np.ndarray, owner: np.ndarray) -> np.ndarray:
-        return np.bincount(owner, weights=self.values * w[self.indices], minlength=len(self.labels))
+        """X w; a feature beyond ``w`` counts 0, as one without weight does."""
+        if self.indices.max(initial=-1) < len(w):
+            products = self.values * w[self.indices]
+        else:
+            known = self.indices < len(w)
+            products = np.zeros(len(self.values))
+            products[known] = self.values[known] * w[self.indices[known]]
+        return np.bincount(owner, weights=products, minlength=len(self.labels))
 
     def add_transposed(self, r: np.ndarray, owner: np.ndarray, out: np.ndarray) -> None:
         """out += Xᵀ r, touching only stored entries when the matrix is wide."""
@@ -86,10 +95,11 @@ def from_blocks(record_batch: pa.RecordBatch) -> Iterator[Batch]:
         yield Batch(*(np.frombuffer(c[i].as_buffer(), dtype=k) for c, k in zip(columns, kinds)))
 
 
-def entries(total: np.ndarray, scalars: dict[int, float]) -> pa.RecordBatch:
-    """A task's partial sums as ``(j, z)``; scalars travel under negative ids."""
+def entries(total: np.ndarray, scalars: dict[int, float]) -> Iterator[pa.RecordBatch]:
+    """A task's partial sums as ``(j, z)``, in slices; scalars travel first, under negative ids."""
+    yield pa.RecordBatch.from_pydict({
+        "j": pa.array(list(scalars), pa.int64()), "z": pa.array(list(scalars.values()), pa.float64())})
     found = np.flatnonzero(total)
-    return pa.RecordBatch.from_pydict({
-        "j": pa.array(np.concatenate([np.fromiter(scalars, np.int64, len(scalars)), found])),
-        "z": pa.array(np.concatenate([np.fromiter(scalars.values(), np.float64, len(scalars)), total[found]])),
-    })
+    for at in range(0, len(found), SLICE):
+        some = found[at:at + SLICE]
+        yield pa.RecordBatch.from_pydict({"j": pa.array(some), "z": pa.array(total[some])})

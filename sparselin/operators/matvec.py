@@ -18,8 +18,8 @@ from sparselin.operators import kernels
 from sparselin.schema import SCORES
 from sparselin.session import MAX_BROADCAST_FEATURES, MAX_BROADCAST_ROWS, is_small, map_in_arrow
 
-# A feature with at least this share of all stored entries is hot; there are at most 1/share of them.
-HOT_SHARE = 1e-3
+# A feature with more entries than this many mean shuffle partitions is hot.
+HOT_PARTITIONS = 1.0
 
 
 def to_coo(rows: DataFrame, *keep: str, outer: bool = False) -> DataFrame:
@@ -29,8 +29,14 @@ def to_coo(rows: DataFrame, *keep: str, outer: bool = False) -> DataFrame:
     return rows.select("row_id", *keep, unnest(pairs).alias("j", "v"))
 
 
-def hot_features(coo: DataFrame, share: float = HOT_SHARE) -> list[int]:
-    """Features that hold at least ``share`` of all entries: no more than 1/share ids."""
+def hot_features(coo: DataFrame, share: float | None = None) -> list[int]:
+    """Features that hold at least ``share`` of all entries: no more than 1/share ids.
+
+    By default a share is what a shuffle partition holds on average, so any other
+    feature adds less than that to the task it meets in.
+    """
+    if share is None:
+        share = HOT_PARTITIONS / int(coo.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = coo.where(F.col("j").isNotNull()).groupBy("j").agg(F.count("*").alias("n"))
     total = counts.select(F.sum("n")).scalar()
     return sorted(r["j"] for r in counts.where(F.col("n") >= total * share).select("j").collect())
@@ -71,8 +77,9 @@ def products(
 ) -> DataFrame:
     """``(row_id, label, x·c for c in columns)`` from one pass; an empty row gives 0."""
     joined = lookup(to_coo(rows, "label", outer=True), vectors, width, hot, max_broadcast)
-    return joined.groupBy("row_id", "label").agg(
-        *(F.sum(F.coalesce(F.col("v") * F.col(c), F.lit(0.0))).alias(f"x_{c}") for c in columns))
+    # Grouped by the id alone, so that later joins on it need no further exchange.
+    return joined.groupBy("row_id").agg(
+        F.any_value("label").alias("label"), *(F.sum(F.coalesce(F.col("v") * F.col(c), F.lit(0.0))).alias(f"x_{c}") for c in columns))
 
 
 def margins(rows: DataFrame, weights: DataFrame, width: int | None = None, **kw) -> DataFrame:
@@ -136,7 +143,10 @@ def score_models(rows: DataFrame, weights: DataFrame, max_broadcast: int = MAX_B
     Every row gets an entry 0 of a feature -1 that every model has with weight 0,
     so each model scores each row, rows without any known feature included.
     """
-    everywhere = weights.select("run_id").distinct().select(
+    runs = weights.select("run_id").distinct()
+    # A row of the table below holds a number of every model.
+    max_broadcast //= max(1, runs.count())
+    everywhere = runs.select(
         "run_id", F.lit(-1).cast("bigint").alias("j"), F.lit(0.0).alias("w"))
     # As many models per feature as the sweep that made them has.
     models = weights.select("run_id", "j", "w").unionByName(everywhere).groupBy("j").agg(
@@ -162,12 +172,13 @@ def transposed(rows: DataFrame, r: Column) -> DataFrame:
     return to_coo(weighted, "_r").groupBy("j").agg(F.sum(F.col("v") * F.col("_r")).alias("z"))
 
 
-def transposed_by_id(coo: DataFrame, r: DataFrame) -> DataFrame:
-    """``Xᵀ r`` for a residual table ``(row_id, r)`` that lives apart from the rows."""
-    return (
-        coo.join(r.where(F.col("r") != 0), "row_id")
-        .groupBy("j").agg(F.sum(F.col("v") * F.col("r")).alias("z"))
-    )
+def transposed_by_id(rows: DataFrame, r: DataFrame) -> DataFrame:
+    """``Xᵀ r`` for a residual table ``(row_id, r)`` that lives apart from the rows.
+
+    Whole rows meet their residual, and their entries are unnested after that.
+    """
+    met = rows.select("row_id", "indices", "values").join(r.where(F.col("r") != 0).select("row_id", "r"), "row_id")
+    return to_coo(met, "r").groupBy("j").agg(F.sum(F.col("v") * F.col("r")).alias("z"))
 
 
 def signed_margin_sum(scores: DataFrame) -> DataFrame:

@@ -68,13 +68,19 @@ def roc_auc(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def threshold_curve(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Confusion counts when predicting positive from each distinct margin upwards."""
+def _swept(scores: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Confusion counts at every distinct margin, NaN included, at which nothing is positive."""
+    counts = score_counts(scores, by).withColumns({
+        "_nan_pos": F.when(F.isnan("margin"), F.col("pos")).otherwise(F.lit(0)),
+        "_nan_neg": F.when(F.isnan("margin"), F.col("neg")).otherwise(F.lit(0)),
+    })
     swept = running_totals(
-        score_counts(scores, by), "margin", {"pos_to": "pos", "neg_to": "neg"}, by,
-        totals={"n_pos": "pos", "n_neg": "neg"},
+        counts, "margin", {"pos_to": "pos", "neg_to": "neg"}, by,
+        totals={"n_pos": "pos", "n_neg": "neg", "nan_pos": "_nan_pos", "nan_neg": "_nan_neg"},
     )
-    below_pos, below_neg = F.col("pos_to") - F.col("pos"), F.col("neg_to") - F.col("neg")
+    # A NaN margin is never positive, so it is below every threshold although it sorts last.
+    below_pos = F.col("pos_to") - F.col("pos") + F.when(F.isnan("margin"), F.col("pos")).otherwise(F.col("nan_pos"))
+    below_neg = F.col("neg_to") - F.col("neg") + F.when(F.isnan("margin"), F.col("neg")).otherwise(F.col("nan_neg"))
     return swept.select(
         *by, "margin", "n_pos", "n_neg",
         (F.col("n_pos") - below_pos).alias("tp"), (F.col("n_neg") - below_neg).alias("fp"),
@@ -82,27 +88,34 @@ def threshold_curve(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def threshold_curve(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Confusion counts when predicting positive from each distinct margin upwards; NaN margins are negative."""
+    return _swept(scores, by).where(~F.isnan("margin"))
+
+
 def best_threshold(scores: DataFrame, metric: str = "acc", by: Sequence[str] = ()) -> DataFrame:
     """The decision threshold with the best accuracy or F1.
 
     Candidates are the distinct margins, of which the smallest wins a tie, and
     then 0.0. The latter can only win where no margin reaches it, that is when
-    predicting nothing as positive is strictly better than every margin.
+    predicting nothing as positive is strictly better than every margin, or
+    where all margins are NaN.
     """
     if metric not in ("acc", "f1"):
         raise ValueError(f"unknown metric {metric!r}; known: acc, f1")
-    curve = threshold_curve(scores, by)
+    curve = _swept(scores, by)
     n = F.col("n_pos") + F.col("n_neg")
     if metric == "acc":
         score, nothing = (F.col("tp") + F.col("tn")) / n, F.col("n_neg") / n
     else:
         score, nothing = f1(F.col("tp"), F.col("fp"), F.col("fn")), F.lit(0.0)
+    usable = ~F.isnan("margin")
     best = curve.select(*by, "margin", score.alias("score"), nothing.alias("nothing")).groupBy(*by).agg(
         # The largest (score, -margin) is the smallest margin among the best scores.
-        F.max(F.struct(F.col("score").alias("s"), (-F.col("margin")).alias("m"))).alias("top"),
-        F.max("margin").alias("largest"), F.max("nothing").alias("nothing"),
+        F.max(F.when(usable, F.struct(F.col("score").alias("s"), (-F.col("margin")).alias("m")))).alias("top"),
+        F.max(F.when(usable, F.col("margin"))).alias("largest"), F.max("nothing").alias("nothing"),
     )
-    zero_wins = (F.col("largest") < 0) & (F.col("nothing") > F.col("top.s"))
+    zero_wins = F.col("top").isNull() | ((F.col("largest") < 0) & (F.col("nothing") > F.col("top.s")))
     return best.select(
         *by, F.lit(metric).alias("metric"),
         F.when(zero_wins, F.lit(0.0)).otherwise(-F.col("top.m") + 0.0).alias("best_threshold"),

@@ -89,17 +89,14 @@ def hessian_vector(rows: DataFrame, vectors: DataFrame, loss: Loss | str, C: flo
 
 # ---------------------------------------------------------- partition strategy
 
-# Fixed value: partial sums added on the driver at most, 16 MiB of ids and numbers.
-MAX_DRIVER_SUMS = 1 << 20
-
 
 class Blocks:
     """Examples packed for repeated passes, and the passes themselves.
 
     Every pass is one job that returns one number per feature. The partial sums of
     the tasks meet in a hash aggregation on the feature id, in which a feature has
-    at most one record per task. Only if all partial sums together are few enough,
-    by the counts of tasks and features, are they added without that exchange.
+    at most one record per task. A task takes several packed partitions if there
+    are more of them than cores, so the partial sums follow the cores.
     """
 
     def __init__(
@@ -115,7 +112,7 @@ class Blocks:
             self.close()
             raise ValueError(f"{n_features} features exceed the dense limit of {MAX_BROADCAST_FEATURES}")
         self.n_features = n_features
-        self._few_sums = self.blocks.rdd.getNumPartitions() * (n_features + 1) <= MAX_DRIVER_SUMS
+        self._tasks = max(1, 2 * self.spark.sparkContext.defaultParallelism)
 
     def _width(self) -> int:
         top = self.blocks.agg(F.max("top")).first()[0]
@@ -135,8 +132,8 @@ class Blocks:
 
     def _collect(self, task, sent) -> tuple[np.ndarray, dict[int, float]]:
         try:
-            parts = map_in_arrow(self.blocks.drop("top"), task, "j bigint, z double")
-            sums = (parts if self._few_sums else parts.groupBy("j").agg(F.sum("z").alias("z"))).toArrow()
+            parts = map_in_arrow(self.blocks.drop("top").coalesce(self._tasks), task, "j bigint, z double")
+            sums = parts.groupBy("j").agg(F.sum("z").alias("z")).toArrow()
         finally:
             sent.destroy()
         j, z = sums["j"].to_numpy(), sums["z"].to_numpy()
@@ -160,7 +157,7 @@ class Blocks:
                     m = b.dot(weights, owner)
                     total += float(loss.value(m, b.labels, np).sum())
                     b.add_transposed(loss.residual(m, b.labels, np), owner, slope)
-            yield kernels.entries(slope, {LOSS_ID: total})
+            yield from kernels.entries(slope, {LOSS_ID: total})
 
         slope, scalars = self._collect(task, sent)
         return scalars.get(LOSS_ID, 0.0), slope
@@ -177,15 +174,16 @@ class Blocks:
                     owner = b.owner
                     d = loss.curvature(b.dot(weights, owner), b.labels, np)
                     b.add_transposed(d * b.dot(direction, owner), owner, out)
-            yield kernels.entries(out, {})
+            yield from kernels.entries(out, {})
 
         return self._collect(task, sent)[0]
 
     def losses_at(self, loss: Loss, models: Sequence[np.ndarray]) -> list[float]:
-        """Σ loss at several weight vectors from one job."""
+        """Σ loss at several weight vectors: one job for as many as fit one broadcast."""
+        size = max(1, MAX_BROADCAST_FEATURES // max(1, self.n_features))
+        if len(models) > size:
+            return [x for i in range(0, len(models), size) for x in self.losses_at(loss, models[i:i + size])]
         stacked = np.stack(models)
-        if stacked.size > MAX_BROADCAST_FEATURES:
-            raise ValueError("too many weights for one pass; split the models")
         sent = self.spark.sparkContext.broadcast(stacked)
 
         def task(batches):
@@ -195,7 +193,7 @@ class Blocks:
                     owner = b.owner
                     for i, weights in enumerate(sent.value):
                         totals[i] += float(loss.value(b.dot(weights, owner), b.labels, np).sum())
-            yield kernels.entries(np.zeros(0), {-1 - i: t for i, t in enumerate(totals)})
+            yield from kernels.entries(np.zeros(0), {-1 - i: t for i, t in enumerate(totals)})
 
         scalars = self._collect(task, sent)[1]
         return [scalars.get(-1 - i, 0.0) for i in range(len(stacked))]

@@ -1,8 +1,8 @@
 """Running totals over a global order without sending everything to one task.
 
-The order column is cut at approximate quantiles. Totals per bucket are a small
+The records are range-partitioned by the order. Totals per partition are a small
 table whose prefix sums become offsets, and the exact running total is computed
-inside each bucket. The quantiles only balance the buckets; they do not affect
+inside each partition. The cuts only balance the partitions; they do not affect
 the result.
 """
 
@@ -10,26 +10,20 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparselin.session import materialize, scratch_path
 
-# Bounds of the number of buckets, a power of two.
-MIN_BUCKETS, MAX_BUCKETS = 16, 1024
-
 
 def bucket_count(spark: SparkSession) -> int:
-    """Four buckets per shuffle partition, rounded up to a power of two within the bounds."""
-    wanted = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return min(MAX_BUCKETS, max(MIN_BUCKETS, 1 << (wanted - 1).bit_length()))
+    """As many as the session's shuffle partitions, so a bucket is as large as any task's input."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _bucket_of(x: Column, cuts: Column, buckets: int) -> Column:
-    """How many of the ``buckets - 1`` ascending cuts are <= x, by halving steps."""
-    steps = F.array(*(F.lit(buckets >> k) for k in range(1, buckets.bit_length())))
-    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(
-        x >= F.get(cuts, at + step - 1), at + step).otherwise(at))
+def bucketed(df: DataFrame, order: str, by: Sequence[str], buckets: int) -> DataFrame:
+    """``df`` in ranges of the order, numbered by ``_bucket``."""
+    return df.repartitionByRange(buckets, *by, order).withColumn("_bucket", F.spark_partition_id())
 
 
 def running_totals(
@@ -48,25 +42,19 @@ def running_totals(
     ``order`` must be distinct: aggregate equal values first. Keys in ``by`` may
     be of any size, since a large one is spread over the buckets.
 
-    The input is read three times (cuts, bucket totals, result), so it is first
-    written to the shared folder: what leads to it runs once, and the passes
-    agree even if a recomputed float sum would differ in its last bit.
+    The range-partitioned input is written to the shared folder and read twice,
+    for the bucket totals and for the result: what leads to it runs once, and a
+    bucket stays what it was if a task is repeated.
     """
     by, totals = list(by), dict(totals or {})
-    df = materialize(df, scratch_path(df.sparkSession, "running-totals"))
     buckets = buckets or bucket_count(df.sparkSession)
-    shares = [i / buckets for i in range(1, buckets)]
-    usable = df.where(~F.isnan(F.col(order).cast("double")))
-    cuts = usable.agg(F.percentile_approx(order, shares, 8 * buckets)).scalar()
-    placed = (
-        df.withColumn("_cuts", cuts)
-        .withColumn("_bucket", _bucket_of(F.col(order), F.col("_cuts"), buckets))
-        .drop("_cuts")
-    )
+    placed = materialize(
+        bucketed(df, order, by, buckets),
+        scratch_path(df.sparkSession, "running-totals"))
 
     needed = sorted({*sums.values(), *totals.values()})
     sizes = placed.groupBy(*by, "_bucket").agg(*(F.sum(c).alias(f"_s_{c}") for c in needed))
-    # At most `buckets` records per key.
+    # A key has a record for each bucket it lies in; all of them are at most the keys and the buckets together.
     key = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     before = key.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
@@ -74,7 +62,7 @@ def running_totals(
         *(F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_before_{name}") for name, c in sums.items()),
         *(F.sum(f"_s_{c}").over(key).alias(name) for name, c in totals.items()),
     )
-    # Without keys the offsets are bounded by the bucket count; with keys AQE decides.
+    # Without keys the offsets are one record a bucket; with keys AQE decides.
     located = placed.join(offsets if by else F.broadcast(offsets), [*by, "_bucket"], "left")
     inside = Window.partitionBy(*by, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return located.withColumns({

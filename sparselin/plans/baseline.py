@@ -52,16 +52,13 @@ def to_ml(rows: DataFrame, n_features: int, path: str | None = None) -> DataFram
     return rows.sparkSession.read.schema(schema).parquet(path)
 
 
-def vector_rows(ml: DataFrame, row_id: str = "row_id", path: str | None = None) -> DataFrame:
+def vector_rows(ml: DataFrame, row_id: str = "row_id") -> DataFrame:
     """ROWS of an ML vector column: exactly its stored entries, zeros included.
 
-    The vectors are written once and read back by their storage layout, so a wide
-    sparse vector is never spread out.
+    Vectors are read by their storage layout in place, so a wide sparse vector is
+    never spread out.
     """
-    path = path or scratch_path(ml.sparkSession, "vectors")
-    ml.select(F.col(row_id).alias("row_id"), "label", "features").write.mode("overwrite").parquet(path)
-    layout = "struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
-    stored = ml.sparkSession.read.schema(f"row_id bigint, label double, features {layout}").parquet(path)
+    stored = ml.select(F.col(row_id).alias("row_id"), "label", F.unwrap_udt("features").alias("features"))
     # A dense vector stores values only. An empty range needs its own branch, since a sequence would count down.
     length = F.size("features.values")
     positions = F.when(length > 0, F.sequence(F.lit(0), length - 1)).otherwise(F.array().cast("array<int>"))

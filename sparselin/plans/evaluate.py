@@ -12,19 +12,41 @@ from sparselin.functions.rows import decide
 from sparselin.operators import metrics
 from sparselin.operators.matvec import dense_margins, margins
 from sparselin.operators.prefix import running_totals
+from sparselin.plans.fit import Fit
 from sparselin.session import MAX_BROADCAST_FEATURES
 from sparselin.sources import weights as W
 from sparselin.sources.libsvm import with_bias
 
 
-def scores_for(rows: DataFrame, weights: DataFrame | np.ndarray, bias: float = -1.0) -> DataFrame:
-    """SCORES of one model. The width of the weights is the width of the examples, bias included."""
-    width = len(weights) if isinstance(weights, np.ndarray) else W.weight_width(weights)
-    rows, _ = with_bias(rows, bias, width)
+Model = Fit | DataFrame | np.ndarray
+
+
+def width_of(model: Model) -> int:
+    """A fit and an array know their width; a table has it stored or ends with its last weight."""
+    if isinstance(model, Fit):
+        return model.n_features
+    return len(model) if isinstance(model, np.ndarray) else W.weight_width(model)
+
+
+def scores_for(rows: DataFrame, model: Model, bias: float = -1.0, n_features: int | None = None) -> DataFrame:
+    """SCORES of one model, a fit, a weight table or an array.
+
+    The model's width, or ``n_features``, is the width of the examples, bias
+    included. Features the model has no weight for count 0, whatever held its
+    vectors during the fit; a table that does not say how wide its model is has
+    no weight beyond its last one. A bias needs the width.
+    """
+    width = width_of(model) if n_features is None else n_features
+    stated = n_features is not None or not isinstance(model, DataFrame) or "n_features" in model.columns
+    if stated or bias >= 0:
+        rows, _ = with_bias(rows, bias, width)
+    weights = (model.weights if model.w is None else model.w) if isinstance(model, Fit) else model
     if width > MAX_BROADCAST_FEATURES:
-        return margins(rows, weights, width)
-    w = weights if isinstance(weights, np.ndarray) else W.to_array(weights, width)
-    return dense_margins(rows, w)
+        table = W.from_array(rows.sparkSession, weights) if isinstance(weights, np.ndarray) else weights
+        return margins(rows, table, width)
+    if isinstance(weights, np.ndarray):
+        return dense_margins(rows, np.pad(weights, (0, max(0, width - len(weights)))))
+    return dense_margins(rows, W.to_array(weights, width))
 
 
 def summarize(scores: DataFrame, threshold: Column | float = 0.0, by: Sequence[str] = ()) -> DataFrame:
@@ -47,14 +69,14 @@ def summarize(scores: DataFrame, threshold: Column | float = 0.0, by: Sequence[s
 
 
 def evaluate(
-    rows: DataFrame, weights: DataFrame | np.ndarray, bias: float = -1.0, threshold: float | None = None,
+    rows: DataFrame, model: Model, bias: float = -1.0, threshold: float | None = None, n_features: int | None = None,
 ) -> DataFrame:
     """One row ``n, accuracy, auc``."""
-    return summarize(scores_for(rows, weights, bias), 0.0 if threshold is None else threshold)
+    return summarize(scores_for(rows, model, bias, n_features), 0.0 if threshold is None else threshold)
 
 
 def find_threshold(
-    rows: DataFrame, weights: DataFrame | np.ndarray, bias: float = -1.0, metric: str = "acc",
+    rows: DataFrame, model: Model, bias: float = -1.0, metric: str = "acc", n_features: int | None = None,
 ) -> DataFrame:
     """One THRESHOLD record for a validation set."""
-    return metrics.best_threshold(scores_for(rows, weights, bias), metric)
+    return metrics.best_threshold(scores_for(rows, model, bias, n_features), metric)

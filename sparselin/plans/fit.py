@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import getpass
-import platform
 import time
 from dataclasses import dataclass
-from datetime import datetime, timezone
 
 import numpy as np
-import pyspark
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparselin.functions import tags
 from sparselin.functions.losses import get_loss
 from sparselin.operators.matvec import check
 from sparselin.operators.objective import Blocks
@@ -41,6 +38,11 @@ class Fit:
     def w(self) -> np.ndarray | None:
         return self.result.w if isinstance(self.result.w, np.ndarray) else None
 
+    @property
+    def n_features(self) -> int:
+        """The width of the model, also where the last features have no weight."""
+        return int(self.config["n_features"])
+
     def history(self, spark: SparkSession) -> DataFrame:
         records = [{"run_id": self.tag, **row} for row in self.result.history]
         return spark.createDataFrame(records, HISTORY)
@@ -62,13 +64,10 @@ def run_log(
     spark: SparkSession, tag: str, config: dict, summary: dict, history: list[dict], mode: str, started: float,
 ) -> DataFrame:
     """One RUNS record with its tag."""
-    meta = {
-        "timestamp_utc": datetime.fromtimestamp(started, timezone.utc).replace(tzinfo=None).isoformat() + "Z",
-        "user": getpass.getuser(), "hostname": platform.node(), "python": platform.python_version(),
-        "numpy": np.__version__, "pyspark": pyspark.__version__, "mode": mode,
-    }
-    record = {"meta": meta, "config": config, "summary": summary, "history": history}
-    return spark.createDataFrame([record], RUNS).select(F.lit(tag).alias("tag"), "*")
+    record = {"meta": {"mode": mode}, "config": config, "summary": summary, "history": history}
+    at = tags.utc_stamp(F.timestamp_micros(F.lit(int(started * 1e6))))
+    return spark.createDataFrame([record], RUNS).select(
+        F.lit(tag).alias("tag"), F.col("meta").withField("timestamp_utc", at).alias("meta"), "config", "summary", "history")
 
 
 def run_tag(solver: str, C: float, eps: float, bias: float, rep: int | None = None) -> str:

@@ -74,16 +74,16 @@ def ordered(groups: DataFrame) -> DataFrame:
     return groups.orderBy("C", "base")
 
 
-def convergence(history: DataFrame, solvers: DataFrame, which: str) -> DataFrame:
-    """Objective and gradient norm over time for the runs of one solver.
+def convergence(history: DataFrame, solvers: DataFrame, which: Sequence[str] = ("lr", "l2svm")) -> DataFrame:
+    """Objective and gradient norm over time for the runs of the named solvers.
 
-    ``solvers`` maps ``run_id`` to ``solver``. Runs without a usable time are
-    left out as a whole.
+    ``solvers`` maps ``run_id`` to ``solver``. Runs without a usable time, null or
+    NaN in every iteration, are left out as a whole.
     """
-    timed = history.groupBy("run_id").agg(F.count_if(~F.isnan("t_sec")).alias("_timed"))
-    chosen = solvers.where(F.col("solver") == which).select("run_id").join(
-        timed.where(F.col("_timed") > 0), "run_id").select("run_id")
-    return history.join(chosen, "run_id").select("run_id", "t_sec", "f", "g_norm")
+    timed = history.groupBy("run_id").agg(F.count(tags.nan_as_null(F.col("t_sec"))).alias("_timed"))
+    chosen = solvers.where(F.col("solver").isin(list(which))).select("run_id", "solver").join(
+        timed.where(F.col("_timed") > 0), "run_id").select("run_id", "solver")
+    return history.join(chosen, "run_id").select("run_id", "solver", "t_sec", "f", "g_norm")
 
 
 def compare_curves(history: DataFrame) -> DataFrame:

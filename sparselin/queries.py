@@ -256,7 +256,7 @@ def margin_inline(spark, sf):
 def xt_dot(spark, sf):
     rows = stored_event_rows(spark, sf)
     r = rows.select("row_id", (((F.col("row_id") * 7) % 5 - 2) / 4).alias("r"))
-    return M.transposed_by_id(M.to_coo(rows), r).select("j", r6("z", "z"))
+    return M.transposed_by_id(rows, r).select("j", r6("z", "z"))
 
 
 @query("xt_dot_in_row", f"with {O.LINES}, {O.PARSED} select j, round(sum(v * ((row_id * 7) % 5 - 2) / 4), 6) + 0.0 as z "
@@ -657,11 +657,12 @@ def run_weights_join(spark, sf):
 @query("convergence_report", O.convergence_sql())
 def convergence_report(spark, sf):
     h = history(spark, sf)
-    untimed = F.col("run_id").cast("int") % 7 == 0
-    h = h.withColumn("t_sec", F.when(untimed, F.lit(float("nan"))).otherwise(F.col("t_sec")))
+    # Runs without times: NaN in some, null in others.
+    run = F.col("run_id").cast("int")
+    h = h.withColumn("t_sec", F.when(run % 7 == 0, F.lit(float("nan"))).when(run % 7 == 1, F.lit(None)).otherwise(F.col("t_sec")))
     solvers = h.select("run_id", tags.solver_name(F.lit(None).cast("string"), F.col("tag")).alias("solver")).distinct()
-    return reports.convergence(h, solvers, "lr").select(
-        "run_id", F.round("t_sec", 3).alias("t_sec"), "f", "g_norm")
+    return reports.convergence(h, solvers).select(
+        "run_id", "solver", F.round("t_sec", 3).alias("t_sec"), "f", "g_norm")
 
 
 @query("finite_points", O.finite_points_sql())

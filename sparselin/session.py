@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Widest dense weight vector sent to every task: 2**24 doubles are 128 MiB.
 MAX_BROADCAST_FEATURES = 1 << 24
@@ -52,9 +52,9 @@ def map_in_arrow(df: DataFrame, task, schema) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as the session names it.
 
-    A local session without the setting gets a fresh temporary folder; on a
-    cluster the setting is required, since a machine-local folder would be lost
-    with its machine.
+    Only a session that runs in one process may do without the setting and gets a
+    fresh temporary folder; elsewhere a machine-local folder would be lost with
+    its machine, so the setting is required.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -62,7 +62,7 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return sc.getCheckpointDir()
-    if not sc.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="sparselin-"))
     return sc.getCheckpointDir()
@@ -104,8 +104,3 @@ class RotatingTable:
 def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
     """Whether ``df`` has at most ``max_rows`` rows; counts no further than that."""
     return df.limit(max_rows + 1).count() <= max_rows
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after checking the size; otherwise leave the join to AQE."""
-    return F.broadcast(df) if is_small(df, max_rows) else df

@@ -23,7 +23,10 @@ def write_libsvm(rows: DataFrame, path: str) -> None:
     write_lines(encode_rows(rows), path)
 
 
-def write_weights(weights: DataFrame, path: str) -> None:
+def write_weights(weights: DataFrame, path: str, n_features: int | None = None) -> None:
+    """A weight table, with the width of its model where the last features may have no weight."""
+    if n_features is not None:
+        weights = weights.withColumn("n_features", F.lit(n_features).cast("bigint"))
     weights.write.mode("overwrite").parquet(path)
 
 

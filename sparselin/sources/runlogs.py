@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,9 +56,15 @@ def finite_points(history: DataFrame) -> DataFrame:
 
 
 def read_thresholds(spark: SparkSession, pattern: str, one_per_file: bool = True) -> DataFrame:
-    """Threshold records by run folder and tag; unreadable files give no record."""
-    found = spark.read.schema(THRESHOLD).options(**_READ, multiLine=one_per_file).json(pattern).select(
-        F.col("_metadata.file_path").alias("path"), "*")
+    """Threshold records by run folder and tag; unreadable files, or none at all, give no record."""
+    try:
+        files = spark.read.schema(THRESHOLD).options(**_READ, multiLine=one_per_file).json(pattern)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        names = "dir string, tag string, metric string, best_threshold double, best_score double"
+        return spark.createDataFrame([], names)
+    found = files.select(F.col("_metadata.file_path").alias("path"), "*")
     return found.where(F.col("best_threshold").isNotNull()).select(
         tags.run_folder(F.col("path")).alias("dir"),
         F.regexp_replace(tags.run_tag(F.col("path")), "^threshold_", "").alias("tag"),

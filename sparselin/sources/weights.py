@@ -15,8 +15,11 @@ def read_weights(spark: SparkSession, path: str) -> DataFrame:
 
 
 def weight_width(weights: DataFrame) -> int:
-    """Number of features a weight table covers."""
-    return weights.agg(F.coalesce(F.max("j"), F.lit(-1))).first()[0] + 1
+    """Number of features a model has: as stored with its weights, else up to the last one with a weight."""
+    last = F.coalesce(F.max("j"), F.lit(-1)) + 1
+    if "n_features" in weights.columns:
+        last = F.greatest(last, F.max("n_features"))
+    return weights.agg(last).first()[0]
 
 
 def from_array(spark: SparkSession, w: np.ndarray, run_id: str | None = None) -> DataFrame:

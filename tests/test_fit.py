@@ -4,10 +4,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sparselin import sinks
 from sparselin.functions.losses import get_loss
 from sparselin.plans import baseline, evaluate, fit, newton, sweep
 from sparselin.plans.vectors import TableProblem, _Dense
-from sparselin.sources import libsvm, tables
+from sparselin.schema import ROWS
+from sparselin.session import scratch_path
+from sparselin.sources import libsvm, tables, weights
 
 # Independent plain Newton solutions on embeddings of sf0.01, C = 1: f(0), ‖g(0)‖, f*, accuracy, AUC and,
 # per tolerance, outer and inner iterations.
@@ -218,3 +221,26 @@ def test_vectors_round_trip(micro):
     got = {r["row_id"]: (r["indices"], r["values"]) for r in baseline.vector_rows(mixed).collect()}
     assert got == {0: ([0, 1], [0.0, 2.0]), 1: ([3, 5], [0.0, 4.0]), 2: ([], [])}
     assert baseline.with_class_labels(micro).where(~F.col("label").isin(0.0, 1.0)).count() == 0
+
+
+@pytest.mark.parametrize("strategy", ["partition", "coo", "table"])
+def test_a_model_knows_its_width(spark, strategy):
+    """Features that no training row has are part of the model, whatever holds its vectors."""
+    train = spark.createDataFrame([(0, 1.0, [0], [1.0]), (1, -1.0, [1], [1.0]), (2, 1.0, [0, 1], [2.0, 0.5])], ROWS)
+    test = spark.createDataFrame([(0, 1.0, [0, 4], [1.0, 9.0]), (1, -1.0, [1, 3], [1.0, 9.0]), (2, 1.0, [4], [1.0])], ROWS)
+    done = fit.fit(train, "lr", 1.0, 1e-6, strategy=strategy, n_features=5)
+    assert done.n_features == 5
+    got = evaluate.evaluate(test, done).first()
+    assert (got["n"], got["accuracy"], got["auc"]) == (3, 1.0, 1.0)
+    assert evaluate.find_threshold(test, done).first()["best_score"] == 1.0
+    # The table alone gives the same scores, and keeps the width if it is stored with it.
+    assert evaluate.evaluate(test, done.weights).first()["accuracy"] == 1.0
+    path = scratch_path(spark, "model")
+    sinks.write_weights(done.weights, path, done.n_features)
+    assert weights.weight_width(weights.read_weights(spark, path)) == 5
+
+
+def test_run_logs_name_no_person(spark):
+    done = fit.fit(spark.createDataFrame([(0, 1.0, [0], [1.0])], ROWS), "lr")
+    meta = done.run(spark).first()["meta"]
+    assert meta["user"] is None and meta["hostname"] is None and meta["timestamp_utc"].endswith("Z")

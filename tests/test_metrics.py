@@ -128,10 +128,32 @@ def test_running_totals(spark, buckets):
 
 
 def test_running_totals_fill_the_buckets(spark):
-    df = spark.range(4000).select((F.col("id") * F.col("id")).cast("double").alias("o"), F.lit(1).alias("v"))
-    cuts = [float((4000 * i // 16) ** 2) for i in range(1, 16)]
-    placed = df.select(prefix._bucket_of(F.col("o"), F.lit(cuts), 16).alias("b")).groupBy("b").count().collect()
-    assert {r["b"]: r["count"] for r in placed} == {b: 250 for b in range(16)}
+    """However many buckets there are, none holds much more than its share of the distinct values."""
+    df = spark.range(200_000).select((F.col("id") * F.col("id")).cast("double").alias("o"), (F.col("id") % 3 == 0).alias("k"))
+    for by in ([], ["k"]):
+        for buckets in (16, 400):
+            sizes = [r["count"] for r in prefix.bucketed(df, "o", by, buckets).groupBy("_bucket").count().collect()]
+            assert sum(sizes) == 200_000 and max(sizes) < 4 * 200_000 / buckets
+
+
+NAN = float("nan")
+
+
+@pytest.mark.parametrize("metric", ["acc", "f1"])
+@pytest.mark.parametrize("data", [
+    [(-1, 0.05), (1, 0.1), (1, 0.3), (-1, NAN)], [(-1, 0.1), (1, NAN)], [(1, NAN), (-1, NAN)], [(-1, NAN), (-1, -0.5), (1, -0.6)],
+    [(1, 0.2), (-1, NAN), (-1, NAN), (1, 0.1), (-1, 0.15)],
+])
+def test_best_threshold_agrees_with_its_decisions(spark, data, metric):
+    """NaN margins are negative at every threshold, as in ``predict``."""
+    scores = spark.createDataFrame([(i, float(y), m) for i, (y, m) in enumerate(data)], "row_id long, label double, margin double")
+    best = metrics.best_threshold(scores, metric).first()
+    def value(cut):
+        done = metrics.predict(scores, cut)
+        return metrics.accuracy(done).first()["accuracy"] if metric == "acc" else metrics.confusion(done).first()["f1"]
+    assert value(best["best_threshold"]) == pytest.approx(best["best_score"])
+    assert best["best_score"] == pytest.approx(max(value(c) for c in [0.0, *(m for _, m in data if m == m)]))
+    assert all(r["margin"] == r["margin"] for r in metrics.threshold_curve(scores).collect())
 
 
 @pytest.mark.parametrize("n, ratio, k", [(11, 0.8, 8), (100, 0.29, 28), (5, 0.0, 0), (5, 1.0, 5), (1, 0.5, 0)])

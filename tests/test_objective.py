@@ -39,16 +39,16 @@ def test_hand_checked_objective(spark, micro, vectors, solver):
 
 
 @pytest.mark.parametrize("solver", ["lr", "l2svm"])
-@pytest.mark.parametrize("few", [True, False])
-def test_blocks_equal_numpy(random_rows, solver, few, monkeypatch):
+@pytest.mark.parametrize("bound", [1 << 24, 60, 1])
+def test_blocks_equal_numpy(random_rows, solver, bound, monkeypatch):
+    """Also if only two models, or one, fit a broadcast."""
     rows, X, y = random_rows
-    if not few:
-        monkeypatch.setattr(obj, "MAX_DRIVER_SUMS", 0)
     loss = losses.get_loss(solver)
     rng = np.random.default_rng(1)
     w, s = rng.normal(size=30), rng.normal(size=30)
     m = X @ w
     with obj.Blocks(rows, 30) as b:
+        monkeypatch.setattr(obj, "MAX_BROADCAST_FEATURES", bound)
         total, slope = b.loss_and_slope(loss, w)
         bent = b.curvature_product(loss, w, s)
         several = b.losses_at(loss, [w, s, np.zeros(30)])
@@ -145,7 +145,7 @@ def test_transposed(spark, random_rows):
     rows, X, y = random_rows
     r = np.where(np.arange(200) % 3 == 0, 0.0, y)
     table = spark.createDataFrame([(i, float(v)) for i, v in enumerate(r)], "row_id bigint, r double")
-    apart = M.transposed_by_id(M.to_coo(rows), table)
+    apart = M.transposed_by_id(rows, table)
     inside = M.transposed(rows, F.when(F.col("row_id") % 3 == 0, 0.0).otherwise(F.col("label")))
     assert column(apart, "z", 30) == pytest.approx(X.T @ r)
     assert column(inside, "z", 30) == pytest.approx(X.T @ r)

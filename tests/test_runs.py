@@ -98,7 +98,7 @@ def test_convergence(spark):
         [("a", 0.0, 3.0, 1.0), ("a", nan, 2.0, 1.0), ("b", nan, 9.0, 1.0), ("c", 1.0, 9.0, 1.0)],
         "run_id string, t_sec double, f double, g_norm double")
     s = spark.createDataFrame([("a", "lr"), ("b", "lr"), ("c", "l2svm")], "run_id string, solver string")
-    assert sorted(r["f"] for r in reports.convergence(h, s, "lr").collect()) == [2.0, 3.0]
+    assert sorted(r["f"] for r in reports.convergence(h, s, ["lr"]).collect()) == [2.0, 3.0]
 
 
 def test_finite_points(spark):
@@ -168,3 +168,19 @@ def test_labelled_range(spark):
     df = tables.labelled_range(spark, 1001, 4)
     assert df.rdd.getNumPartitions() == 4
     assert df.agg(F.count("*"), F.sum("y")).first()[:] == (1001, 500.0)
+
+
+def test_missing_threshold_files_give_no_threshold(spark, tmp_path):
+    found = runlogs.read_thresholds(spark, f"{tmp_path}/threshold_*.json")
+    runs = spark.createDataFrame([("d", "t")], "dir string, tag string")
+    assert reports.with_thresholds(runs, found).first()["threshold"] == 0.0
+
+
+def test_convergence_leaves_out_runs_without_times(spark):
+    nan = float("nan")
+    rows = [("a", 1, 0.5), ("a", 2, nan), ("b", 1, nan), ("c", 1, None), ("c", 2, None), ("d", 1, None), ("d", 2, 3.0)]
+    history = spark.createDataFrame([(r, i, t, 1.0, 1.0) for r, i, t in rows], "run_id string, iter int, t_sec double, f double, g_norm double")
+    solvers = spark.createDataFrame([("a", "lr"), ("b", "lr"), ("c", "l2svm"), ("d", "l2svm")], "run_id string, solver string")
+    kept = {(r["run_id"], r["solver"]) for r in reports.convergence(history, solvers).collect()}
+    assert kept == {("a", "lr"), ("d", "l2svm")}
+    assert {r["run_id"] for r in reports.convergence(history, solvers, ["lr"]).collect()} == {"a"}
