@@ -137,23 +137,28 @@ def model_margins(rows: DataFrame, models: dict[str, np.ndarray]) -> DataFrame:
     return map_in_arrow(rows.select("row_id", "label", "indices", "values"), score, schema)
 
 
-def score_models(rows: DataFrame, weights: DataFrame, max_broadcast: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def score_models(
+    rows: DataFrame, weights: DataFrame, max_broadcast: int = MAX_BROADCAST_ROWS, intercepts: DataFrame | None = None,
+) -> DataFrame:
     """The same as a join, for weight tables ``(run_id, j, w)`` of any width.
 
-    Every row gets an entry 0 of a feature -1 that every model has with weight 0,
-    so each model scores each row, rows without any known feature included.
+    Every row gets an entry 1 of a feature -1 in which every model has its
+    intercept ``(run_id, w)``, 0 without one, so each model scores each row, rows
+    without any known feature included.
     """
     runs = weights.select("run_id").distinct()
     # A row of the table below holds a number of every model.
     max_broadcast //= max(1, runs.count())
-    everywhere = runs.select(
-        "run_id", F.lit(-1).cast("bigint").alias("j"), F.lit(0.0).alias("w"))
+    constant = F.lit(0.0)
+    if intercepts is not None:
+        runs, constant = runs.join(intercepts.select("run_id", "w"), "run_id", "left"), F.coalesce("w", F.lit(0.0))
+    everywhere = runs.select("run_id", F.lit(-1).cast("bigint").alias("j"), constant.alias("w"))
     # As many models per feature as the sweep that made them has.
     models = weights.select("run_id", "j", "w").unionByName(everywhere).groupBy("j").agg(
         F.collect_list(F.struct("run_id", "w")).alias("models"))
     entries = to_coo(rows.withColumns({
         "indices": F.concat("indices", F.array(F.lit(-1).cast("bigint"))),
-        "values": F.concat("values", F.array(F.lit(0.0))),
+        "values": F.concat("values", F.array(F.lit(1.0))),
     }), "label")
     return (
         lookup(entries, models, max_broadcast=max_broadcast)

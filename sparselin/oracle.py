@@ -365,6 +365,26 @@ select (case when run % 2 = 0 then 'lr' else 'l2svm' end) || '_run' || run as ta
   count(*) as n, round(sum(f), 6) as total from h group by run"""
 
 
+def stored_runs_sql(runs) -> str:
+    rows = ", ".join(
+        f"('{t}', {s}, {b}, {0.0 if c is None else c})" for t, s, b, c in runs if s)
+    return f"""with {LINES}, {PARSED}, {EVENT_MARGIN}, {WIDTH},
+runs(tag, scale, bias, cut) as (values {rows}),
+last as (select (((width * 37) % 11) - 5) / 10.0::double as w from width),
+marked as (select tag, cut, label, round(m * scale + case when bias >= 0 then bias * scale * w else 0 end, 9) + 0.0 as margin
+  from scored, runs, last),
+counts as (select tag, cut, margin, count(*) filter (label > 0) as pos, count(*) filter (label <= 0) as neg from marked group by 1, 2, 3),
+swept as (select *, coalesce(sum(neg) over (partition by tag order by margin rows between unbounded preceding and 1 preceding), 0) as below from counts),
+runs_done as (select tag, sum(case when margin >= cut then pos else neg end) / sum(pos + neg)::double as accuracy,
+  sum(pos * (below + neg / 2.0::double)) / (sum(pos)::double * sum(neg)) as auc from swept group by 1)
+select regexp_replace(tag, '_rep[0-9]+$', '') as base,
+  regexp_extract(tag, 'C([0-9.]+)_', 1)::double as "C",
+  regexp_replace(regexp_replace(regexp_replace(tag, '_rep[0-9]+$', ''), '^(lr|l2svm)_', ''), '_bias-1$', '') as label, count(*) as n,
+  round(avg(accuracy), 6) + 0.0 as accuracy_mean, round(stddev_pop(accuracy), 6) + 0.0 as accuracy_std,
+  round(avg(auc), 6) + 0.0 as auc_mean, round(stddev_pop(auc), 6) + 0.0 as auc_std
+from runs_done group by 1, 2, 3"""
+
+
 def timing_sql() -> str:
     return """with t as (select case when user_id % 2 = 0 then 'map' else 'mappart' end as strategy, length(event_type) as l,
   round(sum(cast(value as decimal(18,2)))::double, 6) as t_sec, count(*)::double as f from events group by 1, 2)

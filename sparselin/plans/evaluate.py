@@ -54,8 +54,12 @@ def summarize(scores: DataFrame, threshold: Column | float = 0.0, by: Sequence[s
 
     ``threshold`` may be an expression over the ``by`` columns and ``margin``.
     """
+    return summarize_counts(metrics.score_counts(scores, list(by)), threshold, by)
+
+
+def summarize_counts(counts: DataFrame, threshold: Column | float = 0.0, by: Sequence[str] = ()) -> DataFrame:
+    """The same from positives and negatives per distinct margin."""
     by = list(by)
-    counts = metrics.score_counts(scores, by)
     ranked = running_totals(counts, "margin", {"neg_to": "neg"}, by)
     positive = decide(F.col("margin"), threshold) > 0
     hits = F.sum(F.when(positive, F.col("pos")).otherwise(F.col("neg")))

@@ -21,7 +21,8 @@ from sparselin.functions.losses import get_loss
 from sparselin.operators import curves, metrics, objective, split
 from sparselin.operators import matvec as M
 from sparselin.plans import baseline, evaluate, fit, reports, sweep
-from sparselin.schema import CONFIG, META, STEP, SUMMARY
+from sparselin.plans import stored as stored_runs
+from sparselin.schema import CONFIG, META, RUNS, STEP, SUMMARY
 from sparselin.session import materialize, scratch_path, spread
 from sparselin.sources import libsvm, runlogs, tables
 from sparselin.sources import weights as W
@@ -763,6 +764,36 @@ def runlog_roundtrip(spark, sf):
     return flat.join(points, "tag").select("tag", "solver", "final_f", "bias", "n", "total")
 
 
+# Runs of the stored-run report: tag, factor of the rule weights (none: no stored weights), bias, threshold.
+STORED_RUNS = (
+    ("lr_C1_eps0.01_bias1_rep1", 1, 1.0, 0.2505), ("lr_C1_eps0.01_bias1_rep2", 2, 0.5, -0.1305),
+    ("l2svm_C0.1_eps0.01_bias-1_rep1", 3, -1.0, None), ("l2svm_C0.1_eps0.01_bias-1_rep2", 1, -1.0, 0.1005),
+    ("lr_C10_eps0.01_bias-1_rep1", None, -1.0, 0.5),
+)
+
+
+@query("stored_run_report", O.stored_runs_sql(STORED_RUNS))
+def stored_run_report(spark, sf):
+    """Run logs, thresholds and weights, written and read back, to accuracy and AUC by configuration."""
+    rows = stored_event_rows(spark, sf)
+    width = libsvm.feature_width(rows)
+    path = scratch_path(spark, "stored-runs")
+    runs = spark.createDataFrame([(t, f"w{s}", b) for t, s, b, _ in STORED_RUNS], "tag string, weights_id string, bias double")
+    sinks.write_runs(runs.select(
+        "tag", _record(META, {}).alias("meta"), _record(CONFIG, {"bias": F.col("bias")}).alias("config"),
+        _record(SUMMARY, {"weights_path": F.col("weights_id")}).alias("summary"),
+        F.lit(None).cast(RUNS["history"].dataType).alias("history")), f"{path}/logs")
+    base = rule_weights(spark, width + 1)
+    sinks.write_weights(reduce(DataFrame.unionByName, (
+        base.select(F.lit(f"w{s}").alias("weights_id"), "j", (F.col("w") * s).alias("w"))
+        for s in sorted({s for _, s, _, _ in STORED_RUNS if s}))), f"{path}/weights", width + 1)
+    logs = runlogs.read_runs(spark, f"{path}/logs", one_per_file=False)
+    cuts = spark.createDataFrame([(t, c) for t, _, _, c in STORED_RUNS if c is not None], "tag string, best_threshold double")
+    cuts = logs.select("dir", "tag").join(cuts, "tag")
+    return stored_runs.report(rows, logs, cuts, W.read_weights(spark, f"{path}/weights"), digits=9).select(
+        "base", "C", "label", "n", *(r6(c, c) for c in ("accuracy_mean", "accuracy_std", "auc_mean", "auc_std")))
+
+
 @query("timing_roundtrip", O.timing_sql())
 def timing_roundtrip(spark, sf):
     """Event types as repetitions of two strategies."""
