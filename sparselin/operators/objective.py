@@ -178,6 +178,43 @@ class Blocks:
 
         return self._collect(task, sent)[0]
 
+    def answers(self, requests: Sequence[tuple]) -> list:
+        """Several ``(loss, "value", w)`` and ``(loss, "product", w, s)`` from one job, as long as they fit a broadcast.
+
+        A value request gives Σ loss and Xᵀ residual, a product request Xᵀ D X s.
+        """
+        stride = self.n_features + 1
+        size = max(1, MAX_BROADCAST_FEATURES // (2 * stride))
+        if len(requests) > size:
+            return [x for i in range(0, len(requests), size) for x in self.answers(requests[i:i + size])]
+        sent = self.spark.sparkContext.broadcast(list(requests))
+
+        def task(batches):
+            # A model's sums, its loss behind them, then the next model's.
+            out = np.zeros((len(sent.value), stride))
+            for record_batch in batches:
+                for b in kernels.from_blocks(record_batch):
+                    owner = b.owner
+                    for (loss, kind, w, *s), sums in zip(sent.value, out):
+                        m = b.dot(w, owner)
+                        if kind == "value":
+                            sums[-1] += float(loss.value(m, b.labels, np).sum())
+                            r = loss.residual(m, b.labels, np)
+                        else:
+                            r = loss.curvature(m, b.labels, np) * b.dot(s[0], owner)
+                        b.add_transposed(r, owner, sums[:-1])
+            yield from kernels.entries(out.ravel(), {})
+
+        try:
+            parts = map_in_arrow(self.blocks.drop("top").coalesce(self._tasks), task, "j bigint, z double")
+            found = parts.groupBy("j").agg(F.sum("z").alias("z")).toArrow()
+        finally:
+            sent.destroy()
+        total = np.zeros(len(requests) * stride)
+        total[found["j"].to_numpy()] = found["z"].to_numpy()
+        sums = total.reshape(-1, stride)
+        return [(float(x[-1]), x[:-1]) if kind == "value" else x[:-1] for x, (_, kind, *_) in zip(sums, requests)]
+
     def losses_at(self, loss: Loss, models: Sequence[np.ndarray]) -> list[float]:
         """Σ loss at several weight vectors: one job for as many as fit one broadcast."""
         size = max(1, MAX_BROADCAST_FEATURES // max(1, self.n_features))

@@ -79,6 +79,11 @@ def solve(problem, strategy: str, solver: str, C: float, eps: float, max_iter: i
           bias: float = -1.0, callback=None, options: NewtonOptions | None = None, spark=None, **config) -> Fit:
     started = time.time()
     result = minimize(problem, options=options, callback=callback, eps=eps, max_iter=max_iter)
+    return finished(result, problem, strategy, solver, C, eps, max_iter, started, tag, bias, spark, **config)
+
+
+def finished(result: NewtonResult, problem, strategy: str, solver: str, C: float, eps: float, max_iter: int, started: float,
+             tag: str | None = None, bias: float = -1.0, spark=None, **config) -> Fit:
     spent = time.time() - started
     tag = tag or run_tag(solver, C, eps, bias)
     settings = {"solver": solver, "C": float(C), "eps": float(eps), "bias": float(bias), "maxIter": max_iter,

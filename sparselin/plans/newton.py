@@ -8,6 +8,7 @@ predicted reduction follows from the inner residual without another product.
 
 from __future__ import annotations
 
+import logging
 import math
 import time
 from collections.abc import Callable
@@ -15,6 +16,9 @@ from dataclasses import dataclass, field, replace
 from typing import Any
 
 
+LOG = logging.getLogger(__name__)
+
+
 @dataclass(frozen=True)
 class NewtonOptions:
     # Stopping rule, region thresholds and region factors.
@@ -59,8 +63,8 @@ def _to_border(problem, p, d, delta: float) -> float:
 def newton_step(problem, w, g, delta: float, tol: float):
     """Approximately minimise the quadratic model within the ball of radius ``delta``.
 
-    Returns the step, its norm, the predicted reduction and the number of inner
-    iterations.
+    Yields ``("product", w, d)`` for each Hessian-vector product it needs. Returns
+    the step, its norm, the predicted reduction and the number of inner iterations.
     """
     p = problem.zeros()
     r = problem.combine(p, -1.0, g, "residual")
@@ -68,7 +72,7 @@ def newton_step(problem, w, g, delta: float, tol: float):
     steps, norm = 0, 0.0
     while rr > 0:
         steps += 1
-        z = problem.hessian_vector(w, d)
+        z = yield "product", w, d
         bend = problem.dot(d, z)
         alpha = rr / bend if bend > 0 else 1.0
         beyond = problem.combine(p, alpha, d, "step")
@@ -89,63 +93,123 @@ def newton_step(problem, w, g, delta: float, tol: float):
     return p, norm, predicted, steps
 
 
-def minimize(
-    problem,
-    w0=None,
-    options: NewtonOptions | None = None,
-    callback: Callable[[dict], None] | None = None,
-    **overrides,
-) -> NewtonResult:
-    """Minimise ``problem`` from ``w0`` (default 0); ``overrides`` replace single options."""
+def first_radius(g_norm: float, o: NewtonOptions) -> float:
+    delta = max(1.0, g_norm) if o.delta_init is None else o.delta_init
+    return delta if o.delta_max is None else min(delta, o.delta_max)
+
+
+def next_radius(delta: float, ratio: float, step_norm: float, o: NewtonOptions) -> float:
+    """Shrink after a poor prediction; grow after a good one whose step ends on the border."""
+    if ratio < o.eta1:
+        return delta * o.sigma1
+    if ratio > o.eta2 and math.isclose(step_norm, delta, **ON_BORDER):
+        return min(o.sigma2 * delta, o.delta_max or math.inf)
+    return delta
+
+
+def is_accepted(ratio: float, gained: float) -> bool:
+    return ratio > ACCEPT_RATIO and gained > 0
+
+
+def is_converged(g_norm: float, g0_norm: float, o: NewtonOptions) -> bool:
+    return g_norm <= o.eps * max(1.0, g0_norm)
+
+
+def observed(callback: Callable[[dict], None] | None, row: dict) -> None:
+    """Show a step to an observer; a broken one is reported and does not end a long fit."""
+    if callback is None:
+        return
+    try:
+        callback(dict(row))
+    except Exception:
+        LOG.warning("the observer of iteration %s failed", row["iter"], exc_info=True)
+
+
+def iterations(problem, w0=None, options: NewtonOptions | None = None, callback: Callable[[dict], None] | None = None, **overrides):
+    """The method as a generator of what it needs to know, so that fits can share passes over the data.
+
+    Yields ``("value", w)``, to be answered by value and gradient, and
+    ``("product", w, d)``, to be answered by a Hessian-vector product; returns the
+    result. ``problem`` does the arithmetic on vectors.
+    """
     o = replace(options or NewtonOptions(), **overrides)
     start = time.time()
     w = problem.zeros() if w0 is None else w0
-    f, g = problem.value_and_gradient(w)
+    f, g = yield "value", w
     problem.hold("weights", "gradient")
     norm0 = math.sqrt(problem.dot(g, g))
-    delta = max(1.0, norm0) if o.delta_init is None else o.delta_init
-    if o.delta_max is not None:
-        delta = min(delta, o.delta_max)
-    state = NewtonResult(w, f, norm0, delta, 0, "max_iter", f, norm0)
+    state = NewtonResult(w, f, norm0, first_radius(norm0, o), 0, "max_iter", f, norm0)
     if norm0 == 0.0:
         state.reason = "g0 == 0"
         return state
 
     while state.iters < o.max_iter:
         tol = min(0.5, math.sqrt(state.g_norm)) * state.g_norm * o.cg_tol_factor
-        p, p_norm, predicted, cg = newton_step(problem, state.w, g, state.delta, tol)
+        p, p_norm, predicted, cg = yield from newton_step(problem, state.w, g, state.delta, tol)
         if problem.largest(p) <= NO_STEP:
             state.reason = "p ~ 0"
             return state
 
         candidate = problem.combine(state.w, 1.0, p, "weights")
-        f_new, g_new = problem.value_and_gradient(candidate)
+        f_new, g_new = yield "value", candidate
         gained = state.f - f_new
         ratio = gained / predicted if predicted > 0 else -math.inf
-
-        if ratio < o.eta1:
-            state.delta *= o.sigma1
-        elif ratio > o.eta2 and math.isclose(p_norm, state.delta, **ON_BORDER):
-            state.delta = min(o.sigma2 * state.delta, o.delta_max or math.inf)
-
-        accepted = ratio > ACCEPT_RATIO and gained > 0
+        state.delta = next_radius(state.delta, ratio, p_norm, o)
+        accepted = is_accepted(ratio, gained)
         if accepted:
             state.w, state.f, g = candidate, f_new, g_new
             problem.hold("weights", "gradient")
             state.g_norm = math.sqrt(problem.dot(g, g))
         state.iters += 1
-        row = {
+        state.history.append({
             "iter": state.iters, "f": state.f, "g_norm": state.g_norm, "delta": state.delta,
             "actred": gained, "prered": predicted, "ratio": ratio, "cg": cg,
             "accepted": accepted, "t_sec": time.time() - start,
-        }
-        state.history.append(row)
-        if callback is not None:
-            try:
-                callback(dict(row))
-            except Exception:
-                pass  # a broken observer does not end a long fit
-        if state.g_norm <= o.eps * max(1.0, norm0):
+        })
+        observed(callback, state.history[-1])
+        if is_converged(state.g_norm, norm0, o):
             state.reason = "grad_tol"
             return state
     return state
+
+
+def answered(problem, request: tuple):
+    """What ``problem`` says to a request of ``iterations``."""
+    kind, *vectors = request
+    return problem.value_and_gradient(*vectors) if kind == "value" else problem.hessian_vector(*vectors)
+
+
+def minimize(
+    problem,
+    w0=None,
+    options: NewtonOptions | None = None,
+    callback: Callable[[dict], None] | None = None,
+    **overrides,
+) -> NewtonResult:
+    """Minimise ``problem`` from ``w0`` (default 0); ``overrides`` replace single options."""
+    return minimize_together([iterations(problem, w0, options, callback, **overrides)],
+                             lambda pending: [answered(problem, request) for _, request in pending])[0]
+
+
+def minimize_together(runs: list, answers: Callable[[list[tuple[int, tuple]]], list]) -> list[NewtonResult]:
+    """Run several ``iterations`` in lockstep.
+
+    ``answers`` gets the pending requests of all unfinished runs, with their
+    places, and answers all of them, for instance from one pass over the data.
+    """
+    results: list[NewtonResult | None] = [None] * len(runs)
+    pending: list[tuple[int, tuple]] = []
+
+    def advance(i: int, answer) -> None:
+        try:
+            pending.append((i, runs[i].send(answer)))
+        except StopIteration as end:
+            results[i] = end.value
+
+    for i in range(len(runs)):
+        advance(i, None)
+    while pending:
+        asked, pending[:] = list(pending), []
+        for (i, _), answer in zip(asked, answers(asked)):
+            advance(i, answer)
+    return results

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -15,7 +16,8 @@ from sparselin.operators import metrics
 from sparselin.operators.matvec import model_margins
 from sparselin.operators.objective import Blocks
 from sparselin.plans.evaluate import summarize
-from sparselin.plans.fit import Fit, run_tag, solve
+from sparselin.plans.fit import Fit, finished, run_tag
+from sparselin.plans.newton import iterations, minimize_together
 from sparselin.plans.vectors import DenseProblem
 from sparselin.session import MAX_BROADCAST_FEATURES
 from sparselin.sources import weights as W
@@ -55,22 +57,27 @@ def sweep(
     max_iter: int = 100,
     n_features: int | None = None,
 ) -> Sweep:
-    """Fit the whole grid. The rows are packed and persisted once for all fits.
+    """Fit the whole grid in lockstep: a pass over the packed rows serves all fits that are not done yet.
 
-    A fit is deterministic, so repetitions differ in their times only.
+    The grid takes about as many passes as its slowest fit. A fit is
+    deterministic, so the repetitions of a configuration share one.
     """
     rows, width = with_bias(rows, bias, n_features)
-    fits = []
+    spark, started = rows.sparkSession, time.time()
+    grid = [(solver, C, eps) for solver in solvers for C in Cs for eps in epss]
     with Blocks(rows, width) as blocks:
-        for solver in solvers:
-            for C in Cs:
-                problem = DenseProblem(blocks, get_loss(solver), C)
-                for eps in epss:
-                    for rep in range(1, reps + 1):
-                        tag = run_tag(solver, C, eps, bias, rep)
-                        fits.append(solve(problem, "partition", solver, C, eps, max_iter, tag, bias,
-                                          spark=rows.sparkSession, seed=rep))
-    return Sweep(fits)
+        problems = [DenseProblem(blocks, get_loss(solver), C) for solver, C, _ in grid]
+
+        def answers(pending):
+            found = blocks.answers([(problems[i].loss, *request) for i, request in pending])
+            return [problems[i].completed(request, x) for (i, request), x in zip(pending, found)]
+
+        runs = [iterations(p, eps=eps, max_iter=max_iter) for p, (_, _, eps) in zip(problems, grid)]
+        results = minimize_together(runs, answers)
+    return Sweep([
+        finished(result, problem, "partition", solver, C, eps, max_iter, started, run_tag(solver, C, eps, bias, rep), bias,
+                 spark, seed=rep)
+        for result, problem, (solver, C, eps) in zip(results, problems, grid) for rep in range(1, reps + 1)])
 
 
 def score_sweep(rows: DataFrame, models: dict[str, np.ndarray], bias: float = -1.0) -> DataFrame:

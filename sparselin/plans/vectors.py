@@ -52,11 +52,17 @@ class DenseProblem(_Dense):
         self.blocks, self.loss, self.C = blocks, loss, float(C)
 
     def value_and_gradient(self, w):
-        total, slope = self.blocks.loss_and_slope(self.loss, w)
-        return 0.5 * float(w @ w) + self.C * total, w + self.C * slope
+        return self.completed(("value", w), self.blocks.loss_and_slope(self.loss, w))
 
     def hessian_vector(self, w, s):
-        return s + self.C * self.blocks.curvature_product(self.loss, w, s)
+        return self.completed(("product", w, s), self.blocks.curvature_product(self.loss, w, s))
+
+    def completed(self, request: tuple, sums):
+        """The answer to a request from the sums over the examples: the penalty's part is added."""
+        if request[0] == "value":
+            w, (total, slope) = request[1], sums
+            return 0.5 * float(w @ w) + self.C * total, w + self.C * slope
+        return request[2] + self.C * sums
 
     def to_table(self, w, spark) -> DataFrame:
         return W.from_array(spark, w)

@@ -20,6 +20,17 @@ GOLDEN = {
 }
 
 
+def told(asking, problem):
+    """What a generator returns whose questions are answered by ``problem``."""
+    answer = None
+    while True:
+        try:
+            request = asking.send(answer)
+        except StopIteration as end:
+            return end.value
+        answer = newton.answered(problem, request)
+
+
 @pytest.fixture(scope="module")
 def embeddings(spark):
     return tables.embedding_rows(tables.table(spark, "/root/testdata/sf0.01", "embeddings"))
@@ -53,7 +64,7 @@ def test_predicted_reduction_is_that_of_the_model():
     q = Quadratic(U.T @ U, rng.normal(size=20))
     g = -q.b
     for delta in (1e-3, 0.1, 10.0):
-        p, norm, predicted, _ = newton.newton_step(q, np.zeros(20), g, delta, 1e-9)
+        p, norm, predicted, _ = told(newton.newton_step(q, np.zeros(20), g, delta, 1e-9), q)
         assert predicted == pytest.approx(-(g @ p + 0.5 * p @ q.A @ p), rel=1e-9)
         assert norm <= delta * (1 + 1e-9) and norm == pytest.approx(np.linalg.norm(p))
 
@@ -244,3 +255,41 @@ def test_run_logs_name_no_person(spark):
     done = fit.fit(spark.createDataFrame([(0, 1.0, [0], [1.0])], ROWS), "lr")
     meta = done.run(spark).first()["meta"]
     assert meta["user"] is None and meta["hostname"] is None and meta["timestamp_utc"].endswith("Z")
+
+
+def test_radius_and_acceptance():
+    o = newton.NewtonOptions()
+    assert newton.first_radius(0.2, o) == 1.0 and newton.first_radius(7.0, newton.NewtonOptions(delta_max=3.0)) == 3.0
+    assert newton.next_radius(4.0, 0.1, 4.0, o) == 1.0
+    assert newton.next_radius(4.0, 0.9, 4.0, o) == 8.0 and newton.next_radius(4.0, 0.9, 3.0, o) == 4.0
+    assert newton.next_radius(4.0, 0.5, 4.0, o) == 4.0
+    assert newton.is_accepted(0.5, 1.0) and not newton.is_accepted(0.5, 0.0) and not newton.is_accepted(1e-5, 1.0)
+    assert newton.is_converged(0.09, 9.0, o) and not newton.is_converged(0.1, 9.0, o)
+
+
+def test_a_broken_observer_is_reported(caplog):
+    newton.observed(lambda row: 1 / 0, {"iter": 3})
+    assert "iteration 3" in caplog.text
+
+
+@pytest.mark.parametrize("bound", [1 << 24, 200])
+def test_sweep_in_lockstep(random_rows, monkeypatch, bound):
+    """The whole grid: same models as single fits, from as many passes as the slowest fit takes."""
+    from sparselin.operators import objective
+    rows, X, y = random_rows
+    monkeypatch.setattr(objective, "MAX_BROADCAST_FEATURES", bound)
+    rounds, passes = [], objective.Blocks.answers
+    def counted(self, requests):
+        rounds.append(len(requests))
+        return passes(self, requests)
+    monkeypatch.setattr(objective.Blocks, "answers", counted)
+    Cs = (1e-2, 10.0)
+    done = sweep.sweep(rows, Cs=Cs, epss=(1e-2, 1e-4), reps=2, n_features=30)
+    assert len(done.fits) == 2 * 2 * 2 * 2
+    singles = {(s, C, e): fit.fit(rows, s, C, e, n_features=30, strategy="partition") for s in ("lr", "l2svm") for C in Cs for e in (1e-2, 1e-4)}
+    for f in done.fits:
+        one = singles[f.config["solver"], f.config["C"], f.config["eps"]]
+        assert f.w == pytest.approx(one.w, abs=1e-9) and f.result.iters == one.result.iters
+    if bound > 200:
+        slowest = max(1 + sum(1 + row["cg"] for row in f.result.history) for f in singles.values())
+        assert len(rounds) <= slowest + 1 and max(rounds) == 8
