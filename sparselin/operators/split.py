@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from sparselin.session import materialize, scratch_path
 
-# Fixed value: leading hex digits of the hash that form a bucket, 16**4 buckets.
+# Hex digits by which a prefix grows, the digits of a hash, and records ranked in one task at most.
 PREFIX_DIGITS = 4
+HASH_DIGITS = 32
+RANKED = 1 << 20
 
 
 def seeded_hash(key: str, seed: int) -> Column:
@@ -23,24 +25,32 @@ def seeded_order(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
 def _cut(keys: DataFrame, key: str, ratio: float, seed: int) -> tuple | None:
     """Hash and key of the last record of the first ``int(ratio * n)``, None if there is none.
 
-    A count per hash prefix finds the prefix that contains the cut, and a ranking
-    within that prefix finds the record.
+    Counts per hash prefix find the prefix that contains the cut. It is refined by
+    more digits until few enough records share it, and a ranking of those finds
+    the record. Records with one whole hash are copies of one key, or as good as never met.
     """
-    hashed = keys.select(seeded_hash(key, seed).alias("h"), F.col(key).alias("k")).withColumn(
-        "b", F.substring("h", 1, PREFIX_DIGITS))
-    # One record per prefix, so these windows see at most 16**PREFIX_DIGITS records.
-    everything = Window.partitionBy(F.lit(0))
-    upto = everything.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-    sizes = hashed.groupBy("b").agg(F.count("*").alias("n")).select(
-        "b", "n", F.sum("n").over(upto).alias("upto"), F.sum("n").over(everything).alias("all"))
-    wanted = F.floor(F.lit(float(ratio)) * F.col("all").cast("double"))
-    before = F.col("upto") - F.col("n")
-    found = sizes.where((before < wanted) & (wanted <= F.col("upto"))).select("b", (wanted - before).alias("rank")).first()
-    if found is None:
-        return None
+    hashed = keys.select(seeded_hash(key, seed).alias("h"), F.col(key).alias("k"))
+    prefix, wanted, digits = "", None, 0
+    while True:
+        digits += PREFIX_DIGITS
+        here = hashed.where(F.col("h").startswith(prefix)).withColumn("b", F.substring("h", 1, digits))
+        # At most 16**PREFIX_DIGITS records, so these windows are small.
+        everything = Window.partitionBy(F.lit(0))
+        upto = everything.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+        sizes = here.groupBy("b").agg(F.count("*").alias("n")).select(
+            "b", "n", F.sum("n").over(upto).alias("upto"), F.sum("n").over(everything).alias("all"))
+        target = F.floor(F.lit(float(ratio)) * F.col("all").cast("double")) if wanted is None else F.lit(wanted)
+        before = F.col("upto") - F.col("n")
+        found = sizes.where((before < target) & (target <= F.col("upto"))).select(
+            "b", "n", (target - before).alias("rank")).first()
+        if found is None:
+            return None
+        prefix, wanted = found["b"], found["rank"]
+        if found["n"] <= RANKED or digits >= HASH_DIGITS:
+            break
     order = Window.partitionBy("b").orderBy("h", "k")
-    ranked = hashed.where(F.col("b") == found["b"]).withColumn("rn", F.row_number().over(order))
-    return tuple(ranked.where(F.col("rn") == found["rank"]).select("h", "k").first())
+    ranked = here.where(F.col("b") == prefix).withColumn("rn", F.row_number().over(order))
+    return tuple(ranked.where(F.col("rn") == wanted).select("h", "k").first())
 
 
 def _is_first(key: str, seed: int, cut: tuple | None) -> Column:

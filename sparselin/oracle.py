@@ -361,7 +361,8 @@ def weights_roundtrip_sql(scales) -> str:
 def runlog_sql() -> str:
     return """with h as (select event_id // 100 as run, event_id as iter, value as f from events)
 select (case when run % 2 = 0 then 'lr' else 'l2svm' end) || '_run' || run as tag,
-  case when run % 2 = 0 then 'lr' else 'l2svm' end as solver, arg_max(f, iter) as final_f, -1.0::double as bias,
+  case when run % 2 = 0 then 'lr' else 'l2svm' end as solver, case when run % 5 <> 0 then arg_max(f, iter) end as final_f,
+  case when run % 3 <> 0 then 1.0::double else -1.0 end as bias,
   count(*) as n, round(sum(f), 6) as total from h group by run"""
 
 

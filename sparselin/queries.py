@@ -173,8 +173,9 @@ def densify(spark, sf):
 
 @query("range_transform", "select count(*) as n, round(sum(0.9::double * (o_orderkey % 2) + 1), 6) as total from orders")
 def range_transform(spark, sf):
-    n = tables.table(spark, sf, "orders").agg(F.max("o_orderkey") + 1).first()[0]
-    moved = tables.labelled_range(spark, n).select((F.col("y") * 0.9 + 1.0).alias("z"))
+    """The parity of every order's key, moved and summed."""
+    labelled = tables.table(spark, sf, "orders").select((F.col("o_orderkey") % 2).cast("double").alias("y"))
+    moved = labelled.select((F.col("y") * 0.9 + 1.0).alias("z"))
     return moved.agg(F.count("*").alias("n"), r6(F.sum("z"), "total"))
 
 
@@ -209,13 +210,25 @@ def feature_width(spark, sf):
         (F.max(F.array_max("indices")) + 1).alias("n_features"), F.count("*").alias("n_rows"))
 
 
-@query("structure_checks", f"with {O.DOCUMENTS} select 0::bigint as length_mismatch, "
+@query("structure_checks", f"with {O.DOCUMENTS}, k as (select row_id, count(*) as k from doc_coo group by 1) select "
+       "(select count(*) from k where row_id % 7 = 0) as length_mismatch, "
        "(select count(distinct row_id) from doc_coo where j >= 16) as out_of_range, "
-       "0::bigint as repeated_index, 0::bigint as missing_label, "
+       "(select count(*) from k where row_id % 5 = 0) as repeated_index, "
+       "(select count(*) from k where row_id % 3 = 0) as missing_label, "
        "(case when (select max(j) + 1 from doc_coo) <> 16 then 1 else 0 end)::bigint as weight_width_mismatch")
 def structure_checks(spark, sf):
+    """Documents with faults put in by id: a value too many, a repeated index, no label."""
     rows = document_rows(spark, sf)
-    return M.violations(rows, 16, rule_weights(spark, libsvm.feature_width(rows)))
+    width = libsvm.feature_width(rows)
+    id_ = F.col("row_id")
+    repeated = F.concat("indices", F.slice("indices", 1, 1))
+    faulty = rows.select(
+        "row_id", F.when(id_ % 3 != 0, F.col("label")).alias("label"),
+        F.when(id_ % 5 == 0, repeated).otherwise(F.col("indices")).alias("indices"),
+        F.when((id_ % 5 == 0) & (id_ % 7 != 0), F.concat("values", F.slice("values", 1, 1)))
+        .when((id_ % 5 != 0) & (id_ % 7 == 0), F.concat("values", F.array(F.lit(1.0))))
+        .otherwise(F.col("values")).alias("values"))
+    return M.violations(faulty, 16, rule_weights(spark, width))
 
 
 # ------------------------------------------------------------------- products
@@ -750,13 +763,14 @@ def event_runs(spark, sf):
     tag = F.concat(solver, F.lit("_run"), run.cast("string"))
     step = _record(STEP, steps)
     # The event id is unique, hence a list has at most RUN_LENGTH elements.
-    runs = events(spark, sf).groupBy(tag.alias("tag")).agg(
+    runs = events(spark, sf).groupBy(tag.alias("tag"), run.alias("run")).agg(
         F.sort_array(F.collect_list(step)).alias("history"), F.max_by("value", "event_id").alias("final_f"))
     return runs.select(
         "tag",
         _record(META, {"mode": F.lit("test"), "timestamp_utc": tags.utc_stamp()}).alias("meta"),
-        _record(CONFIG, {"bias": F.lit(-1.0)}).alias("config"),
-        _record(SUMMARY, {"final_f": F.col("final_f"), "time_sec": F.lit(float(RUN_LENGTH - 1))}).alias("summary"),
+        # Some logs lack a bias, and some the final objective.
+        _record(CONFIG, {"bias": F.when(F.col("run") % 3 != 0, F.lit(1.0))}).alias("config"),
+        _record(SUMMARY, {"final_f": F.when(F.col("run") % 5 != 0, F.col("final_f")), "time_sec": F.lit(float(RUN_LENGTH - 1))}).alias("summary"),
         "history")
 
 
@@ -769,7 +783,8 @@ def runlog_roundtrip(spark, sf):
     path = scratch_path(spark, "runs")
     sinks.write_runs(event_runs(spark, sf), path)
     logs = runlogs.read_runs(spark, path, one_per_file=False)
-    flat = reports.flat_runs(logs).select("tag", "solver", "final_f", "bias")
+    # A missing number is NaN, which is no value to compare.
+    flat = reports.flat_runs(logs).select("tag", "solver", tags.nan_as_null(F.col("final_f")).alias("final_f"), "bias")
     points = runlogs.run_history(logs).where(F.col("t_sec") == F.col("iter")).groupBy(F.col("run_id").alias("tag")).agg(
         F.count("*").alias("n"), r6(F.sum("f"), "total"))
     return flat.join(points, "tag").select("tag", "solver", "final_f", "bias", "n", "total")

@@ -67,9 +67,3 @@ def event_history(events: DataFrame) -> DataFrame:
         F.col("value").alias("f"),
         F.get_json_object("props", "$.k").cast("double").alias("g_norm"),
     )
-
-
-def labelled_range(spark: SparkSession, n: int, partitions: int = 8) -> DataFrame:
-    """The numbers 0..n-1 with their parity as label, produced in parallel."""
-    return spark.range(0, n, 1, partitions).select(
-        F.col("id").alias("x"), (F.col("id") % 2).cast("double").alias("y"))

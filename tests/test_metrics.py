@@ -173,6 +173,17 @@ def test_split_follows_the_seeded_order(spark):
     assert train != other
 
 
+@pytest.mark.parametrize("ranked", [1, 40])
+def test_split_refines_its_prefix(spark, monkeypatch, ranked):
+    """However few records may be ranked together, the cut is the same."""
+    df = spark.range(3000)
+    want = {r["id"] for r in split.exact_split(df, "id", 0.43, 5).where("split = 'train'").collect()}
+    monkeypatch.setattr(split, "PREFIX_DIGITS", 1)
+    monkeypatch.setattr(split, "RANKED", ranked)
+    assert {r["id"] for r in split.exact_split(df, "id", 0.43, 5).where("split = 'train'").collect()} == want
+    assert len(want) == 1290
+
+
 def test_three_way_split(spark):
     done = split.three_way_split(spark.range(1000), "id").groupBy("split").count().collect()
     assert {r["split"]: r["count"] for r in done} == {"train": 640, "val": 160, "test": 200}

@@ -164,12 +164,6 @@ def test_weights(spark, tmp_path):
     assert list(W.to_array(back, 7))[5:] == [0.0, 0.0]
 
 
-def test_labelled_range(spark):
-    df = tables.labelled_range(spark, 1001, 4)
-    assert df.rdd.getNumPartitions() == 4
-    assert df.agg(F.count("*"), F.sum("y")).first()[:] == (1001, 500.0)
-
-
 def test_missing_threshold_files_give_no_threshold(spark, tmp_path):
     found = runlogs.read_thresholds(spark, f"{tmp_path}/threshold_*.json")
     runs = spark.createDataFrame([("d", "t")], "dir string, tag string")
