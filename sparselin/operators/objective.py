@@ -1,6 +1,7 @@
 """f(w) = ½‖w‖² + C Σ loss(x·w, y): value, gradient and Hessian-vector product as Spark jobs.
 
-``coo`` functions return DataFrames built from joins and aggregations only.
+Functions of a DataFrame of rows compute within the rows where the weights fit a
+broadcast, and exchange sums per feature only; wider weights are joined (``coo``).
 ``Blocks`` is the partition strategy for repeated passes: rows are packed once
 into persisted byte blocks and every pass is a single job over them.
 """
@@ -19,6 +20,7 @@ from sparselin.functions.losses import Loss, get_loss
 from sparselin.operators import kernels
 from sparselin.operators.matvec import products, to_coo
 from sparselin.session import MAX_BROADCAST_FEATURES, map_in_arrow
+from sparselin.sources import weights as W
 
 # Fixed value: the id a scalar travels under, below all feature ids.
 LOSS_ID = -1
@@ -30,9 +32,48 @@ def _loss(loss: Loss | str) -> Loss:
     return get_loss(loss) if isinstance(loss, str) else loss
 
 
-def objective(rows: DataFrame, weights: DataFrame, loss: Loss | str, C: float, width: int | None = None, **kw) -> DataFrame:
+def _row_local(width: int | None, strategy: str) -> bool:
+    if strategy not in ("auto", "coo"):
+        raise ValueError(f"unknown strategy {strategy!r}; known: auto, coo")
+    return strategy == "auto" and width is not None and width <= MAX_BROADCAST_FEATURES
+
+
+def _partial_sums(rows: DataFrame, loss: Loss, kind: str, w: np.ndarray, s: np.ndarray | None = None) -> DataFrame:
+    """``(j, z)`` of every task: Σ loss under ``LOSS_ID`` (``loss``), Xᵀ residual (``slope``) or Xᵀ D X s (``product``)."""
+    sent = rows.sparkSession.sparkContext.broadcast((w, s))
+
+    def task(batches):
+        weights, direction = sent.value
+        total, out = 0.0, np.zeros(0 if kind == "loss" else len(weights))
+        for record_batch in batches:
+            b = kernels.from_rows(record_batch)
+            owner = b.owner
+            m = b.dot(weights, owner)
+            if kind == "loss":
+                total += float(loss.value(m, b.labels, np).sum())
+            elif kind == "slope":
+                b.add_transposed(loss.residual(m, b.labels, np), owner, out)
+            else:
+                b.add_transposed(loss.curvature(m, b.labels, np) * b.dot(direction, owner), owner, out)
+        yield from kernels.entries(out, {LOSS_ID: total} if kind == "loss" else {})
+
+    return map_in_arrow(rows.select("label", "indices", "values"), task, "j bigint, z double")
+
+
+def _with_vector(vector: DataFrame, column: str, parts: DataFrame, C: float, name: str) -> DataFrame:
+    """``vector + C Σ parts``: both meet in one aggregation."""
+    both = vector.select("j", F.col(column).alias("z")).unionByName(parts.select("j", (C * F.col("z")).alias("z")))
+    return both.groupBy("j").agg(F.sum("z").alias(name))
+
+
+def objective(rows: DataFrame, weights: DataFrame, loss: Loss | str, C: float, width: int | None = None,
+              strategy: str = "auto", **kw) -> DataFrame:
     """One row ``f``."""
     loss = _loss(loss)
+    if _row_local(width, strategy):
+        w = W.to_array(weights, width)
+        total = F.coalesce(F.sum("z"), F.lit(0.0))
+        return _partial_sums(rows, loss, "loss", w).agg((0.5 * float(w @ w) + C * total).alias("f"))
     m = products(rows, weights.select("j", "w"), ["w"], width, **kw)
     penalty = weights.agg(F.coalesce(F.sum(F.col("w") * F.col("w")), F.lit(0.0)) / 2).scalar()
     total = F.coalesce(F.sum(loss.value(F.col("x_w"), F.col("label"))), F.lit(0.0))
@@ -52,9 +93,12 @@ def _plus_vector(vector: DataFrame, column: str, z: DataFrame, C: float, name: s
     return both.select("j", (F.coalesce("_a", F.lit(0.0)) + C * F.coalesce("z", F.lit(0.0))).alias(name))
 
 
-def gradient(rows: DataFrame, weights: DataFrame, loss: Loss | str, C: float, width: int | None = None, **kw) -> DataFrame:
+def gradient(rows: DataFrame, weights: DataFrame, loss: Loss | str, C: float, width: int | None = None,
+             strategy: str = "auto", **kw) -> DataFrame:
     """``(j, g)``."""
     loss = _loss(loss)
+    if _row_local(width, strategy):
+        return _with_vector(weights, "w", _partial_sums(rows, loss, "slope", W.to_array(weights, width)), C, "g")
     m = products(rows, weights.select("j", "w"), ["w"], width, **kw)
     per_row = m.select("row_id", loss.residual(F.col("x_w"), F.col("label")).alias("r"))
     return _plus_vector(weights, "w", _back_to_features(rows, per_row), C, "g")
@@ -82,8 +126,12 @@ def curvature_product(rows: DataFrame, vectors: DataFrame, loss: Loss | str, wid
     return _back_to_features(rows, m.select("row_id", bent.alias("r")))
 
 
-def hessian_vector(rows: DataFrame, vectors: DataFrame, loss: Loss | str, C: float, width: int | None = None, **kw) -> DataFrame:
+def hessian_vector(rows: DataFrame, vectors: DataFrame, loss: Loss | str, C: float, width: int | None = None,
+                   strategy: str = "auto", **kw) -> DataFrame:
     """``(j, h)`` for a table ``(j, w, s)``."""
+    if _row_local(width, strategy):
+        w, s = (W.to_array(vectors, width, c) for c in ("w", "s"))
+        return _with_vector(vectors, "s", _partial_sums(rows, _loss(loss), "product", w, s), C, "h")
     return _plus_vector(vectors, "s", curvature_product(rows, vectors, loss, width, **kw), C, "h")
 
 

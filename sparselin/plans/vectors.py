@@ -189,7 +189,7 @@ class TableProblem:
     def hessian_vector(self, w: TableVector, s: TableVector) -> TableVector:
         vectors = w.df.withColumnRenamed("x", "w").join(s.df.withColumnRenamed("x", "s"), "j", "full_outer").select(
             "j", F.coalesce("w", F.lit(0.0)).alias("w"), F.coalesce("s", F.lit(0.0)).alias("s"))
-        h = obj.hessian_vector(self.rows, vectors, self.loss, self.C, **self._lookup())
+        h = obj.hessian_vector(self.rows, vectors, self.loss, self.C, strategy="coo", **self._lookup())
         return self._keep("product", h.withColumnRenamed("h", "x"))
 
     def to_table(self, w: TableVector, spark) -> DataFrame:

@@ -330,7 +330,7 @@ def _objective_queries(name):
         rows = embedding_rows(spark, sf)
         width = libsvm.feature_width(rows)
         weights = rule_weights(spark, width)
-        by_join = objective.gradient(rows, weights, solver, 1.0, width).select("j", F.col("g").alias("g_coo"))
+        by_join = objective.gradient(rows, weights, solver, 1.0, width, strategy="coo").select("j", F.col("g").alias("g_coo"))
         w = W.to_array(weights, width)
         with objective.Blocks(rows, width) as blocks:
             _, slope = blocks.loss_and_slope(get_loss(solver), w)

@@ -69,8 +69,8 @@ def test_coo_equals_numpy(spark, random_rows, solver, max_broadcast):
     v = W.from_arrays(spark, w=w, s=s)
     kw = {"width": 30, "max_broadcast": max_broadcast}
     m = X @ w
-    g = column(obj.gradient(rows, v, loss, 0.7, **kw), "g", 30)
-    h = column(obj.hessian_vector(rows, v, loss, 0.7, **kw), "h", 30)
+    g = column(obj.gradient(rows, v, loss, 0.7, strategy="coo", **kw), "g", 30)
+    h = column(obj.hessian_vector(rows, v, loss, 0.7, strategy="coo", **kw), "h", 30)
     z = {r["j"]: r["z"] for r in obj.loss_and_slope(rows, v, loss, **kw).collect()}
     assert g == pytest.approx(w + 0.7 * X.T @ loss.residual(m, y, np))
     assert h == pytest.approx(s + 0.7 * X.T @ (loss.curvature(m, y, np) * (X @ s)))
@@ -197,3 +197,19 @@ def test_blocks_split_at_row_borders():
     assert [list(b.labels) for b in blocks] == [[1.0], [-1.0, 1.0], [1.0]]
     assert [list(b.values) for b in blocks] == [[1.0, 2.0, 3.0], [4.0], [5.0, 6.0]]
     assert [list(b.indices) for b in tail] == [[5], [1, 2]]
+
+
+@pytest.mark.parametrize("solver", ["lr", "l2svm"])
+def test_row_local_sums_exchange_features_only(spark, random_rows, solver):
+    """Within the broadcast bound no row is exchanged, and the numbers are those of the joins."""
+    rows, X, y = random_rows
+    rng = np.random.default_rng(8)
+    v = W.from_arrays(spark, w=rng.normal(size=30), s=rng.normal(size=30))
+    for make, name in ((obj.gradient, "g"), (obj.hessian_vector, "h")):
+        near, far = (make(rows, v, solver, 0.7, 30, strategy=s) for s in ("auto", "coo"))
+        assert column(near, name, 30) == pytest.approx(column(far, name, 30))
+        assert near._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    near, far = (obj.objective(rows, v, solver, 0.7, 30, strategy=s) for s in ("auto", "coo"))
+    assert near.first()["f"] == pytest.approx(far.first()["f"])
+    with pytest.raises(ValueError):
+        obj.objective(rows, v, solver, 0.7, 30, strategy="other")
