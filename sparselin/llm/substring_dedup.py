@@ -123,8 +123,11 @@ def sketch(docs: DataFrame, size: int, bits: int) -> list[np.ndarray]:
         merge, "row int, area long, bits binary")
     out = [np.zeros(1 << bits - 3, np.uint8) for _ in range(ROWS)]
     step = 1 << RANGE_BITS - 3
-    for r in merged.toLocalIterator():
-        out[r["row"]][r["area"] * step:(r["area"] + 1) * step] = np.frombuffer(r["bits"], np.uint8)
+    # One bit a cell, so no more than the bound of the sketch.
+    for batch in merged.toArrow().to_batches():
+        for row, area, part in zip(*batch.columns):
+            at = area.as_py() * step
+            out[row.as_py()][at:at + step] = np.frombuffer(part.as_buffer(), np.uint8)
     return out
 
 
