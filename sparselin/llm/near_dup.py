@@ -178,10 +178,9 @@ def meeting(table: pa.Table, size: int, percent: int) -> list[tuple[int, int]]:
         mark[mine] = False
         linked = others[100 * common >= percent * (sizes[others] + sizes[i] - common)]
         for name in np.unique(names[linked]).tolist():
-            other = linked[names[linked] == name][0] if (names[linked] == name).any() else None
-            if other is not None and name != names[i]:
-                out.append((int(min(ids[i], ids[other])), int(max(ids[i], ids[other]))))
-                names[names == name] = names[i]
+            other = linked[names[linked] == name][0]
+            out.append((int(min(ids[i], ids[other])), int(max(ids[i], ids[other]))))
+            names[names == name] = names[i]
     return out
 
 
