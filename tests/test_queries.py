@@ -11,7 +11,7 @@ from conftest import TESTDATA
 duckdb = pytest.importorskip("duckdb")
 SF = f"{TESTDATA}/sf0.001"
 # Long fits; test_fit covers what they do on smaller input.
-LONG = {"tron_coo", "tron_table", "tron_l2svm_summary", "sweep_report"}
+LONG = {"tron_coo", "tron_table"}
 
 
 @pytest.fixture(scope="module")
