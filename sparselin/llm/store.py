@@ -44,6 +44,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of what ``df`` is derived from, by the planner; sources of unknown size count nothing.
+
+    The estimate of ``df`` itself is of no use here, since that of a join is a product.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(s for s in sizes if s < 1 << 60)
+
+
 class Scratch:
     """Tables and files of one call under one folder of the shared store."""
 

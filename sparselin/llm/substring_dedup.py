@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparselin.llm.store import extended, map_batches, named, others, partitions, slices, unused
+from sparselin.llm.store import extended, input_bytes, map_batches, named, others, partitions, slices, unused
 from sparselin.llm.words import U64, Words, chain, mix, words_of
 from sparselin.session import ship_package
 
@@ -60,9 +60,8 @@ def cells(values: np.ndarray, row: int, bits: int) -> np.ndarray:
 
 
 def sketch_bits(docs: DataFrame, size: int) -> int:
-    """Four cells per anchor by the planner's estimate of the input; a matter of speed only."""
-    estimate = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    found = estimate / 4 * 2 / max(size - ANCHOR + 2, 2)
+    """Four cells per anchor, guessed from the bytes of the input; a matter of speed only."""
+    found = input_bytes(docs) / 4 * 2 / max(size - ANCHOR + 2, 2)
     return int(np.clip(np.ceil(np.log2(max(4 * found, 1))), RANGE_BITS, MAX_BITS))
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparselin.llm import simple8b
-from sparselin.llm.store import map_batches, opened, partitions, slices, text_column
+from sparselin.llm.store import input_bytes, map_batches, opened, partitions, slices, text_column
 from sparselin.llm.tokens import Encoder, tokenizer_path
 from sparselin.session import ship_package
 
@@ -33,9 +33,8 @@ MANIFEST = "part long, n_docs long, n_ids long, n_bytes long"
 
 
 def range_partitions(df: DataFrame, size: int = FILE_BYTES) -> int:
-    """Partitions of about ``size`` bytes by the planner's estimate, as many as the session's at least."""
-    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(partitions(df.sparkSession), min(estimate // size, 1_000_000))
+    """Partitions of about ``size`` bytes of input, as many as the session's at least."""
+    return max(partitions(df.sparkSession), input_bytes(df) // size)
 
 
 def with_end(flat: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:

@@ -117,3 +117,13 @@ def test_lengths_out_of_range(spark):
         packing.match_runs({0: 1}, 10)
     with pytest.raises(ValueError):
         packing.match_runs({11: 1}, 10)
+
+
+def test_input_bytes_follow_the_sources(spark):
+    from sparselin.llm.store import input_bytes
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    one = input_bytes(docs)
+    assert 0 < one < 1 << 20 and input_bytes(docs.join(docs.withColumnRenamed("text", "t"), "doc_id")) == 2 * one
+    # A source of unknown size counts nothing, so the session's partitions remain.
+    unknown = spark.createDataFrame(spark.sparkContext.parallelize([(1, "a")]), "doc_id long, text string")
+    assert token_files.range_partitions(unknown) == int(spark.conf.get("spark.sql.shuffle.partitions"))
