@@ -44,6 +44,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bounded_sample(df: DataFrame, keys: list[str], bound: int) -> DataFrame:
+    """The ``bound`` rows of ``df`` with the least hashes of their distinct ``keys``; all if there are no more.
+
+    Only the range of hashes that holds some twice as many is ordered, so no task gets more than that.
+    """
+    h = F.xxhash64(*keys)
+    n = df.agg(F.approx_count_distinct(h)).first()[0]
+    if n > 4 * bound:
+        df = df.where(h < (2 * bound * (1 << 64)) // n - (1 << 63))
+    return df.orderBy(h, *keys).limit(bound)
+
+
 def input_bytes(df: DataFrame) -> int:
     """Bytes of what ``df`` is derived from, by the planner; sources of unknown size count nothing.
 

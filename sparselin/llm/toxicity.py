@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparselin.llm.ngrams import distinct, features, logistic
-from sparselin.llm.store import Scratch, extended, map_batches, named, others, slices, text_column
+from sparselin.llm.store import Scratch, bounded_sample, extended, map_batches, named, others, slices, text_column
 from sparselin.plans.fit import fit as fit_linear
 from sparselin.session import ship_package
 
@@ -53,8 +53,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
     """``doc_id, text, toxic`` of at most ``bound`` labelled rows that are not held out."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out())
-    chosen = (known.groupBy("doc_id").agg((F.max("toxic") == 1).alias("toxic"))
-              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound))
+    chosen = bounded_sample(known.groupBy("doc_id").agg((F.max("toxic") == 1).alias("toxic")), ["doc_id"], bound)
     # The broadcast side has at most ``bound`` rows of an id and a flag.
     return docs.select("doc_id", text_column()).join(F.broadcast(chosen), "doc_id")
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparselin.llm.ngrams import distinct, features, logistic
-from sparselin.llm.store import Scratch, map_batches
+from sparselin.llm.store import Scratch, bounded_sample, extended, map_batches
 from sparselin.plans.fit import fit as fit_linear
 
 ORDERS = range(2, 6)
@@ -62,8 +62,8 @@ def occurring(hosts: list[str], paths: list[str]) -> tuple[np.ndarray, np.ndarra
 
 def labelled(judged: DataFrame, bound: int = LABELLED) -> DataFrame:
     """The small labelled table: what the rules decide."""
-    return (judged.where("ruling is not null").select("host", "path", (F.col("ruling") == "block").alias("label")).distinct()
-            .orderBy(F.xxhash64("host", "path"), "host", "path").limit(bound))
+    ruled_on = judged.where("ruling is not null").select("host", "path", (F.col("ruling") == "block").alias("label")).distinct()
+    return bounded_sample(ruled_on, ["host", "path"], bound)
 
 
 def train(table: DataFrame) -> np.ndarray:
@@ -107,7 +107,6 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], bound: int = LABELLED)
         score = logistic(intercept + np.bincount(owner, weights=weight[own], minlength=len(hosts)))
         yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], names=[*names, "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in judged.schema)
     by_model = F.when(F.col("score") >= 0.5, "block").otherwise("allow")
-    return map_batches(judged, task, f"{schema}, score double").select(
+    return map_batches(judged, task, extended(judged, names, "score double")).select(
         "page_id", "host", "path", "rule", F.coalesce("ruling", by_model).alias("verdict"), "score")

@@ -272,3 +272,13 @@ def test_no_pages_and_damage(spark):
     assert warc.parse(good)["payload"] == b"payload"
     with pytest.raises(ValueError):
         warc.parse(good.replace(b"payload\r\n", b"paYload\r\n"))
+
+
+def test_bounded_sample_is_the_least_hashes(spark):
+    from pyspark.sql import functions as F
+
+    from sparselin.llm.store import bounded_sample
+    df = spark.range(5000).withColumnRenamed("id", "k")
+    for bound in (10, 700, 6000):
+        want = {r["k"] for r in df.orderBy(F.xxhash64("k")).limit(bound).collect()}
+        assert {r["k"] for r in bounded_sample(df, ["k"], bound).collect()} == want
