@@ -29,6 +29,8 @@ MAGIC = b"SIMPLE8B"
 SEGMENT = "<8s4Q"
 # Input bytes of a file, about.
 FILE_BYTES = 64 << 20
+# Input bytes a task encodes at once.
+SLICE = 1 << 21
 MANIFEST = "part long, n_docs long, n_ids long, n_bytes long"
 
 
@@ -63,7 +65,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> D
         temporary, out, n_docs, n_ids = f"{root}/.tmp-{part:06d}-{uuid.uuid4().hex}", None, 0, 0
         encoder = Encoder.of(tokenizer_path(tokenizer))
         for batch in batches:
-            for rows in slices(batch, 1 << 22):
+            for rows in slices(batch, SLICE):
                 if out is None:
                     files.create_dir(root)
                     out = files.open_output_stream(temporary)
@@ -165,4 +167,4 @@ def piece_table(docs: DataFrame, tokenizer: str, end_id: int, size: int) -> Data
             names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return map_batches(docs.select("doc_id", text_column()), cut,
-                       "doc_id long, piece int, start long, length long, ids_crc32 long")
+                       "doc_id long, piece int, start long, length long, ids_crc32 long", SLICE)
