@@ -17,7 +17,7 @@ import pyarrow as pa
 from sparselin.llm.words import LOWER, SPACE, Words, span_hashes, spread_runs, text_bytes, words_of
 
 # Remembered words of one worker; beyond it the memory starts anew.
-MEMO = 500_000
+MEMO = 600_000
 # A word of Latin letters, with at most one mark behind: its parts are known without a search for them.
 PLAIN = re.compile("([ \n]?)([a-zA-ZÀ-ÖØ-öø-ÿ]+)([.,]?)")
 # White space outside ASCII, as UTF-8.
