@@ -1,10 +1,13 @@
 """Benchmark items in documents, also with some words changed, left out or added.
 
 Texts are sequences of lower-cased words without ASCII punctuation. A document contains an item if some
-stretch of it is within ``floor(rate * item words)`` word edits of the item. Items of fewer than ``STEPS``
-words say too little and are not searched for.
+stretch of it is within ``floor(rate * item words)`` word edits of the item.
 
-Candidates come from the CGK embedding: a walk reads the word under it, and a random bit of that word and of
+Items of fewer than ``STEPS`` words are searched for exactly. Their whole word sequence is looked up at every word
+of a document, once for each distinct length. Where edits are allowed, the item is also cut into one part more than
+edits: one part at least is then untouched, so looking up every part finds every match.
+
+Candidates for longer items come from the CGK embedding: a walk reads the word under it, and a random bit of that word and of
 the step says whether it moves on. After an edit two walks over otherwise equal words tend to meet again, so
 sequences at a small edit distance give embeddings at a small Hamming distance. A repetition samples
 ``SAMPLED`` of the first ``STEPS`` coordinates of the walk; its key is equal with a fair probability for close
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from sparselin.llm.store import map_batches, text_column
-from sparselin.llm.words import BARE, U64, Words, join, mix, spread_runs, words_of
+from sparselin.llm.words import BARE, U64, Words, chain, join, mix, spread_runs, words_of
 
 RATE = 0.2
 RECALL = 0.99
@@ -50,9 +53,19 @@ def repetitions(rate: float = RATE, recall: float = RECALL) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - alike)))
 
 
+@dataclass
+class Runs:
+    """Sorted hashes of runs of ``size`` words of items, whose they are and where in the item they start."""
+
+    size: int
+    keys: np.ndarray
+    owner: np.ndarray
+    offset: np.ndarray
+
+
 @dataclass
 class Items:
-    """Items as word hashes, and for every repetition the sorted keys of their walks."""
+    """Items as word hashes, for every repetition the sorted keys of the walks of longer items, and the runs of short ones."""
 
     ids: list
     words: list[np.ndarray]
@@ -62,6 +75,8 @@ class Items:
     keys: list[np.ndarray]
     owner: list[np.ndarray]
     offset: list[np.ndarray]
+    whole: list[Runs]
+    parts: list[Runs]
 
 
 def seed(repetition: int) -> np.ndarray:
@@ -108,7 +123,7 @@ def index(rows: list[tuple], rate: float, recall: float) -> Items:
     """Index of ``(item_id, text)`` rows."""
     texts = words_of(pa.array([t for _, t in rows], pa.string()), BARE)
     hashes = texts.hashes()
-    kept = np.flatnonzero(texts.counts() >= STEPS)
+    kept = np.flatnonzero(texts.counts())
     ids = [rows[i][0] for i in kept.tolist()]
     words = [hashes[texts.bounds[i]:texts.bounds[i + 1]] for i in kept.tolist()]
     flat = np.concatenate(words) if words else np.empty(0, U64)
@@ -118,7 +133,11 @@ def index(rows: list[tuple], rate: float, recall: float) -> Items:
     first = np.zeros(1 << TABLE_BITS, np.uint64)
     # Which words an item has, as hashes of both.
     pairs = np.unique(join(flat, np.repeat(np.arange(len(words)), sizes).astype(U64)))
-    out = Items(ids, words, pairs, first, [], [], [], [])
+    small = np.flatnonzero(sizes < STEPS)
+    whole = runs_of(flat, begins, [(i, 0, int(sizes[i])) for i in small.tolist()])
+    out = Items(ids, words, pairs, first, [], [], [], [], whole, runs_of(flat, begins, parts_of(small, sizes[small], rate)))
+    long = np.flatnonzero(sizes >= STEPS)
+    begins, sizes = begins[long], sizes[long]
     for r in range(n):
         # Offsets go evenly from the item's start to the last place a walk stays inside.
         offset = np.round((sizes - STEPS) * (r / max(n - 1, 1))).astype(np.int64)
@@ -131,12 +150,55 @@ def index(rows: list[tuple], rate: float, recall: float) -> Items:
         out.seen.append(tables)
         order = np.argsort(key)
         out.keys.append(key[order])
-        out.owner.append(alive[order])
+        out.owner.append(long[alive[order]])
         out.offset.append(offset[alive][order])
         first[short(flat[starts])] |= U64(1 << r % 64)
     return out
 
 
+def parts_of(items: np.ndarray, sizes: np.ndarray, rate: float) -> list[tuple[int, int, int]]:
+    """``(item, offset, words)`` of the parts, one more than edits, of the items that may have edits."""
+    out = []
+    for item, size in zip(items.tolist(), sizes.tolist()):
+        n = int(rate * size) + 1
+        cuts = [size * k // n for k in range(n + 1)]
+        out += [(item, a, b - a) for a, b in zip(cuts, cuts[1:]) if n > 1]
+    return out
+
+
+def runs_of(flat: np.ndarray, begins: np.ndarray, spans: list[tuple[int, int, int]]) -> list[Runs]:
+    """Runs of ``(item, offset, words)``, one entry for each number of words."""
+    out = []
+    for size in sorted({n for _, _, n in spans}):
+        owner, offset = np.array([(i, o) for i, o, n in spans if n == size], np.int64).T
+        keys = chain(flat, size)[begins[owner] + offset]
+        order = np.argsort(keys)
+        out.append(Runs(size, keys[order], owner[order], offset[order]))
+    return out
+
+
+def run_matches(words: Words, hashes: np.ndarray, runs: list[Runs]) -> np.ndarray:
+    """Distinct ``(item, first word of the item's window)`` where a text has one of the runs."""
+    found = [np.empty((0, 2), np.int64)]
+    for run in runs:
+        starts = words.windows(run.size)
+        key = chain(hashes, run.size)[starts]
+        low, high = np.searchsorted(run.keys, key, "left"), np.searchsorted(run.keys, key, "right")
+        slot = spread_runs(low, high - low)
+        found.append(np.stack([run.owner[slot], np.repeat(starts, high - low) - run.offset[slot]], axis=1))
+    return np.unique(np.concatenate(found), axis=0)
+
+
+def exact_short(words: Words, hashes: np.ndarray, items: Items) -> dict[tuple[int, int], tuple]:
+    """For ``(text, item)``, the distance 0 and the place of the first exact copy of a short item."""
+    item, start = run_matches(words, hashes, items.whole).T
+    text = words.owner()[start]
+    # Matches ascend by item and start.
+    pairs, one = np.unique(np.stack([text, item], axis=1), axis=0, return_index=True)
+    place = start[one] - words.bounds[pairs[:, 0]]
+    return {(t, i): (0, at) for (t, i), at in zip(pairs.tolist(), place.tolist())}
+
+
 def edit_match(item: np.ndarray, stretch: np.ndarray) -> tuple[int, int]:
     """The least word edits between ``item`` and a part of ``stretch``, and where that part ends."""
     n = len(stretch)
@@ -150,10 +212,10 @@ def edit_match(item: np.ndarray, stretch: np.ndarray) -> tuple[int, int]:
 
 
 def candidates(words: Words, hashes: np.ndarray, items: Items) -> np.ndarray:
-    """Distinct ``(item, first word of the window)`` pairs that some repetition finds."""
+    """Distinct ``(item, first word of the window)`` pairs that some repetition or part of a short item finds."""
     ends = np.repeat(words.bounds[1:], words.counts())
     flags = items.first[short(hashes)]
-    found = [np.empty((0, 2), np.int64)]
+    found = [run_matches(words, hashes, items.parts)]
     for r, keys in enumerate(items.keys):
         starts = np.flatnonzero(flags >> U64(r % 64) & U64(1))
         key, alive, _ = walk_keys(hashes, starts, ends[starts], r, items.seen[r])
@@ -169,8 +231,10 @@ def matches(words: Words, items: Items, rate: float) -> list[tuple]:
     hashes = words.hashes()
     if not len(hashes) or not items.ids:
         return []
-    best: dict[tuple[int, int], tuple] = {}
+    best = exact_short(words, hashes, items)
     for item, text, low, high in plausible(words, hashes, items, rate).tolist():
+        if best.get((text, item), (1,))[0] == 0 and len(items.words[item]) < STEPS:
+            continue
         own, stretch = items.words[item], hashes[low:high]
         distance, end = edit_match(own, stretch)
         if distance <= int(rate * len(own)):

@@ -155,6 +155,27 @@ def test_exact_items_are_always_found(spark, prose):
     assert {(r["doc_id"], r["item_id"], r["start"], r["distance"]) for r in found} == {(i, i, 0, 0) for i, _ in items}
 
 
+def test_short_items_against_every_pair(spark):
+    rng = np.random.default_rng(3)
+    text = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 3, n))
+    items = [(10 * n + k, text(n)) for n in range(1, 10) for k in range(6)] + [(95, ""), (96, None), (10, "w3 w3")]
+    docs = [(i, text(n)) for i, n in enumerate([*rng.integers(0, 14, 60).tolist(), 40, 60])] + [(100, None), (101, "w1"), (102, "w2")]
+    found = decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string").coalesce(2),
+                               spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = []
+    for d, t in docs:
+        for i, x in items:
+            own, words = (x or "").split(), (t or "").split()
+            if own and (edits := plain_edits(own, words)) <= int(0.2 * len(own)):
+                want.append((d, i, edits, len(own)))
+    assert {len(x.split()) for i, x in items if any(w[1] == i and w[2] for w in want)} >= {5, 6, 7, 8, 9}
+    assert sorted((r["doc_id"], r["item_id"], r["distance"], r["item_words"]) for r in found) == sorted(want)
+    texts, own = dict(docs), {(i, len((x or "").split())): x for i, x in items}
+    for r in found:
+        near = texts[r["doc_id"]].split()[r["start"]:][:r["item_words"] + r["distance"]]
+        assert plain_edits(own[r["item_id"], r["item_words"]].split(), near) == r["distance"]
+
+
 def toxic_rows(prose, n):
     rng = random.Random(2)
     rows = []
