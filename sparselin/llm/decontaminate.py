@@ -11,9 +11,10 @@ Candidates for longer items come from the CGK embedding: a walk reads the word u
 the step says whether it moves on. After an edit two walks over otherwise equal words tend to meet again, so
 sequences at a small edit distance give embeddings at a small Hamming distance. A repetition samples
 ``SAMPLED`` of the first ``STEPS`` coordinates of the walk; its key is equal with a fair probability for close
-sequences. The item's walk starts at another offset in every repetition, the document's at every word, which
-covers the window of the item's length around it whatever that length is; windows whose first coordinate no
-item has at that place are left at once. ``repetitions`` derives how many are needed for the target recall.
+sequences. The item's walks start at ``STARTS`` other offsets in every repetition, spread over the whole item, the
+document's at every word, which covers the window of the item's length around it whatever that length is; windows
+whose first coordinate no item has at that place are left at once. ``repetitions`` derives how many are needed for the
+target recall with one start; the further ones make up for walks from near offsets of short items, which are alike.
 Candidates are verified by exact edit distance, so what is reported is right, and only recall is a matter of chance.
 
 Items are sent to all tasks in blocks of at most ``BLOCK_WORDS`` words, with one pass over the documents for
@@ -37,6 +38,9 @@ RATE = 0.2
 RECALL = 0.99
 STEPS = 10
 SAMPLED = 5
+# Walks of an item in a repetition, and how many words before its end the last one may start.
+STARTS = 4
+TAIL = 4
 BLOCK_WORDS = 1 << 20
 TABLE_BITS = 18
 # Candidates whose words are compared at once.
@@ -139,20 +143,20 @@ def index(rows: list[tuple], rate: float, recall: float) -> Items:
     long = np.flatnonzero(sizes >= STEPS)
     begins, sizes = begins[long], sizes[long]
     for r in range(n):
-        # Offsets go evenly from the item's start to the last place a walk stays inside.
-        offset = np.round((sizes - STEPS) * (r / max(n - 1, 1))).astype(np.int64)
-        starts = begins + offset
-        # An item's walk ends before the item does, so none is given up.
-        key, alive, on_the_way = walk_keys(flat, starts, begins + sizes, r)
+        # Over all repetitions, offsets go evenly over the item; the first walk of the first one starts with it.
+        offset = ((sizes - TAIL + 1)[:, None] * (np.arange(STARTS) + r / n) / STARTS).astype(np.int64).ravel()
+        starts = np.repeat(begins, STARTS) + offset
+        # Walks that would leave the item are given up.
+        key, alive, on_the_way = walk_keys(flat, starts, np.repeat(begins + sizes, STARTS), r)
         tables = np.zeros((SAMPLED, 1 << TABLE_BITS), bool)
         for table, found in zip(tables, on_the_way):
             table[found] = True
         out.seen.append(tables)
         order = np.argsort(key)
         out.keys.append(key[order])
-        out.owner.append(long[alive[order]])
+        out.owner.append(long[alive[order] // STARTS])
         out.offset.append(offset[alive][order])
-        first[short(flat[starts])] |= U64(1 << r % 64)
+        first[short(flat[starts[alive]])] |= U64(1 << r % 64)
     return out
 
 

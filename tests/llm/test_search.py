@@ -7,6 +7,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sparselin.llm import decontaminate, near_dup, toxicity, urls, warc
@@ -176,6 +177,30 @@ def test_short_items_against_every_pair(spark):
         assert plain_edits(own[r["item_id"], r["item_words"]].split(), near) == r["distance"]
 
 
+def at_full_rate(item, how, rng):
+    """As many edits as a match may have: in a row at one end, evenly spaced, at every fifth word, or anywhere."""
+    words, n = list(item), len(item) // 5
+    even = [(i + 1) * (len(item) + 1) // (n + 1) - 1 for i in range(n)]
+    where = {"first": range(n), "last": range(len(item) - n, len(item)), "even": even, "fifth": range(4, len(item), 5),
+             "any": sorted(rng.sample(range(len(item)), n))}[how]
+    for i, at in reversed(list(enumerate(where))):
+        kind = rng.randrange(3) if how == "any" else i % 3
+        words[at:at + (kind != 1)] = [] if kind == 2 else [f"new{rng.getrandbits(60)}"]
+    return words
+
+
+@pytest.mark.parametrize("n", [10, 11, 12, 13, 14, 15, 19, 20, 29, 59, 200])
+def test_recall_at_the_full_rate(n):
+    rng = random.Random(n)
+    for how in ("first", "last", "even", "fifth", "any"):
+        items = [[f"w{rng.getrandbits(60)}" for _ in range(n)] for _ in range(300)]
+        index = decontaminate.index([(i, " ".join(x)) for i, x in enumerate(items)], 0.2, 0.99)
+        pad = lambda: [f"p{rng.getrandbits(60)}" for _ in range(20)]
+        texts = [" ".join([*pad(), *at_full_rate(x, how, rng), *pad()]) for x in items]
+        found = decontaminate.matches(decontaminate.words_of(pa.array(texts), decontaminate.BARE), index, 0.2)
+        assert sum(m[0] == m[1] for m in found) >= 0.99 * len(items), (n, how)
+
+
 def toxic_rows(prose, n):
     rng = random.Random(2)
     rows = []
