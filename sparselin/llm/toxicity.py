@@ -2,8 +2,9 @@
 
 A feature is whether a hashed n-gram occurs in a text. Over the training texts its log-count ratio is
 r = log((p + a) / (P + 2a)) - log((n + a) / (N + 2a)), with p and n the toxic and other texts that have it
-and P and N all of them. Features whose ratio is within ``MIN_Z`` standard errors of 0 or that fewer than
-``MIN_TEXTS`` texts have are left out; logistic regression on the scaled rest gives the weights.
+and P and N all of them. Features that fewer than ``MIN_TEXTS`` texts have are left out, and so are those whose
+ratio is within ``MIN_Z`` standard errors of 0, unless they are among the ``LEAST`` that are furthest from it: few
+training texts give small z whatever they say. Logistic regression on the scaled rest gives the weights.
 
 The fit takes at most ``TRAIN_ROWS`` labelled texts, in the order of a hash of their ids; scoring takes every
 whole text. Rows: a null or empty text is scored by the intercept; a null id is never a training row;
@@ -30,6 +31,8 @@ BITS = 20
 TRAIN_ROWS = 20_000
 MIN_TEXTS = 5
 MIN_Z = 4.0
+# Features that are kept whatever their z.
+LEAST = 1 << 10
 SMOOTHING = 1.0
 # Bytes of text whose n-grams a task holds at once.
 SLICE = 1 << 19
@@ -119,15 +122,19 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> Model:
     a = SMOOTHING
     p, q = F.col("toxic") + a, F.col("other") + a
     ratio = F.log(p / (n_toxic + 2 * a)) - F.log(q / (n - n_toxic + 2 * a))
+    z = F.abs("ratio") / F.sqrt(1 / p + 1 / q)
+    counted = count_features(rows).where(F.col("toxic") + F.col("other") >= MIN_TEXTS).withColumn("ratio", ratio)
+    ranked = scratch.table(counted.select("feature", "ratio", z.alias("z")), "features")
     # At most one row for each of the 2^20 hashed features, and only those that tell the classes apart.
-    chosen = (count_features(rows).where(F.col("toxic") + F.col("other") >= MIN_TEXTS)
-              .select("feature", ratio.alias("ratio"), F.sqrt(1 / p + 1 / q).alias("error"))
-              .where(F.abs("ratio") >= MIN_Z * F.col("error")).orderBy("feature").collect())
+    passing = ranked.where(F.col("z") >= MIN_Z)
+    if passing.count() < LEAST:
+        passing = ranked.orderBy(F.desc("z"), "feature").limit(LEAST)
+    chosen = passing.select("feature", "ratio").orderBy("feature").collect()
     feature = np.array([r["feature"] for r in chosen], np.int64)
     ratios = np.array([r["ratio"] for r in chosen], np.float64)
     fitted = fit_linear(scaled_rows(rows, feature, ratios), "lr", C=1.0, eps=1e-3, strategy="partition",
                         n_features=len(feature) + 1)
-    scratch.drop("train")
+    scratch.drop("train", "features")
     return Model(feature, fitted.w[:-1] * ratios, float(fitted.w[-1]))
 
 

@@ -45,6 +45,15 @@ def test_toxic_documents_go(spark, results):
     assert set(rows_of(results["toxicity"])) == set(rows_of(docs)) - toxic
 
 
+def test_few_labels_are_enough_to_remove_toxic_documents(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    kept = set(rows_of(corpus_pipeline.drop_toxic(spark, docs, SF)))
+    known = docs.join(labels, "doc_id").select("doc_id", "toxic").collect()
+    gone = [r["doc_id"] not in kept for r in known if r["toxic"] == 1]
+    stay = [r["doc_id"] in kept for r in known if r["toxic"] == 0]
+    assert np.mean(gone) >= 0.8 and np.mean(stay) >= 0.95
+
+
 def test_lines_go(results):
     before, after = rows_of(results["toxicity"]), rows_of(results["line_dedup"])
     want = {i: digest for i, _, _, digest in plain_lines([(i, r["text"]) for i, r in before.items()])}
