@@ -3,8 +3,8 @@
 Pieces of one length are interchangeable, and so are sequences with one gap. Both are therefore kept as
 runs: range-sorted by descending length, the pieces get ranks, and a length is a run of ranks; sequences
 with equal content are a run of consecutive sequence ids. A round matches the longest unplaced length with
-its successor, the smallest gap that holds it: as many pieces as there are sequences in that run are placed
-at once, the i-th piece by rank in the i-th sequence, and the run moves to its smaller gap. Rounds repeat
+its successor, the smallest gap that holds it: as many sequences of that run as there are pieces for are filled with
+that length at once, one more takes the rest, and the run moves to its smaller gap. Rounds repeat
 until all lengths are placed; new sequences open where no gap is large enough. The runs number some times
 ``size`` whatever the data, so rounds need no data; the pieces then find their run by rank, in parallel.
 
@@ -62,11 +62,14 @@ def match_runs(counts: dict[int, int], size: int) -> list[tuple[int, int, int]]:
                 opened += new
             else:
                 first, count = gaps.pop(gap)
-            taken = min(left, count)
-            placed.append((rank, first, size - gap))
-            gaps.push(gap - length, first, taken)
-            gaps.push(gap, first + taken, count - taken)
-            rank, left = rank + taken, left - taken
+            # One at a time, pieces of a length fill a sequence before they go to the next.
+            most = gap // length
+            for each, wide in ((most, min(left // most, count)), (left % most, int(left // most < count))):
+                if each and wide:
+                    placed += [(rank + k * wide, first, size - gap + k * length) for k in range(each)]
+                    gaps.push(gap - each * length, first, wide)
+                    rank, left, first, count = rank + each * wide, left - each * wide, first + wide, count - wide
+            gaps.push(gap, first, count)
     return placed
 
 

@@ -112,6 +112,24 @@ def test_runs_pack_as_well_as_single_pieces(spark, seed):
     assert len(rows) == 800 and check_places(rows, 100) == best_fit(lengths, 100)
 
 
+def test_runs_use_as_many_sequences_as_single_pieces():
+    rng = np.random.default_rng(8)
+    for _ in range(3000):
+        size = int(rng.integers(5, 40))
+        lengths = sorted((int(x) for x in rng.integers(1, size + 1, rng.integers(1, 30)) // rng.integers(1, 5) + 1 if x <= size), reverse=True)
+        runs = packing.match_runs({n: lengths.count(n) for n in lengths}, size)
+        firsts, filled = [r[0] for r in runs], {}
+        assert firsts == sorted(set(firsts))
+        for rank, n in enumerate(lengths):
+            first, sequence, offset = runs[np.searchsorted(firsts, rank, "right") - 1]
+            filled.setdefault(sequence + rank - first, []).append((offset, n))
+        for places in filled.values():
+            places.sort()
+            assert [o for o, _ in places] == [sum(n for _, n in places[:k]) for k in range(len(places))]
+            assert sum(n for _, n in places) <= size
+        assert len(filled) == best_fit(lengths, size)
+
+
 def test_lengths_out_of_range(spark):
     with pytest.raises(ValueError):
         packing.match_runs({0: 1}, 10)
