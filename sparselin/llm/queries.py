@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparselin.llm import decontaminate, line_dedup, near_dup, packing, quality, substring_dedup, token_files, toxicity, urls, warc
+from sparselin.llm import decontaminate, line_dedup, near_dup, packing, quality, runs, substring_dedup, token_files, toxicity, urls, warc
 from sparselin.llm.store import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -185,3 +185,41 @@ def op3(spark, sf):
 def op2(spark, sf):
     """Every benchmark item in every document, by word edits."""
     return decontaminate.find(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
+
+
+# The word numbers are 1-based here. Five-word stretches that recur q words on join; consecutive ones are an island.
+RUNS_SQL = r"""
+with tab as (select list(v order by n) as t from (
+         select n, list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as v
+         from range(256) r(n))),
+     h as (select doc_id, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
+                                          lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) as h from documents, tab),
+     w as (select doc_id, h, h // 10 as g, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+           from documents left join h using (doc_id)),
+     a as (select doc_id, h, w, g, len(w) as n, case when len(w) > 0 then g % len(w) else 0 end as a from w),
+     p as (select *, 1 + (n - a) // (3 + g % 8) as p from a),
+     t as (select doc_id, n, case when h % 10 = 0 and n > 0 then list_transform(range(n), lambda i: w[1 + case when i < a then i else a + (i - a) % p end])
+                                  else w end as w from p),
+     grams as (select doc_id, n, i, hash(w[i:i + 4]) as gram from (select doc_id, n, w, unnest(range(1, n - 3)) as i from t where n >= 6)),
+     pairs as (select x.doc_id, y.i - x.i as q, x.i from grams x join grams y on x.doc_id = y.doc_id and x.gram = y.gram
+               and y.i > x.i and 4 * (y.i - x.i) <= x.n),
+     islands as (select doc_id, q, min(i) - 1 as s, count(*) + 4 + q as len
+                 from (select *, i - row_number() over (partition by doc_id, q order by i) as k from pairs) group by doc_id, q, k),
+     runs as (select doc_id, s, len, min(q) as q from islands where len >= greatest(6, 4 * q) group by doc_id, s, len),
+     marked as (select doc_id, unnest(range(s + q, s + len)) as i from runs),
+     gone as (select doc_id, list(distinct i) as gone from marked group by doc_id),
+     kept as (select doc_id, array_to_string(list_transform(list_filter(range(n), lambda i: not list_contains(gone, i)), lambda i: w[i + 1]), ' ') as text
+              from t join gone using (doc_id)),
+     told as (select doc_id, count(*) as n_runs, min(struct_pack(l := -len, s := s, q := q)) as best,
+                     string_agg(s || ',' || len || ',' || q || chr(10), '' order by s, q) as told from runs group by doc_id)
+select doc_id, coalesce(n_runs, 0) as n_runs, best.s as start, -best.l as length, best.q as period, (1000 * -best.l) // best.q as exponent_milli,
+       sha256(coalesce(told, '')) as runs_sha256, sha256(coalesce(kept.text, array_to_string(t.w, ' '))) as collapsed_sha256
+from t left join told using (doc_id) left join kept using (doc_id)
+"""
+
+
+@query("op12_periodic_runs", RUNS_SQL)
+def op12(spark, sf):
+    """Periodic runs of words in all documents, a tenth of which get a planted period."""
+    docs = runs.with_periodic_tails(documents(spark, sf).select("doc_id", "text"))
+    return runs.digest(runs.find_runs(docs))

@@ -134,3 +134,22 @@ def spread_runs(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     out[heads] = starts
     out[heads[1:]] -= starts[:-1] + counts[:-1] - 1
     return np.cumsum(out)
+
+
+def joined(words: Words, keep: np.ndarray, step: int = 1 << 18) -> pa.Array:
+    """The kept words of each text, joined by blanks."""
+    body = np.append(words.body, np.uint8(0x20))
+    chosen = np.flatnonzero(keep)
+    bounds = np.searchsorted(chosen, words.bounds)
+    starts, sizes = words.starts[chosen], words.sizes[chosen]
+    # The last kept word of a text has no blank behind it.
+    blanks = np.ones(len(chosen), np.int64)
+    blanks[bounds[1:][np.diff(bounds) > 0] - 1] = 0
+    parts = []
+    for at in range(0, len(chosen), step):
+        some = slice(at, at + step)
+        heads = np.stack([starts[some], np.full(len(starts[some]), len(words.body))], axis=1).ravel()
+        parts.append(body[spread_runs(heads, np.stack([sizes[some], blanks[some]], axis=1).ravel())])
+    ends = np.concatenate([[0], np.cumsum(sizes + blanks)])[bounds]
+    data = pa.py_buffer(np.concatenate([*parts, np.empty(0, np.uint8)]))
+    return pa.Array.from_buffers(pa.large_string(), len(bounds) - 1, [None, pa.py_buffer(ends.astype(np.int64)), data])
