@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparselin.llm import decontaminate, line_dedup, near_dup, packing, quality, runs, substring_dedup, token_files, toxicity, urls, warc
+from sparselin.llm import decontaminate, jaccard_join, line_dedup, near_dup, packing, quality, runs, substring_dedup, token_files, toxicity, urls, warc
 from sparselin.llm.store import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -181,6 +181,15 @@ def op3(spark, sf):
     return near_dup.near_duplicates(documents(spark, sf), shingle=3, percent=85)
 
 
+JACCARD_SQL = NEAR_SQL.replace("100 * c >= 85 *", "100 * c >= 90 *").replace(", coalesce(q.m, t.doc_id) = t.doc_id as kept", "")
+
+
+@query("op11_jaccard_join", JACCARD_SQL)
+def op11(spark, sf):
+    """Components of all documents that are linked by three-word shingles at 0.90."""
+    return jaccard_join.join_similar(documents(spark, sf), shingle=3, percent=90)
+
+
 @query("op2_decontamination")
 def op2(spark, sf):
     """Every benchmark item in every document, by word edits."""

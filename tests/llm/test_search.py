@@ -96,6 +96,22 @@ def test_components_of_a_path_and_a_star(spark):
     assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "test"), "e").count() == 0
 
 
+@pytest.mark.parametrize("shuffled,steps", [(False, 15), (True, 20)])
+def test_components_take_a_logarithm_of_a_path(spark, monkeypatch, shuffled, steps):
+    written = []
+    table = Scratch.table
+    monkeypatch.setattr(Scratch, "table", lambda self, df, name: written.append(name) or table(self, df, name))
+    nodes = list(range(1001))
+    if shuffled:
+        random.Random(4).shuffle(nodes)
+    scratch = Scratch(spark, "test")
+    out = components(spark.createDataFrame(list(zip(nodes, nodes[1:])), "a long, b long"), scratch, "t")
+    assert {(r["node"], r["component"]) for r in out.collect()} == {(i, 0) for i in range(1001)}
+    assert sum("step" in n for n in written) <= steps
+    # Only the last names and links are left.
+    assert len(list(Path(scratch.root.removeprefix("file:")).iterdir())) <= 2
+
+
 def test_no_documents(spark, no_docs):
     assert near_dup.near_duplicates(no_docs).count() == 0
     items = spark.createDataFrame([(1, "a b c d e f g h i")], "item_id long, text string")
