@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparselin.llm import decontaminate, jaccard_join, line_dedup, near_dup, packing, quality, runs, substring_dedup, token_files, toxicity, urls, warc
+from sparselin.llm import alignment, decontaminate, jaccard_join, line_dedup, near_dup, packing, quality, runs, substring_dedup, token_files, toxicity, urls, warc
 from sparselin.llm.store import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -232,3 +232,9 @@ def op12(spark, sf):
     """Periodic runs of words in all documents, a tenth of which get a planted period."""
     docs = runs.with_periodic_tails(documents(spark, sf).select("doc_id", "text"))
     return runs.digest(runs.find_runs(docs))
+
+
+@query("op13_token_alignment")
+def op13(spark, sf):
+    """Two tokenizations of all documents, aligned by byte offsets."""
+    return alignment.align_and_count(documents(spark, sf)).drop("row")

@@ -96,7 +96,7 @@ def test_components_of_a_path_and_a_star(spark):
     assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "test"), "e").count() == 0
 
 
-@pytest.mark.parametrize("shuffled,steps", [(False, 15), (True, 20)])
+@pytest.mark.parametrize("shuffled,steps", [(False, 15), (True, 40)])
 def test_components_take_a_logarithm_of_a_path(spark, monkeypatch, shuffled, steps):
     written = []
     table = Scratch.table
