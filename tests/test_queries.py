@@ -6,12 +6,9 @@ from pathlib import Path
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
-from conftest import TESTDATA
 
 duckdb = pytest.importorskip("duckdb")
-SF = f"{TESTDATA}/sf0.001"
-# Long fits; test_fit covers what they do on smaller input.
-LONG = {"tron_coo", "tron_table"}
+SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="module")
@@ -28,7 +25,7 @@ def comparable(row):
     return tuple(one(v) for v in row)
 
 
-@pytest.mark.parametrize("name", sorted(set(oracle_sql()) - LONG))
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_query_equals_sql(spark, connection, name):
     df = queries()[name](spark, SF)
     columns = sorted(df.columns)
