@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparselin.llm.store import extended, map_batches, named, others
+from sparselin.llm.store import extended, map_batches, named, others, unused
 from sparselin.llm.words import U64, joined, mix, spread_runs, words_of
 
 MIN_LENGTH, MIN_REPEATS = 6, 4
@@ -268,12 +268,17 @@ def with_periodic_tails(docs: DataFrame) -> DataFrame:
     every word i >= a becomes word a + (i - a) % p where h % 10 = 0. Texts without words or id stay.
     """
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
-    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    n, g = F.size(words), F.floor(h / 10)
+    split = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    names, cut = docs.columns, unused(docs, "_words")
+    # The words are a column of their own, so that the look-ups of the tail do not split the text again.
+    words = docs.withColumn(cut, F.when(h % 10 == 0, split))
+    n, g = F.size(cut), F.floor(h / 10)
     a = g % n
     p = 1 + F.floor((n - a) / (3 + g % 8))
-    tail = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")))
-    return docs.withColumn("text", F.when((h % 10 == 0) & (n > 0), F.array_join(tail, " ")).otherwise(F.col("text")))
+    tail = F.slice(cut, a + 1, p)
+    # The head, then the period as often as it is begun, cut to the length.
+    planted = F.concat(F.slice(cut, 1, a), F.slice(F.flatten(F.array_repeat(tail, F.ceil((n - a) / p).cast("int"))), 1, n - a))
+    return words.withColumn("text", F.when(n > 0, F.array_join(planted, " ")).otherwise(F.col("text"))).select(*named(names))
 
 
 def digest(found: DataFrame) -> DataFrame:

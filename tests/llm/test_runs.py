@@ -14,16 +14,12 @@ from test_texts import WORD, sha
 
 def plain_runs(words):
     """Every period at every place; of one stretch the smallest period."""
-    found = {}
+    found, ids = {}, np.unique(words, return_inverse=True)[1]
     for q in range(1, len(words) // runs.MIN_REPEATS + 1):
-        i = 0
-        while i + q < len(words):
-            j = i
-            while j + q < len(words) and words[j] == words[j + q]:
-                j += 1
-            if j > i and j + q - i >= max(runs.MIN_LENGTH, runs.MIN_REPEATS * q):
+        same = np.concatenate([[False], ids[:-q] == ids[q:], [False]]).astype(int)
+        for i, j in zip(np.flatnonzero(np.diff(same) == 1).tolist(), np.flatnonzero(np.diff(same) == -1).tolist()):
+            if j + q - i >= max(runs.MIN_LENGTH, runs.MIN_REPEATS * q):
                 found.setdefault((i, j + q), q)
-            i = max(j, i + 1)
     return sorted((s, e - s, q) for (s, e), q in found.items())
 
 
