@@ -14,12 +14,13 @@ shingles is light, and many sets share it by chance; a set with no more than ``s
 still shares a piece with each of its links, since an untouched piece is as light in both. A set with more keeps all.
 
 Equal sets are one class, found by a 128-bit fingerprint, whose smallest id goes on. Links are then found without
-listing the pairs of a piece: each class is first compared with the smallest id it shares a piece with. Pieces
-whose classes are then of several components make families, which meet by scheme in blocks of ``BLOCK`` classes with
-their sketches only. A meeting compares those outside the largest component with the others, and proposes
-for each class and foreign component the closest pair that the sketches allow. Proposals are confirmed on full
-sets. Families with a refuted proposal meet again, with more proposals each time, until none is refuted: then
-every pair that shares a piece is linked, refuted, or joined by others, and the components are those of all links.
+listing the pairs of a piece: all classes of a piece are first compared with its smallest and its largest id, by
+sketches, then by full sets; that settles pieces of up to three classes. Pieces whose other classes are then of
+several components make families, which meet by scheme in blocks of ``BLOCK`` classes with their sketches only. A meeting
+compares those outside the largest component with the others, and proposes for each class and foreign component the
+closest pair that the sketches allow. Proposals are confirmed on full sets. Families with a refuted proposal meet
+again, with more proposals each time, until none is refuted: then every pair that shares a piece is linked, refuted,
+or joined by others, and the components are those of all links. Texts are read again for proposed pairs only.
 
 Rows: a null or wordless text has an empty set, which is linked with nothing; a null id keeps a null component; rows of
 one id count as one document, and equal rows are of one class; other columns are ignored. An empty table gives no rows.
@@ -28,6 +29,7 @@ one id count as one document, and equal rows are of one class; other columns are
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from math import ceil, exp, factorial, sqrt
 
 import numpy as np
@@ -37,18 +39,16 @@ from pyspark.sql import functions as F
 
 from sparselin.llm.components import components
 from sparselin.llm.near_dup import confirmed, grouped, shingle_sets
-from sparselin.llm.store import Scratch, input_bytes, map_batches, partitions
+from sparselin.llm.store import Scratch, map_batches, partitions
 from sparselin.llm.words import U64, join, mix
-from sparselin.session import ship_package
+from sparselin.session import is_small, ship_package
 
 # Bits of a sketch for each shingle of the largest set it serves, about: between this and twice as many.
 BITS = 4
 # Classes of a block.
-BLOCK = 1024
+BLOCK = 4096
 # Proposals a class makes to a foreign component grow by this from round to round.
 MORE = 16
-# Bytes of a shuffled partition of keys, about.
-PARTITION = 64 << 20
 SIGNED = "doc_id long, n_shingles long, f long, g long, sketch binary, keys array<bigint>"
 
 
@@ -282,41 +282,54 @@ def join_similar(docs: DataFrame, shingle: int = 3, percent: int = 90) -> DataFr
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard-join")
     signed = scratch.table(signed_sets(docs, shingle, percent), "signed")
+    slim = scratch.table(signed.select("doc_id", "n_shingles", "f", "g"), "slim")
     usable = signed.where("doc_id is not null and n_shingles > 0")
-    classes = scratch.table(usable.groupBy("f", "g", "n_shingles").agg(F.min("doc_id").alias("doc_id")), "classes")
+    classes = scratch.table(slim.where("doc_id is not null and n_shingles > 0").groupBy("f", "g", "n_shingles").agg(F.min("doc_id").alias("doc_id")), "classes")
     first_rows = usable.join(classes.select("doc_id", "f", "g"), ["doc_id", "f", "g"], "left_semi")
     standing = scratch.table(first_rows.select("doc_id", "n_shingles", "sketch", "keys"), "standing")
+    scratch.drop("signed")
     keyed = standing.select("doc_id", F.explode("keys").alias("piece"))
-    shared = keyed.groupBy("piece").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1").drop("n")
-    members = scratch.table(keyed.join(shared, "piece"), "members")
+    shared = keyed.groupBy("piece").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n")).where("n > 1")
+    shared = scratch.table(shared, "shared")
+    ends = shared.where("n > 2").select("piece", "least", "most")
+    inner = scratch.table(keyed.join(ends, "piece").where("doc_id <> least and doc_id <> most"), "inner")
     standing = standing.select("doc_id", "n_shingles", "sketch")
-    wanted = members.select("doc_id").distinct()
-    texts = scratch.table(docs.where("doc_id is not null").select("doc_id", "text").join(wanted, "doc_id", "left_semi"), "texts")
 
-    stars = members.where("doc_id <> first").groupBy("doc_id").agg(F.min("first").alias("a")).select("a", F.col("doc_id").alias("b"))
-    links = scratch.table(confirmed(allowed(stars, standing, percent), texts, shingle, percent), "links-0")
-    names = components(links, scratch, "names-0")
+    def pairs_found(pairs: DataFrame) -> DataFrame:
+        """The links among some pairs, by the full sets of their texts."""
+        ids = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
+        rows = docs.where("doc_id is not null").select("doc_id", "text").join(F.broadcast(ids) if is_small(ids) else ids, "doc_id", "left_semi")
+        texts = scratch.table(rows, "texts")
+        found = scratch.table(confirmed(pairs, texts, shingle, percent).distinct(), f"links-{len(found_links)}")
+        scratch.drop("wanted", "texts")
+        found_links.append(found)
+        return found
+
+    found_links: list[DataFrame] = []
+    hubs = shared.select(F.col("least").alias("a"), F.col("most").alias("b")).unionAll(
+        inner.select(F.col("least").alias("a"), F.col("doc_id").alias("b"))).unionAll(inner.select("doc_id", "most")).distinct()
+    near = scratch.table(allowed(hubs, standing, percent), "allowed")
+    names = components(pairs_found(near), scratch, "names-0")
     component = lambda df, names: df.join(names.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
         "component", F.coalesce("component", "doc_id"))
-    named = component(members, names)
-    open_ = named.groupBy("piece").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("piece")
-    meeting = scratch.table(members.join(open_, "piece").select("doc_id", "first").distinct(), "open")
+    open_ = component(inner.select("piece", "doc_id"), names).groupBy("piece").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.min("doc_id").alias("first")).where("low <> high")
+    meeting = scratch.table(inner.select("piece", "doc_id").join(open_.select("piece", "first"), "piece").select("doc_id", "first").distinct(), "open")
     families = components(meeting.select(F.col("doc_id").alias("a"), F.col("first").alias("b")), scratch, "families")
-    families = scratch.table(families.select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
-                             .join(standing, "doc_id"), "family-members")
+    families = scratch.table(families.select(F.col("node").alias("doc_id"), F.col("component").alias("family")).join(standing, "doc_id"), "family-members")
+    scratch.drop("shared", "inner", "open", "standing", "allowed")
     refuted, most, round_ = spark.createDataFrame([], "a long, b long"), 1, 0
     while not families.isEmpty():
         round_ += 1
         asked = scratch.table(meetings(component(families, names), refuted, percent, most), f"asked-{round_}")
-        found = scratch.table(confirmed(asked, texts, shingle, percent), f"found-{round_}")
-        denied = asked.join(found, ["a", "b"], "left_anti")
-        links = scratch.table(links.unionAll(found), f"links-{round_}")
-        names = components(links, scratch, f"names-{round_}")
-        refuted = scratch.table(refuted.unionAll(denied), f"refuted-{round_}")
+        if asked.isEmpty():
+            break
+        denied = scratch.table(asked.join(pairs_found(asked), ["a", "b"], "left_anti"), f"denied-{round_}")
+        names = components(reduce(DataFrame.unionAll, found_links), scratch, f"names-{round_}")
+        refuted = refuted.unionAll(denied)
         again = families.join(denied.select(F.explode(F.array("a", "b")).alias("doc_id")), "doc_id").select("family").distinct()
         families = scratch.table(families.join(again, "family", "left_semi"), f"again-{round_}")
         most *= MORE
-    scratch.drop("members", "texts", "open", "standing")
     named = component(classes, names).select("f", "g", "n_shingles", "component")
-    return signed.select("doc_id", "n_shingles", "f", "g").join(named, ["f", "g", "n_shingles"], "left").select(
+    return slim.join(named, ["f", "g", "n_shingles"], "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))

@@ -89,7 +89,7 @@ def test_classes_of_families(spark, prose, odd, size, percent):
         assert r["component_id"] == want.get(r["doc_id"], r["doc_id"])
 
 
-@pytest.mark.parametrize("block", [1024, 7])
+@pytest.mark.parametrize("block", [4096, 7])
 def test_chains_and_near_misses_in_one_family(spark, prose, monkeypatch, block):
     # Neighbours in a chain link, most pairs are just below the threshold: stars, meetings and refuted proposals.
     monkeypatch.setattr(jj, "BLOCK", block)
