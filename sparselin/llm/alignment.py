@@ -45,9 +45,11 @@ FAN = 8
 # Pairs of a broadcast: some 20 bytes each.
 PAIRS = 1 << 21
 # Input bytes a task encodes at once, and bytes of ids it aligns at once.
-SLICE, IDS = 1 << 21, 1 << 22
+SLICE, IDS = 1 << 21, 1 << 21
 
-_SIDES = "a_ids array<int>, b_ids array<int>, a_counts array<int>, b_counts array<int>"
+# Ids are little-endian numbers of 16 bits where both vocabularies allow, counts bytes (255: the next one is added).
+# A row's lists are a few bytes a token that way, and Spark moves them without looking into them.
+_SIDES = "a_ids binary, b_ids binary, a_counts binary, b_counts binary"
 FRAGMENTS = f"row long, doc_id long, part long, parts long, {_SIDES}, a_head int, b_head int"
 ALIGNED = f"row long, doc_id long, {_SIDES}"
 SUMMARY = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
@@ -179,22 +181,51 @@ def put_together(parts: list[Fragment]) -> Fragment:
     return parts[0]
 
 
-def lists(flat: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.astype(np.int32)))
+def id_type(*sizes: int) -> np.dtype:
+    """The type ids of vocabularies of these sizes are stored in."""
+    return np.dtype("<u2" if max(sizes) <= 1 << 16 else "<u4")
 
 
-def rows_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The values of a list column, one list after the other, and the bounds."""
-    offsets = column.offsets.to_numpy()
-    return column.values.slice(offsets[0], offsets[-1] - offsets[0]).to_numpy(), (offsets - offsets[0]).astype(np.int64)
+def id_lists(ids: np.ndarray, bounds: np.ndarray, kind: np.dtype) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [
+        None, pa.py_buffer(bounds.astype(np.int64) * kind.itemsize), pa.py_buffer(ids.astype(kind))]).cast(pa.binary())
 
 
-def fragment_rows(rows: list, fragments: list[Fragment]) -> pa.RecordBatch:
+def ids_of(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all rows, one row after the other, and the bounds of each."""
+    body, at = text_bytes(column)
+    return body.view(kind).astype(np.int64), at // kind.itemsize
+
+
+def count_lists(counts: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    counts = counts.astype(np.int64)
+    if counts.max(initial=0) >= 255:
+        extra = counts // 255
+        bytes_ = np.full(len(counts) + int(extra.sum()), 255, np.uint8)
+        ends = np.cumsum(extra + 1)
+        bytes_[ends - 1] = counts % 255
+        bounds = np.concatenate([[0], ends])[bounds]
+    else:
+        bytes_ = counts.astype(np.uint8)
+    return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(bytes_)]).cast(pa.binary())
+
+
+def counts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    body, at = text_bytes(column)
+    last = body < 255
+    if last.all():
+        return body.astype(np.int64), at
+    ends = np.flatnonzero(last) + 1
+    return np.add.reduceat(body.astype(np.int64), np.concatenate([[0], ends[:-1]])), np.concatenate([[0], np.cumsum(last)])[at]
+
+
+def fragment_rows(rows: list, fragments: list[Fragment], kind: np.dtype) -> pa.RecordBatch:
     """``rows`` are ``(row, doc_id, part, parts)``; a fragment without a common end has a head of -1."""
     made = [pa.array(x, pa.int64()) for x in zip(*rows)]
     for name in ("a_ids", "b_ids", "a_counts", "b_counts"):
         values = [np.asarray(getattr(f, name), np.int64) for f in fragments]
-        made.append(lists(np.concatenate(values), np.concatenate([[0], np.cumsum([len(v) for v in values])])))
+        flat, bounds = np.concatenate(values), np.concatenate([[0], np.cumsum([len(v) for v in values])])
+        made.append(id_lists(flat, bounds, kind) if "ids" in name else count_lists(flat, bounds))
     made += [pa.array([getattr(f, n) if f.cut else -1 for f in fragments], pa.int32()) for n in ("a_head", "b_head")]
     return pa.RecordBatch.from_arrays(made, names=["row", "doc_id", "part", "parts", "a_ids", "b_ids", "a_counts", "b_counts", "a_head", "b_head"])
 
@@ -205,6 +236,7 @@ def fragments(docs: DataFrame, level_file: str, piece_file: str, size: int) -> D
         paths = tokenizer_path(level_file), tokenizer_path(piece_file)
         pieces = Pieces.of(paths[1])
         spelling = {"a": level_spelling(paths[0]), "b": piece_spelling(paths[1])}
+        kind = id_type(*(len(x.sizes) for x in spelling.values()))
         texts = part.column(2)
         body, at = text_bytes(pa.array([" " + t if t else "" for t in texts.to_pylist()], pa.large_string()))
         a_ids, a_bounds = Encoder.of(paths[0]).batch(texts, lead=True)
@@ -226,7 +258,8 @@ def fragments(docs: DataFrame, level_file: str, piece_file: str, size: int) -> D
         c_bounds = np.searchsorted(cuts, total, "right")
         made = [pa.array([rows[i] for i in once], pa.int64()), pa.array([doc_ids[i] for i in once], pa.int64()),
                 pa.array(np.zeros(len(once), np.int64)), pa.array(np.ones(len(once), np.int64))]
-        made += [lists(f, b).take(pa.array(once)) for f, b in ((a_ids, a_bounds), (b_ids, b_bounds), (a_counts, c_bounds), (b_counts, c_bounds))]
+        made += [id_lists(f, b, kind).take(pa.array(once)) for f, b in ((a_ids, a_bounds), (b_ids, b_bounds))]
+        made += [count_lists(f, c_bounds).take(pa.array(once)) for f in (a_counts, b_counts)]
         made += [pa.array(np.zeros(len(once), np.int32))] * 2
         yield pa.RecordBatch.from_arrays(made, names=["row", "doc_id", "part", "parts", "a_ids", "b_ids", "a_counts", "b_counts", "a_head", "b_head"])
         for i in np.flatnonzero(parts > 1).tolist():
@@ -236,13 +269,13 @@ def fragments(docs: DataFrame, level_file: str, piece_file: str, size: int) -> D
             pieces_of = [np.split(x, np.searchsorted(ends, edges, "right")) for x, ends in
                          ((a_ids[a], a_end), (a_end, a_end), (b_ids[b], b_end), (b_end, b_end))]
             for k, tokens in enumerate(zip(*pieces_of)):
-                yield fragment_rows([(rows[i], doc_ids[i], k, int(parts[i]))], [Fragment.of(*tokens)])
+                yield fragment_rows([(rows[i], doc_ids[i], k, int(parts[i]))], [Fragment.of(*tokens)], kind)
 
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_column())
     return map_batches(numbered, task, FRAGMENTS, SLICE)
 
 
-def reduced(parts: DataFrame, fan: int) -> DataFrame:
+def reduced(parts: DataFrame, fan: int, kind: np.dtype) -> DataFrame:
     """Each ``fan`` neighbouring fragments of a text put together; the last one of a text is whole."""
     spark = parts.sparkSession
     ship_package(spark)
@@ -251,11 +284,15 @@ def reduced(parts: DataFrame, fan: int) -> DataFrame:
         for table in grouped(batches, ["row", "node"]):
             table = table.sort_by("part")
             flags = [table.column(n).to_pylist() for n in ("a_head", "b_head")]
-            columns = [[np.asarray(v, np.int64) for v in table.column(n).to_pylist()] for n in ("a_ids", "b_ids", "a_counts", "b_counts")]
+            columns = []
+            for name in ("a_ids", "b_ids", "a_counts", "b_counts"):
+                column = table.column(name).combine_chunks()
+                flat, bounds = ids_of(column, kind) if "ids" in name else counts_of(column)
+                columns.append([flat[x:y] for x, y in zip(bounds, bounds[1:])])
             found = put_together([Fragment(*x, max(h, 0), max(k, 0), h >= 0) for *x, h, k in zip(*columns, *flags)])
             left = -(-table.column("parts")[0].as_py() // fan)
             head = tuple(table.column(n)[0].as_py() for n in ("row", "doc_id", "node"))
-            yield fragment_rows([(*head, left)], [found.whole() if left == 1 else found])
+            yield fragment_rows([(*head, left)], [found.whole() if left == 1 else found], kind)
 
     dealt = parts.withColumn("node", F.floor(F.col("part") / fan)).repartition(partitions(spark), "row", "node").sortWithinPartitions("row", "node")
     return dealt.mapInArrow(task, FRAGMENTS)
@@ -267,12 +304,13 @@ def align(docs: DataFrame, scratch: Scratch, level_file: str = "byte_bpe_50k.jso
 
     ``row`` numbers the rows. The result is a written table.
     """
+    kind = id_type(len(level_spelling(tokenizer_path(level_file)).sizes), len(piece_spelling(tokenizer_path(piece_file)).sizes))
     found = scratch.table(fragments(docs, level_file, piece_file, size), "fragments-0")
     columns = ["row", "doc_id", "a_ids", "b_ids", "a_counts", "b_counts"]
     done, left, round_ = found.where("parts = 1").select(*columns), found.where("parts > 1"), 0
     while not left.isEmpty():
         round_ += 1
-        found = scratch.table(reduced(left, fan), f"fragments-{round_}")
+        found = scratch.table(reduced(left, fan, kind), f"fragments-{round_}")
         done = done.unionAll(found.where("parts = 1").select(*columns))
         left = found.where("parts > 1")
     return done
@@ -284,13 +322,14 @@ def linked(part: pa.RecordBatch, a_sizes: np.ndarray, b_sizes: np.ndarray) -> tu
     Between two neighbouring ends of either kind lie bytes of one A token and one B token, and any two that overlap do
     so in one such place.
     """
-    (a_ids, a_bounds), (b_ids, _) = rows_of(part.column("a_ids")), rows_of(part.column("b_ids"))
+    kind = id_type(len(a_sizes), len(b_sizes))
+    (a_ids, a_bounds), (b_ids, _) = ids_of(part.column("a_ids"), kind), ids_of(part.column("b_ids"), kind)
     a_ends, b_ends = np.cumsum(a_sizes[a_ids]), np.cumsum(b_sizes[b_ids])
     a_mark, b_mark = (np.zeros(int(a_ends[-1]) + 1 if len(a_ends) else 0, bool) for _ in range(2))
     a_mark[a_ends], b_mark[b_ends] = True, True
     ends = np.flatnonzero(a_mark | b_mark)
     a, b = (np.cumsum(m[ends]) - m[ends] for m in (a_mark, b_mark))
-    return np.searchsorted(a_bounds, a, "right") - 1, a_ids[a].astype(np.int64), b_ids[b].astype(np.int64)
+    return np.searchsorted(a_bounds, a, "right") - 1, a_ids[a], b_ids[b]
 
 
 def pair_counts(aligned: DataFrame, a_sizes: np.ndarray, b_sizes: np.ndarray, bound: int = 1 << 20) -> DataFrame:
@@ -323,11 +362,20 @@ def pair_counts(aligned: DataFrame, a_sizes: np.ndarray, b_sizes: np.ndarray, bo
     return aligned.select("a_ids", "b_ids").mapInArrow(task, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
-def group_texts(part: pa.RecordBatch) -> tuple[bytes, np.ndarray]:
+@lru_cache
+def decimals(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How long the numbers below ``n`` are, where each stands in a table of bytes, and the table, with ``,|;`` at its end."""
+    shown = [str(i).encode() for i in range(n)]
+    width = np.fromiter(map(len, shown), np.int64, n)
+    return width, np.cumsum(width) - width, np.frombuffer(b"".join(shown) + b",|;", np.uint8)
+
+
+def group_texts(part: pa.RecordBatch, kind: np.dtype) -> tuple[bytes, np.ndarray]:
     """The groups of all rows as ``a1,a2|b1;a3|b2,b3``, one row after the other, and the bounds of each."""
-    (a_ids, _), (b_ids, _), (a_counts, bounds), (b_counts, _) = (rows_of(part.column(n)) for n in ("a_ids", "b_ids", "a_counts", "b_counts"))
+    a_ids, b_ids = (ids_of(part.column(n), kind)[0] for n in ("a_ids", "b_ids"))
+    (a_counts, bounds), (b_counts, _) = (counts_of(part.column(n)) for n in ("a_counts", "b_counts"))
     n = len(a_counts)
-    sizes = np.stack([a_counts, b_counts], axis=1).ravel().astype(np.int64)
+    sizes = np.stack([a_counts, b_counts], axis=1).ravel()
     ids = np.empty(int(sizes.sum()), np.int64)
     of_a = np.repeat(np.tile([True, False], n), sizes)
     ids[of_a], ids[~of_a] = a_ids, b_ids
@@ -338,10 +386,7 @@ def group_texts(part: pa.RecordBatch) -> tuple[bytes, np.ndarray]:
     last = bounds[1:][np.diff(bounds) > 0] - 1
     signs = np.ones(len(ids), np.int64)
     signs[ends[1::2][last]] = 0
-    digits = [str(i).encode() for i in range(int(ids.max(initial=-1)) + 1)]
-    width = np.fromiter(map(len, digits), np.int64, len(digits))
-    heads = np.cumsum(width) - width
-    pool = np.frombuffer(b"".join(digits) + b",|;", np.uint8)
+    width, heads, pool = decimals(1 << max(16, int(ids.max(initial=0)).bit_length()))
     place = np.searchsorted(np.array([ord(","), ord(";"), ord("|")]), sign)
     at = np.array([len(pool) - 3, len(pool) - 1, len(pool) - 2])[place]
     flat = pool[spread_runs(np.stack([heads[ids], at], axis=1).ravel(), np.stack([width[ids], signs], axis=1).ravel())].tobytes()
@@ -394,10 +439,12 @@ def read(aligned: DataFrame, counts: DataFrame, top: np.ndarray, a_sizes: np.nda
         best = np.bincount(row[count == top[a]], minlength=part.num_rows)
         ends = np.concatenate([[0], np.cumsum(count)])
         sums = np.diff(ends[np.searchsorted(row, np.arange(part.num_rows + 1))])
-        flat, bounds = group_texts(part)
+        kind = id_type(len(a_sizes), len(b_sizes))
+        flat, bounds = group_texts(part, kind)
         shown = memoryview(flat)
         marks = [hashlib.sha256(shown[x:y]).hexdigest() if y > x else "" for x, y in zip(bounds.tolist(), bounds[1:].tolist())]
-        sizes = [pa.array(np.diff(rows_of(part.column(c))[1])) for c in ("a_ids", "b_ids", "a_counts")]
+        sizes = [pa.array(np.diff(x)) for x in (ids_of(part.column("a_ids"), kind)[1], ids_of(part.column("b_ids"), kind)[1],
+                                                counts_of(part.column("a_counts"))[1])]
         yield pa.RecordBatch.from_arrays(
             [part.column("row"), part.column("doc_id"), *sizes, pa.array(total), pa.array(best), pa.array(sums), pa.array(marks, pa.string())],
             names=["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
@@ -405,6 +452,20 @@ def read(aligned: DataFrame, counts: DataFrame, top: np.ndarray, a_sizes: np.nda
     return map_batches(aligned, task, SUMMARY, IDS)
 
 
+def groups(aligned: DataFrame, level_file: str = "byte_bpe_50k.json", piece_file: str = "piece_bpe_32k.model") -> DataFrame:
+    """``row, doc_id, groups``: each row's groups as ``a1,a2|b1;a3|b2,b3``, empty without tokens."""
+    kind = id_type(len(level_spelling(tokenizer_path(level_file)).sizes), len(piece_spelling(tokenizer_path(piece_file)).sizes))
+
+    def task(part):
+        flat, bounds = group_texts(part, kind)
+        edges = bounds.tolist()
+        yield pa.RecordBatch.from_arrays(
+            [part.column("row"), part.column("doc_id"), pa.array([flat[x:y].decode() for x, y in zip(edges, edges[1:])], pa.string())],
+            names=["row", "doc_id", "groups"])
+
+    return map_batches(aligned, task, "row long, doc_id long, groups string", IDS)
+
+
 def align_and_count(docs: DataFrame, level_file: str = "byte_bpe_50k.json", piece_file: str = "piece_bpe_32k.model", size: int = RANGE,
                     fan: int = FAN, pairs: int = PAIRS) -> DataFrame:
     """``SUMMARY`` of every row of ``docs``."""

@@ -92,13 +92,24 @@ def test_summaries_of_odd_rows(spark, libraries, mixed, size, fan, pairs):
 
 
 def test_groups_of_the_aligned_table(spark, libraries, mixed):
-    aligned = alignment.align(spark.createDataFrame(mixed, "doc_id long, text string"), Scratch(spark, "test"), size=64, fan=2).collect()
-    want = sorted((str(i), plain_groups(*plain_tokens(libraries, t))[0]) for i, t in mixed)
-    got = []
-    for r in aligned:
-        a, b = iter(r["a_ids"]), iter(r["b_ids"])
-        got.append((str(r["doc_id"]), [([next(a) for _ in range(n)], [next(b) for _ in range(m)]) for n, m in zip(r["a_counts"], r["b_counts"])]))
-    assert sorted(got) == want
+    aligned = alignment.align(spark.createDataFrame(mixed, "doc_id long, text string"), Scratch(spark, "test"), size=64, fan=2)
+    want = []
+    for i, t in mixed:
+        groups, _ = plain_groups(*plain_tokens(libraries, t))
+        want.append((str(i), ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in groups)))
+    assert sorted((str(r["doc_id"]), r["groups"]) for r in alignment.groups(aligned).collect()) == sorted(want)
+
+
+def test_lists_of_ids_and_counts():
+    rng = np.random.default_rng(1)
+    bounds = np.array([0, 3, 3, 700, 1000])
+    for values in (rng.integers(1, 255, 1000), rng.choice([1, 254, 255, 256, 510, 70_000], 1000)):
+        flat, found = alignment.counts_of(alignment.count_lists(values, bounds))
+        assert (flat == values).all() and (found == bounds).all()
+    for kind in (alignment.id_type(50_257, 32_000), alignment.id_type(70_000)):
+        ids = rng.integers(0, 1 << 8 * min(kind.itemsize, 3), 1000)
+        flat, found = alignment.ids_of(alignment.id_lists(ids, bounds, kind), kind)
+        assert (flat == ids).all() and (found == bounds).all()
 
 
 def fragment_of(tokens, low, high):
