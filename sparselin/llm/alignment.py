@@ -45,7 +45,7 @@ FAN = 8
 # Pairs of a broadcast: some 20 bytes each.
 PAIRS = 1 << 21
 # Input bytes a task encodes at once, and bytes of ids it aligns at once.
-SLICE, IDS = 1 << 21, 1 << 21
+SLICE, IDS = 1 << 20, 1 << 20
 
 # Ids are little-endian numbers of 16 bits where both vocabularies allow, counts bytes (255: the next one is added).
 # A row's lists are a few bytes a token that way, and Spark moves them without looking into them.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,6 +14,14 @@ from pyspark.sql import types as T
 from sparselin.session import scratch_path, ship_package
 
 
+def give_back() -> None:
+    """Return freed memory to the machine, where the C library can: Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_batches(df: DataFrame, task: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | T.StructType,
                 slice_bytes: int = 1 << 22) -> DataFrame:
     """``mapInArrow`` over slices of about ``slice_bytes``, so a task's arrays stay small whatever the batch."""
@@ -24,6 +33,7 @@ def map_batches(df: DataFrame, task: Callable[[pa.RecordBatch], Iterator[pa.Reco
         for batch in batches:
             for part in slices(batch, slice_bytes):
                 yield from task(part.rename_columns(names))
+        give_back()
 
     # Spark looks columns up by name here, and would take a dot in it for a path.
     return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(run, schema)

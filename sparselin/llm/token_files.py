@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparselin.llm import simple8b
-from sparselin.llm.store import input_bytes, map_batches, opened, partitions, slices, text_column
+from sparselin.llm.store import give_back, input_bytes, map_batches, opened, partitions, slices, text_column
 from sparselin.llm.tokens import Encoder, tokenizer_path
 from sparselin.session import ship_package
 
@@ -83,6 +83,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> D
             size = out.tell()
             out.close()
             commit(files, temporary, f"{root}/part-{part:06d}.s8")
+            give_back()
             yield pa.RecordBatch.from_pydict({"part": [part], "n_docs": [n_docs], "n_ids": [n_ids], "n_bytes": [size]})
 
     ordered = docs.repartitionByRange(range_partitions(docs), "doc_id").sortWithinPartitions("doc_id", "text")

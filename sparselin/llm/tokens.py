@@ -9,6 +9,7 @@ ordinary text.
 
 from __future__ import annotations
 
+import os
 import re
 from itertools import chain
 
@@ -84,6 +85,8 @@ class Encoder:
     _made: dict[str, Encoder] = {}
 
     def __init__(self, path: str):
+        # A task has one core; threads of the library would only take memory.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
         self._model = Tokenizer.from_file(path)
         self._model.encode_special_tokens = True
@@ -144,11 +147,12 @@ class Encoder:
     def _learn(self, words: Words, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words at these places, one after the other, and how many each has."""
         plain, marks = self._plain(words, starts, sizes)
-        texts = []
+        ids = []
+        # The tokenizer's own results are large: a few thousand words at a time.
         for at in np.array_split(np.flatnonzero(plain), -(-int(plain.sum()) // LEARN) or 1):
-            texts.append(self._parted(words, starts[at], sizes[at], marks[at]))
-        coded = self._parts.encode_batch_fast(texts, add_special_tokens=False)
-        ids = np.concatenate([np.array(c.ids, np.uint32) for c in coded])
+            text = self._parted(words, starts[at], sizes[at], marks[at])
+            ids.append(np.array(self._parts.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32))
+        ids = np.concatenate(ids)
         ends = ids == self._end
         counts = np.zeros(len(starts), np.int64)
         edges = np.flatnonzero(ends)
@@ -157,7 +161,7 @@ class Encoder:
         if not len(other):
             return ids[~ends], counts
         raw = [words.body[s:s + k].tobytes().decode() for s, k in zip(starts[other].tolist(), sizes[other].tolist())]
-        found = [c.ids for c in self._model.encode_batch_fast(raw, add_special_tokens=False)]
+        found = [c.ids for at in range(0, len(raw), LEARN) for c in self._model.encode_batch_fast(raw[at:at + LEARN], add_special_tokens=False)]
         counts[other] = [len(c) for c in found]
         owner = np.concatenate([np.repeat(np.flatnonzero(plain), counts[plain]), np.repeat(other, counts[other])])
         pool = np.concatenate([ids[~ends], np.fromiter(chain.from_iterable(found), np.uint32)])
