@@ -12,9 +12,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-# Fixed value: stored entries per packed block, 2**22 of 16 bytes each.
+# Fixed value: stored entries per packed block, 2**22 of 12 or 16 bytes each.
 BLOCK_ENTRIES = 1 << 22
-# Partial sums in a record batch.
+# Sums in a slice, 2 MiB.
 SLICE = 1 << 18
 
 
@@ -69,6 +69,11 @@ BLOCK_SCHEMA = "labels binary, offsets binary, indices binary, vals binary, top
 _PACKED = pa.schema([*((n, pa.binary()) for n in ("labels", "offsets", "indices", "vals")), ("top", pa.int64())])
 
 
+def narrow(indices: np.ndarray) -> np.ndarray:
+    """In 32 bits where they fit."""
+    return indices.astype(np.int32) if indices.max(initial=-1) < 1 << 31 else indices
+
+
 def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows to raw-bytes blocks, which reach later passes without per-element conversion."""
     for record_batch in batches:
@@ -81,7 +86,7 @@ def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({
                 "labels": [b.labels[start:stop].tobytes()],
                 "offsets": [(b.offsets[start:stop + 1] - lo).tobytes()],
-                "indices": [b.indices[lo:hi].tobytes()],
+                "indices": [narrow(b.indices[lo:hi]).tobytes()],
                 "vals": [b.values[lo:hi].tobytes()],
                 "top": [int(b.indices[lo:hi].max(initial=-1))],
             }, schema=_PACKED)
@@ -90,16 +95,32 @@ def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def from_blocks(record_batch: pa.RecordBatch) -> Iterator[Batch]:
     columns = [record_batch.column(n) for n in ("labels", "offsets", "indices", "vals")]
-    kinds = (np.float64, np.int64, np.int64, np.float64)
     for i in range(record_batch.num_rows):
-        yield Batch(*(np.frombuffer(c[i].as_buffer(), dtype=k) for c, k in zip(columns, kinds)))
-
-
-def entries(total: np.ndarray, scalars: dict[int, float]) -> Iterator[pa.RecordBatch]:
-    """A task's partial sums as ``(j, z)``, in slices; scalars travel first, under negative ids."""
-    yield pa.RecordBatch.from_pydict({
-        "j": pa.array(list(scalars), pa.int64()), "z": pa.array(list(scalars.values()), pa.float64())})
-    found = np.flatnonzero(total)
-    for at in range(0, len(found), SLICE):
-        some = found[at:at + SLICE]
-        yield pa.RecordBatch.from_pydict({"j": pa.array(some), "z": pa.array(total[some])})
+        labels, offsets, indices, values = (c[i].as_buffer() for c in columns)
+        kind = np.int32 if indices.size * 2 == values.size else np.int64
+        yield Batch(*(np.frombuffer(x, dtype=k) for x, k in zip((labels, offsets, indices, values), (np.float64, np.int64, kind, np.float64))))
+
+
+SLICES = "part int, z binary"
+
+
+def slices_of(total: np.ndarray, size: int) -> Iterator[pa.RecordBatch]:
+    """A task's sums, a record for each range of ``size`` that has any."""
+    for at in range(0, len(total), size):
+        z = total[at:at + size]
+        if z.any():
+            yield pa.RecordBatch.from_pydict({"part": pa.array([at // size], pa.int32()), "z": [z.tobytes()]})
+
+
+def add_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The slices of equal ranges added up, whatever their order: a task holds the sums of its own ranges only."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, z in zip(batch.column("part").to_pylist(), batch.column("z")):
+            z = np.frombuffer(z.as_buffer())
+            if part in sums:
+                sums[part] += z
+            else:
+                sums[part] = z.copy()
+    for part, z in sums.items():
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "z": [z.tobytes()]})

@@ -137,6 +137,50 @@ def model_margins(rows: DataFrame, models: dict[str, np.ndarray]) -> DataFrame:
     return map_in_arrow(rows.select("row_id", "label", "indices", "values"), score, schema)
 
 
+def model_counts(rows: DataFrame, models: dict[str, np.ndarray], digits: int | None = None, held: int = 1 << 20) -> DataFrame:
+    """``(run_id, margin, pos, neg)`` of several models from one scan: examples by margin, counted in the tasks.
+
+    A task ships each margin of a model once, in as many rounds as it has ``held`` margins. ``digits`` rounds margins before.
+    """
+    names = sorted(models)
+    width = max(len(models[n]) for n in names)
+    stacked = np.zeros((len(names), width))
+    for i, n in enumerate(names):
+        stacked[i, :len(models[n])] = models[n]
+    _checked_dense(stacked.ravel())
+    sent = rows.sparkSession.sparkContext.broadcast(stacked)
+
+    def added(margin, pos, neg):
+        margin, slot = np.unique(margin, return_inverse=True)
+        return margin, *(np.bincount(slot, weights=x, minlength=len(margin)).astype(np.int64) for x in (pos, neg))
+
+    def counted(counts):
+        for name, (margin, pos, neg) in zip(names, counts):
+            for at in range(0, len(margin), kernels.SLICE):
+                some = slice(at, at + kernels.SLICE)
+                yield pa.RecordBatch.from_pydict({"run_id": pa.array([name] * len(margin[some]), pa.string()), "margin": margin[some],
+                                                  "pos": pa.array(pos[some]), "neg": pa.array(neg[some])})
+
+    def count(batches):
+        none = (np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64))
+        counts = [none] * len(names)
+        for record_batch in batches:
+            b = kernels.from_rows(record_batch)
+            owner, positive = b.owner, b.labels > 0
+            for i, weights in enumerate(sent.value):
+                # A sum of zeros has one sign.
+                margin = b.dot(weights, owner) + 0.0
+                margin = margin if digits is None else np.round(margin, digits) + 0.0
+                counts[i] = added(*(np.concatenate(x) for x in zip(counts[i], (margin, positive, ~positive))))
+            if sum(len(c[0]) for c in counts) > held:
+                yield from counted(counts)
+                counts = [none] * len(names)
+        yield from counted(counts)
+
+    parts = map_in_arrow(rows.select("label", "indices", "values"), count, "run_id string, margin double, pos bigint, neg bigint")
+    return parts.groupBy("run_id", "margin").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
+
 def score_models(
     rows: DataFrame, weights: DataFrame, max_broadcast: int = MAX_BROADCAST_ROWS, intercepts: DataFrame | None = None,
 ) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Every function takes optional grouping columns, so many models are evaluated by
 the same plan. Scores are reduced to counts per distinct margin before anything
-is ordered.
+is ordered; AUC and thresholds take such counts as well.
 """
 
 from __future__ import annotations
@@ -56,9 +56,14 @@ def score_counts(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def _counts(scores: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Scores may be counted already."""
+    return scores if {"margin", "pos", "neg"} <= set(scores.columns) else score_counts(scores, by)
+
+
 def roc_auc(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Share of (positive, negative) pairs in the right order, ties counting half; NaN without both classes."""
-    ranked = running_totals(score_counts(scores, by), "margin", {"neg_to": "neg"}, by)
+    ranked = running_totals(_counts(scores, by), "margin", {"neg_to": "neg"}, by)
     # The number of pairs outgrows 64 bits before the number of rows does.
     wins = F.sum(F.col("pos").cast("double") * (F.col("neg_to") - F.col("neg") / 2))
     n_pos, n_neg = F.sum("pos").cast("double"), F.sum("neg").cast("double")
@@ -70,7 +75,7 @@ def roc_auc(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def _swept(scores: DataFrame, by: Sequence[str]) -> DataFrame:
     """Confusion counts at every distinct margin, NaN included, at which nothing is positive."""
-    counts = score_counts(scores, by).withColumns({
+    counts = _counts(scores, by).withColumns({
         "_nan_pos": F.when(F.isnan("margin"), F.col("pos")).otherwise(F.lit(0)),
         "_nan_neg": F.when(F.isnan("margin"), F.col("neg")).otherwise(F.lit(0)),
     })

@@ -1,9 +1,13 @@
 """f(w) = ½‖w‖² + C Σ loss(x·w, y): value, gradient and Hessian-vector product as Spark jobs.
 
 Functions of a DataFrame of rows compute within the rows where the weights fit a
-broadcast, and exchange sums per feature only; wider weights are joined (``coo``).
+broadcast, and exchange slices of sums only; wider weights are joined (``coo``).
 ``Blocks`` is the partition strategy for repeated passes: rows are packed once
 into persisted byte blocks and every pass is a single job over them.
+
+A task adds up in NumPy and gives one record for each range of features, and the
+records of a range are added by one task, over tasks of ``FAN`` records each where
+there are more. A feature that does not fit the stated width is an error.
 """
 
 from __future__ import annotations
@@ -24,6 +28,12 @@ from sparselin.sources import weights as W
 
 # Fixed value: the id a scalar travels under, below all feature ids.
 LOSS_ID = -1
+# Records of one range that a task adds up.
+FAN = 64
+# Bytes of slices that the driver adds up itself.
+DIRECT_BYTES = 16 << 20
+# Bytes of packed blocks for a task, where the number of cores is not known beforehand.
+TASK_BYTES = 128 << 20
 
 # ---------------------------------------------------------------- coo strategy
 
@@ -38,9 +48,29 @@ def _row_local(width: int | None, strategy: str) -> bool:
     return strategy == "auto" and width is not None and width <= MAX_BROADCAST_FEATURES
 
 
+def within(rows: DataFrame, width: int | None) -> DataFrame:
+    """The rows, of which one with a feature beyond ``width`` raises an error in whatever reads them."""
+    if width is None:
+        return rows
+    fits = F.coalesce(F.array_max("indices"), F.lit(-1)) < width
+    return rows.withColumn("indices", F.when(fits, F.col("indices")).otherwise(
+        F.raise_error(F.lit(f"a feature does not fit into {width} columns"))))
+
+
+def added(slices: DataFrame, tasks: int, length: int) -> DataFrame:
+    """``part, z``: the slices of ``tasks`` tasks, added by range. One record of a range stays."""
+    ranges = max(1, -(-length // kernels.SLICE))
+    if tasks > FAN:
+        groups = -(-tasks // FAN)
+        slices = map_in_arrow(slices.withColumn("_g", F.spark_partition_id() % groups).repartition(ranges * groups, "part", "_g").drop("_g"),
+                              kernels.add_slices, kernels.SLICES)
+    return map_in_arrow(slices.repartition(ranges, "part"), kernels.add_slices, kernels.SLICES)
+
+
 def _partial_sums(rows: DataFrame, loss: Loss, kind: str, w: np.ndarray, s: np.ndarray | None = None) -> DataFrame:
-    """``(j, z)`` of every task: Σ loss under ``LOSS_ID`` (``loss``), Xᵀ residual (``slope``) or Xᵀ D X s (``product``)."""
+    """``(j, z)``: Xᵀ residual (``slope``) or Xᵀ D X s (``product``); Σ loss under ``LOSS_ID`` (``loss``), by task."""
     sent = rows.sparkSession.sparkContext.broadcast((w, s))
+    rows, size = within(rows, len(w)), kernels.SLICE
 
     def task(batches):
         weights, direction = sent.value
@@ -55,9 +85,26 @@ def _partial_sums(rows: DataFrame, loss: Loss, kind: str, w: np.ndarray, s: np.n
                 b.add_transposed(loss.residual(m, b.labels, np), owner, out)
             else:
                 b.add_transposed(loss.curvature(m, b.labels, np) * b.dot(direction, owner), owner, out)
-        yield from kernels.entries(out, {LOSS_ID: total} if kind == "loss" else {})
+        if kind == "loss":
+            yield pa.RecordBatch.from_pydict({"j": pa.array([LOSS_ID], pa.int64()), "z": [total]})
+        else:
+            yield from kernels.slices_of(out, size)
 
-    return map_in_arrow(rows.select("label", "indices", "values"), task, "j bigint, z double")
+    given = rows.select("label", "indices", "values")
+    if kind == "loss":
+        return map_in_arrow(given, task, "j bigint, z double")
+
+    def entries(batches):
+        for batch in kernels.add_slices(batches):
+            z = np.frombuffer(batch.column("z")[0].as_buffer())
+            found = np.flatnonzero(z)
+            yield pa.RecordBatch.from_pydict({"j": pa.array(found + batch.column("part")[0].as_py() * size), "z": pa.array(z[found])})
+
+    ranges = max(1, -(-len(w) // kernels.SLICE))
+    slices = map_in_arrow(given, task, kernels.SLICES)
+    if (tasks := given.rdd.getNumPartitions()) > FAN:
+        slices = added(slices, tasks, len(w))
+    return map_in_arrow(slices.repartition(ranges, "part"), entries, "j bigint, z double")
 
 
 def _with_vector(vector: DataFrame, column: str, parts: DataFrame, C: float, name: str) -> DataFrame:
@@ -74,7 +121,7 @@ def objective(rows: DataFrame, weights: DataFrame, loss: Loss | str, C: float, w
         w = W.to_array(weights, width)
         total = F.coalesce(F.sum("z"), F.lit(0.0))
         return _partial_sums(rows, loss, "loss", w).agg((0.5 * float(w @ w) + C * total).alias("f"))
-    m = products(rows, weights.select("j", "w"), ["w"], width, **kw)
+    m = products(within(rows, width), weights.select("j", "w"), ["w"], width, **kw)
     penalty = weights.agg(F.coalesce(F.sum(F.col("w") * F.col("w")), F.lit(0.0)) / 2).scalar()
     total = F.coalesce(F.sum(loss.value(F.col("x_w"), F.col("label"))), F.lit(0.0))
     return m.agg((F.max(penalty) + C * total).alias("f"))
@@ -99,6 +146,7 @@ def gradient(rows: DataFrame, weights: DataFrame, loss: Loss | str, C: float, wi
     loss = _loss(loss)
     if _row_local(width, strategy):
         return _with_vector(weights, "w", _partial_sums(rows, loss, "slope", W.to_array(weights, width)), C, "g")
+    rows = within(rows, width)
     m = products(rows, weights.select("j", "w"), ["w"], width, **kw)
     per_row = m.select("row_id", loss.residual(F.col("x_w"), F.col("label")).alias("r"))
     return _plus_vector(weights, "w", _back_to_features(rows, per_row), C, "g")
@@ -121,6 +169,7 @@ def loss_and_slope(rows: DataFrame, weights: DataFrame, loss: Loss | str, width:
 def curvature_product(rows: DataFrame, vectors: DataFrame, loss: Loss | str, width: int | None = None, **kw) -> DataFrame:
     """``(j, z)``: Xᵀ D X s for a table ``(j, w, s)``; x·w and x·s come from the same join."""
     loss = _loss(loss)
+    rows = within(rows, width)
     m = products(rows, vectors.select("j", "w", "s"), ["w", "s"], width, **kw)
     bent = loss.curvature(F.col("x_w"), F.col("label")) * F.col("x_s")
     return _back_to_features(rows, m.select("row_id", bent.alias("r")))
@@ -141,33 +190,43 @@ def hessian_vector(rows: DataFrame, vectors: DataFrame, loss: Loss | str, C: flo
 class Blocks:
     """Examples packed for repeated passes, and the passes themselves.
 
-    Every pass is one job that returns one number per feature. The partial sums of
-    the tasks meet in a hash aggregation on the feature id, in which a feature has
-    at most one record per task. A task takes several packed partitions if there
-    are more of them than cores, so the partial sums follow the cores.
+    Every pass is one job that returns sums of feature length. A task takes several
+    packed partitions if there are more of them than needed, so the partial sums
+    follow the cores.
     """
 
     def __init__(
         self, rows: DataFrame, n_features: int | None = None, storage: StorageLevel = StorageLevel.MEMORY_AND_DISK,
+        any_width: bool = False,
     ):
-        """Without ``n_features`` the width is the largest id in the blocks + 1, so the rows are still read once."""
+        """Without ``n_features`` the width is the largest id in the blocks + 1, so the rows are still read once.
+
+        With ``any_width`` one beyond the dense limit is no error yet: ``n_features`` tells it, for another strategy.
+        """
         self.spark = rows.sparkSession
-        packed = map_in_arrow(rows.select("label", "indices", "values"), kernels.pack, kernels.BLOCK_SCHEMA)
+        packed = map_in_arrow(within(rows, n_features).select("label", "indices", "values"), kernels.pack, kernels.BLOCK_SCHEMA)
         self.blocks = packed.persist(storage)
-        if n_features is None:
-            n_features = self._width()
-        if n_features > MAX_BROADCAST_FEATURES:
+        cores = 2 * self.spark.sparkContext.defaultParallelism
+        self._tasks = max(1, cores)
+        flexible = self.spark.sparkContext.getConf().get("spark.dynamicAllocation.enabled", "false") == "true"
+        if n_features is None or flexible:
+            found = self._figures()
+            if n_features is None:
+                if found["top"] is None:
+                    self.close()
+                    raise ValueError("no usable examples")
+                n_features = found["top"] + 1
+            if flexible:
+                # The executors of now say nothing about those of later passes; idle blocks are not worth a task each.
+                self._tasks = max(self._tasks, -(-found["size"] // TASK_BYTES))
+        if n_features > MAX_BROADCAST_FEATURES and not any_width:
             self.close()
             raise ValueError(f"{n_features} features exceed the dense limit of {MAX_BROADCAST_FEATURES}")
         self.n_features = n_features
-        self._tasks = max(1, 2 * self.spark.sparkContext.defaultParallelism)
 
-    def _width(self) -> int:
-        top = self.blocks.agg(F.max("top")).first()[0]
-        if top is None:
-            self.close()
-            raise ValueError("no usable examples")
-        return top + 1
+    def _figures(self) -> dict:
+        size = F.length("labels") + F.length("offsets") + F.length("indices") + F.length("vals")
+        return self.blocks.agg(F.max("top").alias("top"), F.coalesce(F.sum(size.cast("long")), F.lit(0)).alias("size")).first().asDict()
 
     def __enter__(self) -> Blocks:
         return self
@@ -178,89 +237,70 @@ class Blocks:
     def close(self) -> None:
         self.blocks.unpersist()
 
-    def _collect(self, task, sent) -> tuple[np.ndarray, dict[int, float]]:
-        try:
-            parts = map_in_arrow(self.blocks.drop("top").coalesce(self._tasks), task, "j bigint, z double")
-            sums = parts.groupBy("j").agg(F.sum("z").alias("z")).toArrow()
-        finally:
-            sent.destroy()
-        j, z = sums["j"].to_numpy(), sums["z"].to_numpy()
-        dense = np.zeros(self.n_features)
-        np.add.at(dense, j[j >= 0], z[j >= 0])
-        scalars: dict[int, float] = {}
-        for key, part in zip(j[j < 0].tolist(), z[j < 0].tolist()):
-            scalars[key] = scalars.get(key, 0.0) + part
-        return dense, scalars
+    def slices(self, task) -> DataFrame:
+        """What ``task`` gives for the packed blocks: a record for each task and range."""
+        return map_in_arrow(self.blocks.drop("top").coalesce(self._tasks), task, kernels.SLICES)
 
-    def loss_and_slope(self, loss: Loss, w: np.ndarray) -> tuple[float, np.ndarray]:
-        """Σ loss and Xᵀ residual from one job."""
-        sent = self.spark.sparkContext.broadcast(w)
+    def _sums(self, add, sent, length: int) -> np.ndarray:
+        """The sums of all tasks. ``add(sent value, batch, out)`` adds those of a packed batch to ``out``."""
+        size = kernels.SLICE
 
         def task(batches):
-            weights = sent.value
-            total, slope = 0.0, np.zeros(len(weights))
+            out = np.zeros(length)
             for record_batch in batches:
                 for b in kernels.from_blocks(record_batch):
-                    owner = b.owner
-                    m = b.dot(weights, owner)
-                    total += float(loss.value(m, b.labels, np).sum())
-                    b.add_transposed(loss.residual(m, b.labels, np), owner, slope)
-            yield from kernels.entries(slope, {LOSS_ID: total})
+                    add(sent.value, b, out)
+            yield from kernels.slices_of(out, size)
+
+        slices = self.slices(task)
+        # A few short slices are added here, without another stage.
+        if 8 * length * self._tasks > DIRECT_BYTES:
+            slices = added(slices, self._tasks, length)
+        try:
+            found = slices.toArrow()
+        finally:
+            sent.destroy()
+        total = np.zeros(length)
+        for batch in kernels.add_slices(found.to_batches()):
+            at = batch.column("part")[0].as_py() * size
+            z = np.frombuffer(batch.column("z")[0].as_buffer())
+            total[at:at + len(z)] = z
+        return total
 
-        slope, scalars = self._collect(task, sent)
-        return scalars.get(LOSS_ID, 0.0), slope
+    def loss_and_slope(self, loss: Loss, w: np.ndarray) -> tuple[float, np.ndarray]:
+        """Σ loss and Xᵀ residual from one job."""
+        return self._answers([(loss, "value", w)])[0]
 
     def curvature_product(self, loss: Loss, w: np.ndarray, s: np.ndarray) -> np.ndarray:
         """Xᵀ D X s from one job."""
-        sent = self.spark.sparkContext.broadcast((w, s))
-
-        def task(batches):
-            weights, direction = sent.value
-            out = np.zeros(len(weights))
-            for record_batch in batches:
-                for b in kernels.from_blocks(record_batch):
-                    owner = b.owner
-                    d = loss.curvature(b.dot(weights, owner), b.labels, np)
-                    b.add_transposed(d * b.dot(direction, owner), owner, out)
-            yield from kernels.entries(out, {})
-
-        return self._collect(task, sent)[0]
+        return self._answers([(loss, "product", w, s)])[0]
 
     def answers(self, requests: Sequence[tuple]) -> list:
         """Several ``(loss, "value", w)`` and ``(loss, "product", w, s)`` from one job, as long as they fit a broadcast.
 
         A value request gives Σ loss and Xᵀ residual, a product request Xᵀ D X s.
         """
+        size = max(1, MAX_BROADCAST_FEATURES // (2 * (self.n_features + 1)))
+        return [x for i in range(0, len(requests), size) for x in self._answers(requests[i:i + size])]
+
+    def _answers(self, requests: Sequence[tuple]) -> list:
         stride = self.n_features + 1
-        size = max(1, MAX_BROADCAST_FEATURES // (2 * stride))
-        if len(requests) > size:
-            return [x for i in range(0, len(requests), size) for x in self.answers(requests[i:i + size])]
-        sent = self.spark.sparkContext.broadcast(list(requests))
+        asked = [(loss, kind) for loss, kind, *_ in requests]
+        sent = self.spark.sparkContext.broadcast([vectors for _, _, *vectors in requests])
 
-        def task(batches):
+        def add(vectors, b, out):
+            owner = b.owner
             # A model's sums, its loss behind them, then the next model's.
-            out = np.zeros((len(sent.value), stride))
-            for record_batch in batches:
-                for b in kernels.from_blocks(record_batch):
-                    owner = b.owner
-                    for (loss, kind, w, *s), sums in zip(sent.value, out):
-                        m = b.dot(w, owner)
-                        if kind == "value":
-                            sums[-1] += float(loss.value(m, b.labels, np).sum())
-                            r = loss.residual(m, b.labels, np)
-                        else:
-                            r = loss.curvature(m, b.labels, np) * b.dot(s[0], owner)
-                        b.add_transposed(r, owner, sums[:-1])
-            yield from kernels.entries(out.ravel(), {})
-
-        try:
-            parts = map_in_arrow(self.blocks.drop("top").coalesce(self._tasks), task, "j bigint, z double")
-            found = parts.groupBy("j").agg(F.sum("z").alias("z")).toArrow()
-        finally:
-            sent.destroy()
-        total = np.zeros(len(requests) * stride)
-        total[found["j"].to_numpy()] = found["z"].to_numpy()
-        sums = total.reshape(-1, stride)
+            for (loss, kind), (w, *s), sums in zip(asked, vectors, out.reshape(-1, stride)):
+                m = b.dot(w, owner)
+                if kind == "value":
+                    sums[-1] += float(loss.value(m, b.labels, np).sum())
+                    r = loss.residual(m, b.labels, np)
+                else:
+                    r = loss.curvature(m, b.labels, np) * b.dot(s[0], owner)
+                b.add_transposed(r, owner, sums[:-1])
+
+        sums = self._sums(add, sent, len(requests) * stride).reshape(-1, stride)
         return [(float(x[-1]), x[:-1]) if kind == "value" else x[:-1] for x, (_, kind, *_) in zip(sums, requests)]
 
     def losses_at(self, loss: Loss, models: Sequence[np.ndarray]) -> list[float]:
@@ -268,17 +308,11 @@ class Blocks:
         size = max(1, MAX_BROADCAST_FEATURES // max(1, self.n_features))
         if len(models) > size:
             return [x for i in range(0, len(models), size) for x in self.losses_at(loss, models[i:i + size])]
-        stacked = np.stack(models)
-        sent = self.spark.sparkContext.broadcast(stacked)
+        sent = self.spark.sparkContext.broadcast(np.stack(models))
 
-        def task(batches):
-            totals = np.zeros(len(sent.value))
-            for record_batch in batches:
-                for b in kernels.from_blocks(record_batch):
-                    owner = b.owner
-                    for i, weights in enumerate(sent.value):
-                        totals[i] += float(loss.value(b.dot(weights, owner), b.labels, np).sum())
-            yield from kernels.entries(np.zeros(0), {-1 - i: t for i, t in enumerate(totals)})
+        def add(stacked, b, out):
+            owner = b.owner
+            for i, weights in enumerate(stacked):
+                out[i] += float(loss.value(b.dot(weights, owner), b.labels, np).sum())
 
-        scalars = self._collect(task, sent)[1]
-        return [scalars.get(-1 - i, 0.0) for i in range(len(stacked))]
+        return self._sums(add, sent, len(models)).tolist()

@@ -187,6 +187,43 @@ def baseline_sql() -> str:
 select round((select sum(w * w) / 2 from best) + sum({_FORMULAS['lr']['loss']}), 3) as f from final"""
 
 
+def final_objective_sql(solver: str) -> str:
+    """The objective of the optimum, in a common table ``obj``."""
+    return (f"with recursive {_descent(solver, STEPS[solver])}, {_model_scores(1.0)}, "
+            f"obj as (select (select sum(w * w) / 2 from best) + sum({_FORMULAS[solver]['loss']}) as f from final)")
+
+
+def strategies_timed_sql(solver: str) -> str:
+    return (f"{final_objective_sql(solver)} select strategy, round(f, 5) + 0.0 as f, true as decreasing, true as agrees "
+            "from obj, (values ('map'), ('mappart')) s(strategy)")
+
+
+def curve_sql(grid) -> str:
+    rows = ", ".join(f"({k})" for k in grid)
+    return (f"{final_objective_sql('lr')} select max_iter, true as decreasing, case when max_iter >= 20 then round(f, 3) + 0.0 end as f "
+            f"from obj, (values {rows}) g(max_iter)")
+
+
+def hinge_sql() -> str:
+    """With a penalty of 1 no margin reaches 1, so every example pulls alike and the optimum is the mean of y x."""
+    return f"""with {EMBEDDED}, best as (select j, avg(v * y) as w from emb group by 1), {_model_scores(1.0)}
+select n, round(accuracy, 6) as accuracy, round(auc, 6) as auc, (select max(y * m) < 1 from final) as all_inside from quality"""
+
+
+def _events(scale: float) -> str:
+    """Events with a bias, scaled, in place of the embeddings."""
+    return f"""{LINES}, {PARSED}, {WIDTH},
+emb as (select c.row_id, l.label as y, c.v / {scale} as v, c.j from coo c join labelled l using (row_id)
+  union all select row_id, label, 1.0::double, width from labelled, width)"""
+
+
+def event_fit_sql(scale: float, C: float, steps: int) -> str:
+    sql = f"with recursive {_descent('lr', steps, C)}, {_model_scores(C)}".replace(EMBEDDED, _events(scale))
+    loss = _FORMULAS["lr"]["loss"]
+    return (f"{sql}, obj as (select (select sum(w * w) / 2 from best) + {C} * sum({loss}) as f from final) "
+            "select n, round(accuracy, 6) as accuracy, round(auc, 5) as auc, round(f, 4) as f from quality, obj")
+
+
 def sweep_sql() -> str:
     parts = []
     for solver in ("lr", "l2svm"):
@@ -202,6 +239,41 @@ select '{tag}' as run_id, n, round(hit.accuracy, 6) as accuracy, round(auc, 6) a
     return " union all ".join(parts)
 
 
+def split_sweep_sql() -> str:
+    """The optima on the training part of a three-way split, cut on the validation part, tested on the rest."""
+    split = """ids as (select vec_id as k, md5(concat(vec_id, ':', 42)) as h, md5(concat(vec_id, ':', 7)) as h2 from embeddings),
+outer_ as (select *, row_number() over (order by h, k) <= floor(0.8::double * count(*) over ()) as inside from ids),
+inner_ as (select k, row_number() over (order by h2, k) <= floor(0.8::double * count(*) over ()) as train from outer_ where inside),
+part as (select o.k as row_id, case when not inside then 'test' when train then 'train' else 'val' end as part from outer_ o left join inner_ i using (k))"""
+    everything = EMBEDDED.replace("emb as", "every as")
+    train = f"{everything}, {split}, emb as (select e.* from every e join part using (row_id) where part = 'train')"
+    parts = []
+    for solver in ("lr", "l2svm"):
+        for C in (0.1, 1.0):
+            tag = f"{solver}_C{C:g}_eps1e-07_bias-1_rep1"
+            parts.append(f"""select * from (with recursive {_descent(solver, STEPS[solver], C).replace(EMBEDDED, train)},
+scored as (select e.row_id, any_value(p.part) as part, any_value(e.y) as y, sum(e.v * b.w) as m from every e join best b using (j) join part p using (row_id) group by 1),
+final as (select * from scored where part = 'val'), test as (select * from scored where part = 'test'),
+cuts as (select t.m as cut, avg(case when (f.m >= t.m) = (f.y > 0) then 1.0::double else 0.0 end) as score from final f, final t group by 1),
+top as (select max(score) as best_score, min(cut) as cut from cuts where score = (select max(score) from cuts)),
+ranks as (select y, m, rank() over (order by m) + (count(*) over (partition by m) - 1) / 2.0::double as rk from test),
+quality as (select (sum(rk) filter (y > 0) - (count(*) filter (y > 0)) * ((count(*) filter (y > 0)) + 1) / 2) /
+  ((count(*) filter (y > 0)) * (count(*) filter (y < 0))) as auc from ranks),
+hit as (select count(*) as n, avg(case when (m >= cut) = (y > 0) then 1.0::double else 0.0 end) as accuracy from test, top)
+select '{tag}' as run_id, n, round(hit.accuracy, 6) as accuracy, round(auc, 6) as auc, round(best_score, 6) as best_score from quality, top, hit)""")
+    return " union all ".join(parts)
+
+
+def converged_sql(solvers, Cs, epss, reps: int) -> str:
+    """What holds of every fit of a grid: its part sizes, its start, and that it ends at its tolerance."""
+    f = {s: _FORMULAS[s]["loss"].replace("*m", "*0") for s in solvers}
+    rows = ", ".join(f"('{s}_C{C:g}_eps{eps:g}_bias-1_rep{r}', '{s}', {C}::double)" for s in solvers for C in Cs for eps in epss for r in range(1, reps + 1))
+    start = " union all ".join(f"select '{s}' as solver, {loss} as loss" for s, loss in f.items()).replace("y", "1.0::double")
+    return f"""with n as (select count(*) as n, floor(0.8::double * count(*)) as inside from embeddings),
+parts as (select n - inside as n_test, floor(0.8::double * inside) as n_train from n), runs(run_id, solver, c) as (values {rows}), start as ({start})
+select run_id, n_test::bigint as n, round(c * n_train * loss, 6) as f0, true as converged, true as better from runs join start using (solver), parts"""
+
+
 # ------------------------------------------------------------------ evaluation
 
 RANKED = """counts as (select margin, count(*) filter (label > 0) as pos, count(*) filter (label <= 0) as neg from scores group by 1),

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from sparselin.functions.rows import decide
 from sparselin.operators import metrics
-from sparselin.operators.matvec import dense_margins, margins
+from sparselin.operators.grid import wide_margins
+from sparselin.operators.matvec import dense_margins
 from sparselin.operators.prefix import running_totals
 from sparselin.plans.fit import Fit
 from sparselin.session import MAX_BROADCAST_FEATURES
@@ -43,7 +44,10 @@ def scores_for(rows: DataFrame, model: Model, bias: float = -1.0, n_features: in
     weights = (model.weights if model.w is None else model.w) if isinstance(model, Fit) else model
     if width > MAX_BROADCAST_FEATURES:
         table = W.from_array(rows.sparkSession, weights) if isinstance(weights, np.ndarray) else weights
-        return margins(rows, table, width)
+        scores = wide_margins(rows, table.select("j", "w"), width)
+        named = scores.drop("ask")
+        named._grid = scores._grid
+        return named
     if isinstance(weights, np.ndarray):
         return dense_margins(rows, np.pad(weights, (0, max(0, width - len(weights)))))
     return dense_margins(rows, W.to_array(weights, width))

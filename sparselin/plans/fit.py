@@ -13,13 +13,14 @@ from sparselin.functions import tags
 from sparselin.functions.losses import get_loss
 from sparselin.operators.matvec import check
 from sparselin.operators.objective import Blocks
-from sparselin.plans.newton import NewtonOptions, NewtonResult, minimize
-from sparselin.plans.vectors import CooProblem, DenseProblem, TableProblem
+from sparselin.plans.newton import NewtonOptions, NewtonResult, iterations, minimize, minimize_together
+from sparselin.plans.vectors import CooProblem, DenseProblem, SlicedFits, SlicedProblem, TableProblem
+from sparselin.plans.states import read_state, write_state
 from sparselin.schema import HISTORY, RUNS
 from sparselin.session import MAX_BROADCAST_FEATURES
 from sparselin.sources.libsvm import feature_width, read_libsvm
 
-STRATEGIES = ("auto", "partition", "coo", "table")
+STRATEGIES = ("auto", "partition", "coo", "grid", "table")
 
 
 @dataclass
@@ -76,19 +77,27 @@ def run_tag(solver: str, C: float, eps: float, bias: float, rep: int | None = No
 
 
 def solve(problem, strategy: str, solver: str, C: float, eps: float, max_iter: int, tag: str | None = None,
-          bias: float = -1.0, callback=None, options: NewtonOptions | None = None, spark=None, **config) -> Fit:
+          bias: float = -1.0, callback=None, options: NewtonOptions | None = None, spark=None, states: str | None = None, **config) -> Fit:
     started = time.time()
-    result = minimize(problem, options=options, callback=callback, eps=eps, max_iter=max_iter)
+    settings = {"options": options, "callback": callback, "eps": eps, "max_iter": max_iter}
+    if states:
+        settings["resumed"] = read_state(spark, states, problem, solver, C)
+        settings["keep"] = lambda state: write_state(spark, states, problem, solver, C, state)
+    if isinstance(problem, SlicedProblem):
+        result = minimize_together([iterations(problem, **settings)], lambda asked: problem.fits.answers([(problem, r) for _, r in asked]))[0]
+    else:
+        result = minimize(problem, **settings)
     return finished(result, problem, strategy, solver, C, eps, max_iter, started, tag, bias, spark, **config)
 
 
 def finished(result: NewtonResult, problem, strategy: str, solver: str, C: float, eps: float, max_iter: int, started: float,
-             tag: str | None = None, bias: float = -1.0, spark=None, **config) -> Fit:
+             tag: str | None = None, bias: float = -1.0, spark=None, weights: DataFrame | None = None, **config) -> Fit:
+    """``weights`` is the model as a table, where it is made already."""
     spent = time.time() - started
     tag = tag or run_tag(solver, C, eps, bias)
     settings = {"solver": solver, "C": float(C), "eps": float(eps), "bias": float(bias), "maxIter": max_iter,
                 "n_features": problem.n_features, **config}
-    return Fit(tag, problem.to_table(result.w, spark), result, settings, started, spent, strategy)
+    return Fit(tag, problem.to_table(result.w, spark) if weights is None else weights, result, settings, started, spent, strategy)
 
 
 def fit(
@@ -105,36 +114,50 @@ def fit(
     callback=None,
     options: NewtonOptions | None = None,
     seed: int | None = None,
+    span: int | None = None,
+    states: str | None = None,
 ) -> Fit:
     """Fit L2-regularised logistic regression (``lr``) or squared-hinge SVM (``l2svm``).
 
     ``partition`` packs the rows and accumulates per task, ``coo`` joins and
     aggregates; both keep weight vectors on the driver and need a width within
-    the broadcast bound. ``table`` keeps the vectors in tables as well and has no
-    bound. ``auto`` takes ``partition`` within the bound and ``table`` beyond.
-    The fit starts from 0 and draws no random numbers; ``seed`` is only logged.
+    the broadcast bound. ``grid`` cuts the rows by feature ranges and keeps the
+    vectors in tables of slices of ``span`` features, ``table`` does so by joins; they have no
+    bound. ``auto`` takes ``partition`` within the bound and ``grid`` beyond.
+    The fit starts from 0 and draws no random numbers; ``seed`` is only logged. With a folder for
+    ``states`` every accepted step is stored there, and a fit that was ended goes on from the last one.
     """
     loss = get_loss(solver)
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}; known: {STRATEGIES}")
     spark = rows.sparkSession
     width = n_features
-    if strategy == "auto":
-        width = feature_width(rows) if width is None else width
-        strategy = "partition" if width <= MAX_BROADCAST_FEATURES else "table"
-    if partitions and strategy == "partition":
+    if partitions and strategy in ("auto", "partition"):
         rows = rows.repartition(partitions)
+    blocks = None
+    if strategy == "auto" and width is None:
+        # The rows are read once: packed, they tell their width.
+        blocks = Blocks(rows, any_width=True)
+        width = blocks.n_features
+    if strategy == "auto":
+        strategy = "partition" if width <= MAX_BROADCAST_FEATURES else "grid"
     if strategy == "partition":
-        blocks = Blocks(rows, width)
+        blocks = blocks or Blocks(rows, width)
         problem, close = DenseProblem(blocks, loss, C), blocks.close
     else:
+        if blocks:
+            blocks.close()
         width = feature_width(rows) if width is None else width
-        kind = CooProblem if strategy == "coo" else TableProblem
-        problem = kind(rows, width, loss, C, partitions)
-        close = problem.close
+        if strategy == "grid":
+            fits = SlicedFits(rows, width, span)
+            problem, close = SlicedProblem(fits, loss, C), fits.close
+        else:
+            kind = CooProblem if strategy == "coo" else TableProblem
+            problem = kind(rows, width, loss, C, partitions)
+            close = problem.close
     try:
         return solve(problem, strategy, solver, C, eps, max_iter, tag, bias, callback, options, spark,
-                     numPartitions=partitions, seed=seed)
+                     states, numPartitions=partitions, seed=seed)
     finally:
         close()
 

@@ -1,9 +1,12 @@
 """Trust-region Newton with truncated conjugate gradients.
 
 The driver only decides; every evaluation of the objective, its gradient or a
-Hessian-vector product is a Spark job of the ``problem``. An outer iteration
-with c inner steps costs c + 1 jobs: value and gradient share one, and the
+Hessian-vector product is a pass over the data by the ``problem``. An outer iteration
+with c inner steps costs c + 1 passes: value and gradient share one, and the
 predicted reduction follows from the inner residual without another product.
+
+The method is a generator of what it needs to know: passes, and arithmetic on
+vectors, which may be tables themselves. So many fits can run in lockstep and share both.
 """
 
 from __future__ import annotations
@@ -52,9 +55,12 @@ class NewtonResult:
     history: list[dict] = field(default_factory=list)
 
 
-def _to_border(problem, p, d, delta: float) -> float:
-    """The step along ``d`` from inside the ball that ends on its border."""
-    dd, pd, pp = problem.dot(d, d), problem.dot(p, d), problem.dot(p, p)
+# What a run may ask for besides passes over the data.
+ARITHMETIC = ("combine", "dots")
+
+
+def _along(dd: float, pd: float, pp: float, delta: float) -> float:
+    """The step along ``d`` from ``p`` inside the ball that ends on its border, from their inner products."""
     if dd == 0:
         return 0.0
     return (math.sqrt(max(0.0, pd * pd + dd * (delta * delta - pp))) - pd) / dd
@@ -63,34 +69,35 @@ def _to_border(problem, p, d, delta: float) -> float:
 def newton_step(problem, w, g, delta: float, tol: float):
     """Approximately minimise the quadratic model within the ball of radius ``delta``.
 
-    Yields ``("product", w, d)`` for each Hessian-vector product it needs. Returns
-    the step, its norm, the predicted reduction and the number of inner iterations.
+    Yields ``("product", w, d)`` for each Hessian-vector product it needs, and requests of
+    ``ARITHMETIC``. Returns the step, its norm, the predicted reduction and the number of inner iterations.
     """
     p = problem.zeros()
-    r = problem.combine(p, -1.0, g, "residual")
-    d, rr = r, problem.dot(r, r)
+    r, = yield "combine", [(p, -1.0, g, "residual")]
+    d, (rr,) = r, (yield "dots", [(r, r)])
     steps, norm = 0, 0.0
     while rr > 0:
         steps += 1
         z = yield "product", w, d
-        bend = problem.dot(d, z)
+        bend, = yield "dots", [(d, z)]
         alpha = rr / bend if bend > 0 else 1.0
-        beyond = problem.combine(p, alpha, d, "step")
-        norm = math.sqrt(problem.dot(beyond, beyond))
+        beyond, rest = yield "combine", [(p, alpha, d, "step"), (r, -alpha, z, "residual")]
+        square, = yield "dots", [(beyond, beyond)]
+        norm = math.sqrt(square)
         if norm > delta:
-            alpha = _to_border(problem, p, d, delta)
-            p = problem.combine(p, alpha, d, "step")
-            r = problem.combine(r, -alpha, z, "residual")
-            norm = math.sqrt(problem.dot(p, p))
+            alpha = _along(*(yield "dots", [(d, d), (p, d), (p, p)]), delta)
+            p, r = yield "combine", [(p, alpha, d, "border step"), (r, -alpha, z, "border residual")]
+            square, = yield "dots", [(p, p)]
+            norm = math.sqrt(square)
             break
-        p, r = beyond, problem.combine(r, -alpha, z, "residual")
-        rr_before, rr = rr, problem.dot(r, r)
+        p, r = beyond, rest
+        rr_before, (rr,) = rr, (yield "dots", [(r, r)])
         if math.sqrt(rr) <= tol:
             break
-        d = problem.combine(r, rr / rr_before, d, "direction")
+        d, = yield "combine", [(r, rr / rr_before, d, "direction")]
     # r = -g - Hp, hence -(g·p + p·Hp / 2) = (r·p - g·p) / 2.
-    predicted = 0.5 * (problem.dot(r, p) - problem.dot(g, p))
-    return p, norm, predicted, steps
+    rp, gp = yield "dots", [(r, p), (g, p)]
+    return p, norm, 0.5 * (rp - gp), steps
 
 
 def first_radius(g_norm: float, o: NewtonOptions) -> float:
@@ -125,20 +132,30 @@ def observed(callback: Callable[[dict], None] | None, row: dict) -> None:
         LOG.warning("the observer of iteration %s failed", row["iter"], exc_info=True)
 
 
-def iterations(problem, w0=None, options: NewtonOptions | None = None, callback: Callable[[dict], None] | None = None, **overrides):
+def iterations(problem, w0=None, options: NewtonOptions | None = None, callback: Callable[[dict], None] | None = None,
+               resumed: NewtonResult | None = None, keep: Callable[[NewtonResult], None] | None = None, **overrides):
     """The method as a generator of what it needs to know, so that fits can share passes over the data.
 
-    Yields ``("value", w)``, to be answered by value and gradient, and
-    ``("product", w, d)``, to be answered by a Hessian-vector product; returns the
-    result. ``problem`` does the arithmetic on vectors.
+    Yields ``("value", w)``, to be answered by value and gradient, ``("product", w, d)``, to be
+    answered by a Hessian-vector product, ``("combine", list)`` of ``(a, scale, b, kind)`` for a + scale * b, where ``kind``
+    says which of the solver's vectors it is a version of, and ``("dots", pairs)`` for inner products. Returns the result.
+    ``keep`` gets the state after every accepted step; a run that starts from such a state, ``resumed``, goes on as the
+    one that made it would have.
     """
     o = replace(options or NewtonOptions(), **overrides)
-    start = time.time()
-    w = problem.zeros() if w0 is None else w0
+    w = resumed.w if resumed else problem.zeros() if w0 is None else w0
+    start = time.time() - (resumed.history[-1]["t_sec"] if resumed else 0.0)
     f, g = yield "value", w
     problem.hold("weights", "gradient")
-    norm0 = math.sqrt(problem.dot(g, g))
-    state = NewtonResult(w, f, norm0, first_radius(norm0, o), 0, "max_iter", f, norm0)
+    if resumed:
+        state = replace(resumed, f=f, reason="max_iter", history=list(resumed.history))
+        norm0 = state.g0_norm
+        if is_converged(state.g_norm, norm0, o):
+            state.reason = "grad_tol"
+            return state
+    else:
+        norm0 = math.sqrt((yield "dots", [(g, g)])[0])
+        state = NewtonResult(w, f, norm0, first_radius(norm0, o), 0, "max_iter", f, norm0)
     if norm0 == 0.0:
         state.reason = "g0 == 0"
         return state
@@ -150,7 +167,7 @@ def iterations(problem, w0=None, options: NewtonOptions | None = None, callback:
             state.reason = "p ~ 0"
             return state
 
-        candidate = problem.combine(state.w, 1.0, p, "weights")
+        candidate, = yield "combine", [(state.w, 1.0, p, "weights")]
         f_new, g_new = yield "value", candidate
         gained = state.f - f_new
         ratio = gained / predicted if predicted > 0 else -math.inf
@@ -159,7 +176,7 @@ def iterations(problem, w0=None, options: NewtonOptions | None = None, callback:
         if accepted:
             state.w, state.f, g = candidate, f_new, g_new
             problem.hold("weights", "gradient")
-            state.g_norm = math.sqrt(problem.dot(g, g))
+            state.g_norm = math.sqrt((yield "dots", [(g, g)])[0])
         state.iters += 1
         state.history.append({
             "iter": state.iters, "f": state.f, "g_norm": state.g_norm, "delta": state.delta,
@@ -167,6 +184,8 @@ def iterations(problem, w0=None, options: NewtonOptions | None = None, callback:
             "accepted": accepted, "t_sec": time.time() - start,
         })
         observed(callback, state.history[-1])
+        if accepted and keep is not None:
+            keep(state)
         if is_converged(state.g_norm, norm0, o):
             state.reason = "grad_tol"
             return state
@@ -175,8 +194,12 @@ def iterations(problem, w0=None, options: NewtonOptions | None = None, callback:
 
 def answered(problem, request: tuple):
     """What ``problem`` says to a request of ``iterations``."""
-    kind, *vectors = request
-    return problem.value_and_gradient(*vectors) if kind == "value" else problem.hessian_vector(*vectors)
+    kind, *what = request
+    if kind == "dots":
+        return [problem.dot(a, b) for a, b in what[0]]
+    if kind == "combine":
+        return [problem.combine(*one) for one in what[0]]
+    return problem.value_and_gradient(*what) if kind == "value" else problem.hessian_vector(*what)
 
 
 def minimize(
@@ -194,8 +217,9 @@ def minimize(
 def minimize_together(runs: list, answers: Callable[[list[tuple[int, tuple]]], list]) -> list[NewtonResult]:
     """Run several ``iterations`` in lockstep.
 
-    ``answers`` gets the pending requests of all unfinished runs, with their
-    places, and answers all of them, for instance from one pass over the data.
+    ``answers`` gets pending requests of unfinished runs, with their places, and
+    answers all of them, for instance from one pass over the data. Arithmetic comes
+    first, so that all runs wait for a pass when one is made.
     """
     results: list[NewtonResult | None] = [None] * len(runs)
     pending: list[tuple[int, tuple]] = []
@@ -209,7 +233,8 @@ def minimize_together(runs: list, answers: Callable[[list[tuple[int, tuple]]], l
     for i in range(len(runs)):
         advance(i, None)
     while pending:
-        asked, pending[:] = list(pending), []
+        asked = [p for p in pending if p[1][0] in ARITHMETIC] or list(pending)
+        pending[:] = [p for p in pending if not any(p is a for a in asked)]
         for (i, _), answer in zip(asked, answers(asked)):
             advance(i, answer)
     return results

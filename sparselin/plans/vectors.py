@@ -1,23 +1,28 @@
 """Vectors of feature length, and the fit problems that produce them.
 
 ``DenseProblem`` keeps vectors as arrays on the driver, for widths within the
-broadcast bound. ``TableProblem`` keeps them as written ``(j, x)`` tables, so a
-model of any width can be fitted without collecting it.
+broadcast bound. ``SlicedFits`` keeps those of many fits as tables of slices beside
+a grid of the examples, so models of any width can be fitted together without
+collecting one. ``TableProblem`` does so for one fit by joins of ``(j, x)`` tables.
 """
 
 from __future__ import annotations
 
+import weakref
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparselin.functions.losses import Loss
 from sparselin.operators import objective as obj
+from sparselin.operators import grid as G
 from sparselin.operators.matvec import hot_features, to_coo
-from sparselin.session import MAX_BROADCAST_ROWS, RotatingTable
+from sparselin.session import MAX_BROADCAST_ROWS, RotatingTable, delete, materialize, scratch_path
 from sparselin.sources import weights as W
 
 
@@ -67,6 +72,9 @@ class DenseProblem(_Dense):
     def to_table(self, w, spark) -> DataFrame:
         return W.from_array(spark, w)
 
+    def from_table(self, weights: DataFrame) -> np.ndarray:
+        return W.to_array(weights, self.n_features)
+
 
 def _keyed(rows: DataFrame, partitions: int | None) -> DataFrame:
     """The rows hash-partitioned by ``row_id`` and persisted.
@@ -107,6 +115,9 @@ class CooProblem(_Dense):
     def to_table(self, w, spark) -> DataFrame:
         return W.from_array(spark, w)
 
+    def from_table(self, weights: DataFrame) -> np.ndarray:
+        return W.to_array(weights, self.n_features)
+
 
 @dataclass
 class TableVector:
@@ -194,3 +205,140 @@ class TableProblem:
 
     def to_table(self, w: TableVector, spark) -> DataFrame:
         return w.df.withColumnRenamed("x", "w")
+
+    def from_table(self, weights: DataFrame) -> TableVector:
+        return self._keep("weights", weights.select("j", F.col("w").alias("x")))
+
+
+class Stored:
+    """A written table of slices, deleted when no vector in it is in use any more."""
+
+    def __init__(self, spark: SparkSession, df: DataFrame):
+        path = scratch_path(spark, "slices")
+        self.df = materialize(df, path)
+        weakref.finalize(self, delete, spark, path).atexit = False
+
+
+@dataclass(eq=False)
+class SlicedVector:
+    """The slices of a written table under one number; a missing slice is 0, and so is a vector without a table."""
+
+    stored: Stored | None = None
+    ask: int = 0
+    square: float = 0.0
+    largest: float = 0.0
+    # The vector whose inner product with this one came with it, and that product.
+    partner: SlicedVector | None = None
+    dot: float = 0.0
+
+
+class SlicedProblem:
+    """One of several fits on the same examples; ``SlicedFits`` answers what it asks for."""
+
+    def __init__(self, fits: SlicedFits, loss: Loss, C: float):
+        self.fits, self.loss, self.C, self.n_features = fits, loss, float(C), fits.n_features
+
+    def zeros(self) -> SlicedVector:
+        return SlicedVector()
+
+    def hold(self, *kinds: str) -> None:
+        """A vector stays as long as something refers to it."""
+
+    def largest(self, a: SlicedVector) -> float:
+        return a.largest
+
+    def to_table(self, w: SlicedVector, spark) -> DataFrame:
+        """``(j, w)``, written, so that it outlives the fit."""
+        found = G.unsliced(self.fits.slices([(w, 0, 1.0)]), self.fits.grid.span).select("j", "w")
+        return materialize(found, scratch_path(spark, "weights"))
+
+    def from_table(self, weights: DataFrame) -> SlicedVector:
+        terms = G.sliced(weights, self.fits.grid.span).select("ask", "span", F.lit(1.0).alias("scale"), "x", F.lit(False).alias("partner"))
+        return self.fits._keep(G.weighted_sums(terms), 1)[0][0]
+
+
+class SlicedFits:
+    """Fits in lockstep with all vectors in tables: a pass, and a step of arithmetic, serves every fit that waits for it."""
+
+    def __init__(self, rows: DataFrame, n_features: int, span: int | None = None, cell_bytes: int | None = None):
+        self.spark, self.n_features = rows.sparkSession, n_features
+        self.grid = G.Grid(obj.within(rows, n_features), n_features, span, cell_bytes)
+
+    def close(self) -> None:
+        self.grid.close()
+
+    def slices(self, wanted: Sequence[tuple[SlicedVector, int, float]], partner: bool = False) -> DataFrame:
+        """``TERMS`` of ``(vector, new number, scale)``; each table is read once."""
+        by_table: dict[int, tuple[Stored, list]] = {}
+        for vector, ask, scale in wanted:
+            if vector.stored is not None:
+                by_table.setdefault(id(vector.stored), (vector.stored, []))[1].append((vector.ask, ask, float(scale)))
+        # As many rows as vectors are asked for.
+        parts = [stored.df.where(F.col("span") != G.HEAD).join(
+            F.broadcast(self.spark.createDataFrame(names, "ask int, _to int, scale double")), "ask").select(
+            F.col("_to").alias("ask"), "span", "scale", "x") for stored, names in by_table.values()]
+        terms = reduce(DataFrame.unionAll, parts) if parts else self.spark.createDataFrame([], "ask int, span int, scale double, x binary")
+        return terms.withColumn("partner", F.lit(partner))
+
+    def _keep(self, sums: DataFrame, n: int) -> tuple[list[SlicedVector], list[float]]:
+        """The written sums as vectors, and their totals of span ``HEAD``; the figures are columns of their own beside the slices."""
+        stored = Stored(self.spark, sums)
+        head = F.col("span") == G.HEAD
+        # A row a vector. (An observation of the write would save this job, but a session that has made one can
+        # not run Spark ML models any more.)
+        rows = stored.df.groupBy("ask").agg(
+            *(F.sum(F.when(~head, F.col(c))).alias(c) for c in ("square", "dot")), F.max(F.when(~head, F.col("largest"))).alias("largest"),
+            F.sum(F.when(head, F.col("dot"))).alias("total")).collect()
+        found = {r["ask"]: {name: x or 0.0 for name, x in r.asDict().items()} for r in rows}
+        none = {"square": 0.0, "largest": 0.0, "dot": 0.0, "total": 0.0}
+        each = [found.get(k, none) for k in range(n)]
+        return [SlicedVector(stored, k, x["square"], x["largest"], None, x["dot"]) for k, x in enumerate(each)], [x["total"] for x in each]
+
+    def _combine(self, requests: list[list[tuple]]) -> list[list[SlicedVector]]:
+        each = [one for some in requests for one in some]
+        wanted = [x for k, (a, scale, b, _) in enumerate(each) for x in ((a, k, 1.0), (b, k, scale))]
+        made = iter(self._keep(G.weighted_sums(self.slices(wanted)), len(each))[0])
+        return [[next(made) for _ in some] for some in requests]
+
+    def _dots(self, requests: list[list[tuple]]) -> list[list[float]]:
+        def known(a, b):
+            if a is b:
+                return a.square
+            if not (a.stored and b.stored):
+                return 0.0
+            return a.dot if a.partner is b else b.dot if b.partner is a else None
+
+        apart = {(id(a), id(b)): (a, b) for pairs in requests for a, b in pairs if known(a, b) is None}
+        place, found = {pair: k for k, pair in enumerate(apart)}, {}
+        if apart:
+            sides = [self.slices([(pair[side], k, 1.0) for k, pair in enumerate(apart.values())]) for side in (0, 1)]
+            found = {r["ask"]: r["dot"] for r in G.inner_products(reduce(DataFrame.unionAll, sides).select("ask", "span", "x")).collect()}
+        return [[found.get(place[id(a), id(b)], 0.0) if (x := known(a, b)) is None else x for a, b in pairs] for pairs in requests]
+
+    def _pass(self, problems: list[SlicedProblem], requests: list[tuple]) -> list:
+        vectors = [(x, 2 * k + i, 1.0) for k, (_, *xs) in enumerate(requests) for i, x in enumerate(xs)]
+        # The penalty's part: w of a value, s of a product.
+        more = self.slices([(xs[-1], k, 1.0) for k, (_, *xs) in enumerate(requests)], partner=True)
+        sums = self.grid.sums(self.slices(vectors), [(p.loss, kind) for p, (kind, *_) in zip(problems, requests)], [p.C for p in problems], more)
+        found, totals = self._keep(sums, len(requests))
+        for x, (_, *xs) in zip(found, requests):
+            x.partner = xs[-1]
+        return [x if kind == "product" else (0.5 * w.square + p.C * total, x)
+                for x, total, p, (kind, w, *_) in zip(found, totals, problems, requests)]
+
+    def answers(self, asked: list[tuple[SlicedProblem, tuple]]) -> list:
+        """What ``newton.minimize_together`` asks: arithmetic, or passes."""
+        out: list = [None] * len(asked)
+
+        def put(kinds, answer) -> None:
+            places = [i for i, (_, request) in enumerate(asked) if request[0] in kinds]
+            if places:
+                for i, x in zip(places, answer([asked[i] for i in places])):
+                    out[i] = x
+
+        put(("combine",), lambda some: self._combine([request[1] for _, request in some]))
+        put(("dots",), lambda some: self._dots([request[1] for _, request in some]))
+        size = G.VECTORS // 2
+        put(("value", "product"), lambda some: [
+            x for i in range(0, len(some), size) for x in self._pass([p for p, _ in some[i:i + size]], [r for _, r in some[i:i + size]])])
+        return out

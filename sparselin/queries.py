@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparselin import oracle as O
@@ -18,15 +18,18 @@ from sparselin import sinks
 from sparselin.functions import rows as R
 from sparselin.functions import tags
 from sparselin.functions.losses import get_loss
-from sparselin.operators import curves, metrics, objective, split
+from sparselin.operators import curves, grid, metrics, objective, split
 from sparselin.operators import matvec as M
-from sparselin.plans import baseline, evaluate, fit, reports, sweep
+from sparselin.plans import baseline, compare, evaluate, fit, reports, sweep
 from sparselin.plans import stored as stored_runs
 from sparselin.schema import CONFIG, META, RUNS, STEP, SUMMARY
 from sparselin.session import materialize, scratch_path, spread
 from sparselin.sources import libsvm, runlogs, tables
 from sparselin.sources import weights as W
 
+# Features of a range in the queries of wide models: several ranges for the narrow test tables.
+SPAN = 16
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -251,7 +254,17 @@ def margin_partition(spark, sf):
 @query("margin_wide", f"with {O.LINES}, {O.PARSED}, {O.EVENT_MARGIN} "
        "select row_id, label, round(m, 6) + 0.0 as margin from scored")
 def margin_wide(spark, sf):
-    """The route of a weight table too wide to broadcast: hot features apart, the rest shuffled."""
+    """The route of weights too wide to broadcast: rows cut by feature ranges, to which slices of the weights are sent."""
+    rows = stored_event_rows(spark, sf)
+    width = libsvm.feature_width(rows)
+    scores = grid.wide_margins(rows, rule_weights(spark, width), width, span=SPAN)
+    return scores.select("row_id", "label", r6("margin", "margin"))
+
+
+@query("margin_joined", f"with {O.LINES}, {O.PARSED}, {O.EVENT_MARGIN} "
+       "select row_id, label, round(m, 6) + 0.0 as margin from scored")
+def margin_joined(spark, sf):
+    """The same by joins of entries and weights: hot features apart, the rest shuffled."""
     rows = stored_event_rows(spark, sf)
     width = libsvm.feature_width(rows)
     scores = M.margins(rows, rule_weights(spark, width), width, max_broadcast=0)
@@ -375,6 +388,23 @@ _MODEL_SCORES = (f"with {O.LINES}, {O.PARSED}, {O.EVENT_MARGIN}, {O.models(MODEL
                  "select run_id, row_id, label, round(m * scale, 6) + 0.0 as margin from scored, models")
 
 
+@query("objective_grid_wide", O.objective_grid_sql(MODEL_SCALES))
+def objective_grid_wide(spark, sf):
+    rows = embedding_rows(spark, sf)
+    width = libsvm.feature_width(rows)
+    return sweep.objective_grid(rows, model_table(spark, width), "lr", 1.0, width, max_dense=0, span=SPAN).select("run_id", r6("f", "f"))
+
+
+@query("model_counts", f"with {O.LINES}, {O.PARSED}, {O.EVENT_MARGIN}, {O.models(MODEL_SCALES)}, "
+       "rounded as (select run_id, label, round(m * scale, 6) + 0.0 as margin from scored, models) "
+       "select run_id, margin, (count(*) filter (label > 0))::bigint as pos, (count(*) filter (label <= 0))::bigint as neg from rounded group by 1, 2")
+def model_counts(spark, sf):
+    """Examples by margin of several models, counted in the tasks."""
+    rows = stored_event_rows(spark, sf)
+    w = W.to_array(rule_weights(spark, libsvm.feature_width(rows)))
+    return M.model_counts(rows, {f"run{s}": w * s for s in MODEL_SCALES}, digits=6).select("run_id", r6("margin", "margin"), "pos", "neg")
+
+
 @query("score_models", _MODEL_SCORES)
 def score_models(spark, sf):
     rows = stored_event_rows(spark, sf)
@@ -430,6 +460,22 @@ def tron_coo(spark, sf):
     return done.weights.select("j", (F.round("w", 5) + 0.0).alias("w"))
 
 
+@query("tron_grid", O.optimum_sql("lr"))
+def tron_grid(spark, sf):
+    """The same fit with rows cut by feature ranges and every vector in slices."""
+    done = fit.fit(embedding_rows(spark, sf), "lr", 1.0, TIGHT, strategy="grid", span=SPAN)
+    return done.weights.select("j", (F.round("w", 5) + 0.0).alias("w"))
+
+
+@query("tron_resumed", O.optimum_sql("lr"))
+def tron_resumed(spark, sf):
+    """A fit that is ended after two steps, and another one that goes on from what it stored."""
+    rows, place = embedding_rows(spark, sf), scratch_path(spark, "states")
+    fit.fit(rows, "lr", 1.0, TIGHT, max_iter=2, states=place)
+    done = fit.fit(rows, "lr", 1.0, TIGHT, states=place)
+    return done.weights.select("j", (F.round("w", 5) + 0.0).alias("w"))
+
+
 @query("tron_table", O.optimum_sql("lr"))
 def tron_table(spark, sf):
     """The same fit with every vector kept in a table."""
@@ -437,12 +483,18 @@ def tron_table(spark, sf):
     return done.weights.select("j", (F.round("w", 5) + 0.0).alias("w"))
 
 
-@query("tron_events")
+# Values of events run to hundreds: scaled, the optimum is found by a descent as well.
+EVENT_SCALE, EVENT_C, EVENT_STEPS = 100.0, 0.01, 400
+
+
+@query("tron_events", O.event_fit_sql(EVENT_SCALE, EVENT_C, EVENT_STEPS))
 def tron_events(spark, sf):
-    """Sparse text examples end to end: parse, add a bias, fit, evaluate."""
-    rows, width = libsvm.with_bias(stored_event_rows(spark, sf), 1.0)
-    done = fit.fit(rows, "lr", 1e-4, 1e-3, n_features=width, bias=1.0)
-    return evaluate.summarize(M.dense_margins(rows, done.w))
+    """Sparse text examples end to end: parse, scale, add a bias, fit, evaluate."""
+    rows = stored_event_rows(spark, sf).withColumn("values", F.transform("values", lambda v: v / EVENT_SCALE))
+    rows, width = libsvm.with_bias(rows, 1.0)
+    done = fit.fit(rows, "lr", EVENT_C, TIGHT, n_features=width, bias=1.0)
+    scored = evaluate.summarize(M.dense_margins(rows, done.w))
+    return scored.select("n", r6("accuracy", "accuracy"), F.round("auc", 5).alias("auc"), F.round(F.lit(done.result.f), 4).alias("f"))
 
 
 @query("sweep_report", O.sweep_sql())
@@ -456,17 +508,51 @@ def sweep_report(spark, sf):
         "run_id", "n", r6("accuracy", "accuracy"), r6("auc", "auc"), r6("best_score", "best_score"))
 
 
-@query("sweep_grid")
-def sweep_grid(spark, sf):
-    """The whole default grid: fitted on 64 %, thresholds from 16 %, tested on 20 % of the examples."""
+@query("sweep_wide", O.sweep_sql())
+def sweep_wide(spark, sf):
+    """The same beyond the broadcast bound: no model and no vector of a fit is ever whole on the driver or in a task."""
+    rows = embedding_rows(spark, sf)
+    done = sweep.sweep(rows, Cs=(0.1, 1.0), epss=(TIGHT,), reps=1, max_dense=0, span=SPAN)
+    found = sweep.thresholds(rows, done.models)
+    return sweep.report_on_test(rows, done.models, found).join(found, "run_id").select(
+        "run_id", "n", r6("accuracy", "accuracy"), r6("auc", "auc"), r6("best_score", "best_score"))
+
+
+def split_embeddings(spark, sf):
     rows = materialize(split.three_way_split(embedding_rows(spark, sf), "row_id"), scratch_path(spark, "parts"))
-    train, val, test = (rows.where(F.col("split") == s).drop("split") for s in ("train", "val", "test"))
-    done = sweep.sweep(train, n_features=libsvm.feature_width(rows))
+    return [rows.where(F.col("split") == s).drop("split") for s in ("train", "val", "test")]
+
+
+@query("sweep_split", O.split_sweep_sql())
+def sweep_split(spark, sf):
+    """A small grid fitted on 64 %, with thresholds from 16 % and tests on 20 % of the examples."""
+    train, val, test = split_embeddings(spark, sf)
+    done = sweep.sweep(train, Cs=(0.1, 1.0), epss=(TIGHT,), reps=1, n_features=64)
     found = sweep.thresholds(val, done.models)
     return sweep.report_on_test(test, done.models, found).join(found, "run_id").select(
         "run_id", "n", r6("accuracy", "accuracy"), r6("auc", "auc"), r6("best_score", "best_score"))
 
 
+@query("sweep_grid", O.converged_sql(sweep.SOLVERS, sweep.C_GRID, sweep.EPS_GRID, sweep.REPETITIONS))
+def sweep_grid(spark, sf):
+    """The whole default grid on the same parts: every fit starts at the loss of 0, gets better, and ends at its tolerance.
+
+    The gradients at the ends are computed anew, from the weights as a table.
+    """
+    train, val, test = split_embeddings(spark, sf)
+    done = sweep.sweep(train, n_features=libsvm.feature_width(train))
+    report = sweep.report_on_test(test, done.models, sweep.thresholds(val, done.models))
+    with objective.Blocks(train, done.fits[0].n_features) as blocks:
+        asked = [(get_loss(f.config["solver"]), "value", w) for f in done.fits for w in (f.w, 0 * f.w)]
+        sums = blocks.answers(asked)
+    facts = []
+    for f, (_, slope), (loss, slope0) in zip(done.fits, sums[::2], sums[1::2]):
+        C, eps = f.config["C"], f.config["eps"]
+        norm, norm0 = (float((x @ x) ** 0.5) for x in (f.w + C * slope, C * slope0))
+        facts.append((f.tag, round(C * loss, 6), norm <= eps * max(1.0, norm0) * (1 + 1e-6), f.result.f < f.result.f0))
+    return report.select("run_id", "n").join(spark.createDataFrame(facts, "run_id string, f0 double, converged boolean, better boolean"), "run_id")
+
+
 @query("mllib_lr", O.baseline_sql())
 def mllib_lr(spark, sf):
     rows = embedding_rows(spark, sf)
@@ -476,17 +562,38 @@ def mllib_lr(spark, sf):
     return f.select((F.round("f", 3) + 0.0).alias("f"))
 
 
-@query("mllib_linsvc")
+@query("mllib_linsvc", O.hinge_sql())
 def mllib_linsvc(spark, sf):
     rows = embedding_rows(spark, sf)
     ml = baseline.to_ml(rows, libsvm.feature_width(rows))
-    done = baseline.fit_linsvc(ml)
-    return evaluate.summarize(baseline.ml_scores(done.model, ml))
+    done = baseline.fit_linsvc(ml, tol=1e-12)
+    scores = materialize(baseline.ml_scores(done.model, ml), scratch_path(spark, "hinge-scores"))
+    inside = scores.agg((F.max(F.col("label") * F.col("margin")) < 1).alias("all_inside"))
+    return evaluate.summarize(scores).select("n", r6("accuracy", "accuracy"), r6("auc", "auc")).crossJoin(F.broadcast(inside))
 
 
-@query("mllib_curve")
+@query("mllib_curve", O.curve_sql(baseline.ITERATION_GRID))
 def mllib_curve(spark, sf):
-    return baseline.lr_curve(embedding_rows(spark, sf))
+    """Objectives by iteration limit: never worse with more iterations, and from 20 on those of the optimum."""
+    points = baseline.lr_curve(embedding_rows(spark, sf), tol=1e-12)
+    before = F.lag("f").over(Window.partitionBy(F.lit(0)).orderBy("max_iter"))
+    return points.select("max_iter", (F.coalesce(before, F.col("f")) >= F.col("f") - 1e-6).alias("decreasing"),
+                         F.when(F.col("max_iter") >= 20, F.round("f", 3) + F.lit(0.0)).alias("f"))
+
+
+@query("strategy_timings", O.strategies_timed_sql("lr"))
+def strategy_timings(spark, sf):
+    """Both strategies through one fit, timed, written and read back: the same objective in every iteration."""
+    path = scratch_path(spark, "strategies")
+    compare.time_strategies(embedding_rows(spark, sf), path, "lr", 1.0, TIGHT)
+    read = runlogs.read_timings(spark, path, one_per_file=False)
+    other = read.select(F.col("strategy").alias("_s"), "iter", F.col("f").alias("_f"), F.col("t_sec").alias("_t"))
+    both = read.join(other, "iter", "left").where(F.col("_s") != F.col("strategy"))
+    step = Window.partitionBy("strategy").orderBy("iter")
+    better = F.coalesce(F.lag("f").over(step) >= F.col("f") - 1e-9, F.lit(True))
+    return both.withColumn("better", better).groupBy("strategy").agg(
+        (F.round(F.max_by("f", "iter"), 5) + F.lit(0.0)).alias("f"), F.every("better").alias("decreasing"),
+        F.every(F.abs(F.col("f") - F.col("_f")) <= 1e-9 * F.abs("f")).alias("agrees"))
 
 
 @query("ml_vectors", f"with {O.DOCUMENTS} select row_id, label, j, round(v, 6) + 0.0 as v from doc_coo")
@@ -581,6 +688,18 @@ def three_way_split(spark, sf):
     return split.three_way_split(tables.table(spark, sf, "orders"), "o_orderkey").select("o_orderkey", "split")
 
 
+_LINE_SPLIT = """counted as (select l_orderkey as k, count(*) as n, md5(concat(l_orderkey, ':', 42)) as h from lineitem group by 1),
+upto as (select *, sum(n) over (order by h, k) as upto, floor(0.8::double * (sum(n) over ())) as cut from counted)
+select k as l_orderkey, greatest(least(cut - (upto - n), n), 0)::bigint as n_train, n as n_all from upto"""
+
+
+@query("split_repeated_keys", f"with {_LINE_SPLIT}")
+def split_repeated_keys(spark, sf):
+    """An exact split of lines by a key that several lines share: how many of each key's lines come first."""
+    done = split.exact_split(tables.table(spark, sf, "lineitem"), "l_orderkey", 0.8, 42)
+    return done.groupBy("l_orderkey").agg(F.count_if(F.col("split") == "train").alias("n_train"), F.count("*").alias("n_all"))
+
+
 @query("seeded_order", "select o_orderkey, md5(concat(o_orderkey, ':', 42)) as position from orders")
 def seeded_order(spark, sf):
     orders = tables.table(spark, sf, "orders")
@@ -731,6 +850,34 @@ def row_ids(spark, sf):
         F.sum("k").alias("n"), F.count("*").alias("n_ids"), F.min("row_id").alias("first_id"), F.max("row_id").alias("last_id"))
 
 
+@query("row_ids_by_file", f"with {O.LINES} select row_number() over (order by row_id) - 1 as row_id, value from lines")
+def row_ids_by_file(spark, sf):
+    """Line numbers over several files that are read in small pieces: those of the lines in the order of the paths."""
+    path = scratch_path(spark, "ordered-lines")
+    lines = tables.event_lines(events(spark, sf))
+    lines.repartitionByRange(5, "row_id").sortWithinPartitions("row_id").select("value").write.text(path)
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    try:
+        return materialize(libsvm.numbered_lines(spark, path).select("row_id", "value"), scratch_path(spark, "numbered"))
+    finally:
+        spark.conf.set(key, before)
+
+
+@query("run_order", "select row_number() over (order by cast(user_id as varchar)) - 1 as position, cast(user_id as varchar) as name "
+       "from (select distinct user_id from events)")
+def run_order(spark, sf):
+    """Runs of many folders by their paths."""
+    path = scratch_path(spark, "many-runs")
+    runs = events(spark, sf).select(F.col("user_id").cast("string").alias("user")).distinct().select(
+        "user", F.lit(None).cast("string").alias("tag"), *(F.lit(None).cast(RUNS[n].dataType).alias(n) for n in RUNS.names if n != "meta"),
+        _record(META, {"mode": F.lit("test")}).alias("meta"))
+    runs.write.partitionBy("user").json(path)
+    read = runlogs.in_path_order(runlogs.read_runs(spark, path, one_per_file=False))
+    return read.select("position", F.regexp_extract("dir", "user=([^/]*)", 1).alias("name"))
+
+
 @query("weights_roundtrip", O.weights_roundtrip_sql(MODEL_SCALES))
 def weights_roundtrip(spark, sf):
     path = scratch_path(spark, "weights")

@@ -8,6 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 # Widest dense weight vector sent to every task: 2**24 doubles are 128 MiB.
@@ -78,6 +79,25 @@ def materialize(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """``df`` persisted and filled.
+
+    The layout of a cache is known to the plans that read it once its own plan is final; before that they
+    exchange what lies right already.
+    """
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    kept.count()
+    return kept
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing reads any more; a session that has ended leaves it to the cluster's policy."""
+    if spark.sparkContext._jsc is None:
+        return
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 class RotatingTable:
     """Successive versions of one table in three folders.
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from sparselin.functions import rows as R
 from sparselin.functions import text as X
-from sparselin.session import materialize, scratch_path
+from sparselin.operators.prefix import running_totals
+from sparselin.session import is_small, materialize, scratch_path
 
 DIALECTS = ("libsvm", "svmlight")
 
@@ -44,6 +45,23 @@ def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     )
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(value, row_id)``: lines of a file or folder with their numbers from 0, files in the order of their paths.
+
+    However files are split and packed into partitions, a line's number is that of its block's first line, found from the
+    line counts of all blocks, and its place in the block. Lines stay where the scan puts them.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start")).withColumn(
+        "_m", F.monotonically_increasing_id())
+    # A row a block. Within a block the ids ascend by one, since a task reads it in one go.
+    blocks = lines.groupBy("_path", "_start").agg(F.count("*").alias("_n"), F.min("_m").alias("_first"))
+    placed = running_totals(blocks.withColumn("_at", F.struct("_path", "_start")), "_at", {"_upto": "_n"})
+    offsets = placed.select("_path", "_start", (F.col("_upto") - F.col("_n") - F.col("_first")).alias("_offset"))
+    offsets = F.broadcast(offsets) if is_small(offsets) else offsets
+    return lines.join(offsets, ["_path", "_start"]).select("value", (F.col("_m") + F.col("_offset")).alias("row_id"))
+
+
 def parse(lines: DataFrame, dialect: str = "libsvm", value: str = "value", row_id: str | None = "row_id") -> DataFrame:
     """Parse a text column into ROWS; unusable lines are dropped.
 
@@ -114,13 +132,16 @@ def read_libsvm(
     dialect: str = "libsvm",
     store: bool = True,
 ) -> tuple[DataFrame, int]:
-    """Read a file or folder: ROWS and the total number of features.
+    """Read a file or folder: ROWS and the total number of features. Row ids are line numbers, files in the order of their paths.
 
     The parsed rows are written once to the shared folder, since finding the
     width and every later pass would parse the text again; ``store=False`` leaves
     them unwritten for a single pass over a known width.
     """
-    rows = parse(with_row_id(read_lines(spark, path, partitions)), dialect)
+    lines = numbered_lines(spark, path)
+    if partitions and lines.rdd.getNumPartitions() < partitions:
+        lines = lines.repartition(partitions)
+    rows = parse(lines, dialect)
     if store:
         rows = materialize(rows, scratch_path(spark, "rows"))
         if n_features is not None:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparselin.functions import tags
+from sparselin.operators.prefix import running_totals
 from sparselin.schema import RUNS, THRESHOLD, TIMINGS
 
 # Unreadable documents become null records, and NaN may be spelled out.
@@ -27,6 +28,13 @@ def read_runs(spark: SparkSession, pattern: str, one_per_file: bool = True) -> D
     return named.select("path", tags.run_folder(F.col("path")).alias("dir"), tag.alias("tag"), *RUNS.names)
 
 
+def in_path_order(runs: DataFrame, name: str = "position") -> DataFrame:
+    """The runs with their places from 0 by path, those of one path by tag; equal ones share the last place."""
+    places = runs.groupBy("path", "tag").agg(F.count("*").alias("_n")).withColumn("_at", F.struct("path", "tag"))
+    upto = running_totals(places, "_at", {"_upto": "_n"}).select("path", "tag", (F.col("_upto") - 1).alias(name))
+    return runs.join(upto, ["path", "tag"])
+
+
 def run_solver(runs: DataFrame) -> DataFrame:
     return runs.withColumn("solver", tags.solver_name(F.col("config.solver"), F.col("tag")))
 

@@ -293,3 +293,34 @@ def test_sweep_in_lockstep(random_rows, monkeypatch, bound):
     if bound > 200:
         slowest = max(1 + sum(1 + row["cg"] for row in f.result.history) for f in singles.values())
         assert len(rounds) <= slowest + 1 and max(rounds) == 8
+
+
+@pytest.mark.parametrize("strategy", ["partition", "grid", "coo"])
+def test_a_fit_goes_on_after_its_driver(spark, embeddings, random_rows, strategy):
+    """Stopped after two steps and resumed, a fit has the history and the model of one that ran through."""
+    rows, solver = (embeddings, "l2svm") if strategy == "partition" else (random_rows[0], "lr")
+    eps, stop = (1e-4, 2) if strategy == "partition" else (1e-2, 1)
+    place = scratch_path(spark, "states")
+    whole = fit.fit(rows, solver, 1.0, eps, strategy=strategy, span=16)
+    first = fit.fit(rows, solver, 1.0, eps, strategy=strategy, span=16, max_iter=stop, states=place)
+    assert first.result.iters == stop and first.result.reason == "max_iter" and whole.result.iters > stop
+    again = fit.fit(rows, solver, 1.0, eps, strategy=strategy, span=16, states=place)
+    assert [{k: v for k, v in h.items() if k != "t_sec"} for h in again.result.history] == [
+        {k: pytest.approx(v, rel=1e-9) if isinstance(v, float) else v for k, v in h.items() if k != "t_sec"} for h in whole.result.history]
+    times = [h["t_sec"] for h in again.result.history]
+    assert times == sorted(times) and again.result.reason == whole.result.reason == "grad_tol"
+    w = {r["j"]: r["w"] for r in whole.weights.collect()}
+    assert {r["j"]: r["w"] for r in again.weights.collect()} == pytest.approx(w, abs=1e-9)
+    # Finished, it has nothing left to do; and the place is that of this fit only.
+    assert fit.fit(rows, solver, 1.0, eps, strategy=strategy, span=16, states=place).result.iters == whole.result.iters
+    with pytest.raises(ValueError, match="another fit"):
+        fit.fit(rows, solver, 2.0, eps, strategy=strategy, span=16, states=place)
+
+
+def test_an_incomplete_state_is_left_out(spark, embeddings):
+    from sparselin.plans import states
+    place = scratch_path(spark, "states")
+    fit.fit(embeddings, "lr", 1.0, 1e-4, max_iter=2, states=place)
+    weights.from_array(spark, np.ones(3)).write.parquet(f"{place}/step-000009/weights")
+    assert [r["iters"] for r in states.read_states(spark, place).orderBy("iters").collect()] == [1, 2]
+    assert fit.fit(embeddings, "lr", 1.0, 1e-4, states=place).result.reason == "grad_tol"

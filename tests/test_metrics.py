@@ -108,15 +108,15 @@ def test_confusion_and_decision(spark):
         metrics.best_threshold(s, "mcc")
 
 
-@pytest.mark.parametrize("buckets", [16, 64])
-def test_running_totals(spark, buckets):
-    """A key with most of the records is spread over the buckets."""
-    rng = random.Random(buckets)
+@pytest.mark.parametrize("rows", [1 << 20, 200, 40, 7])
+def test_running_totals(spark, rows):
+    """A key with most of the records is spread over the ranges; with few rows in each their own totals need ranges."""
+    rng = random.Random(rows)
     data = []
     for key, n in (("big", 3000), ("small", 40), ("one", 1)):
         data += [(key, o, rng.randrange(9)) for o in rng.sample(range(-10**6, 10**6), n)]
     df = spark.createDataFrame(data, "k string, o bigint, v bigint").repartition(6)
-    got = prefix.running_totals(df, "o", {"upto": "v"}, ["k"], {"all": "v"}, buckets).collect()
+    got = prefix.running_totals(df, "o", {"upto": "v"}, ["k"], {"all": "v"}, rows).collect()
     assert len(got) == len(data)
     for key in ("big", "small", "one"):
         total, expected = 0, {}
@@ -127,6 +127,28 @@ def test_running_totals(spark, buckets):
         assert mine == {o: (t, total) for o, t in expected.items()}
 
 
+def test_ranges_follow_the_records(spark, monkeypatch):
+    """Whatever the session's partitions, a range has a bounded number of records."""
+    df = spark.range(100_000).select((F.col("id") * 7919 % 100_003).cast("double").alias("o"), F.lit(1).alias("v"))
+    sizes, bucketed = [], prefix.bucketed
+    def counted(*args):
+        found = bucketed(*args)
+        sizes.extend(r["count"] for r in found.groupBy("_bucket").count().collect())
+        return found
+    monkeypatch.setattr(prefix, "bucketed", counted)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for partitions in (3, 200):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        try:
+            done = prefix.running_totals(df, "o", {"upto": "v"}, range_rows=1000)
+            row = done.agg(F.count("*"), F.max("upto"), F.sum("upto")).first()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+        assert tuple(row) == (100_000, 100_000, 100_000 * 100_001 // 2)
+        assert sum(sizes) == 100_000 and max(sizes) < 4000
+        sizes.clear()
+
+
 def test_running_totals_fill_the_buckets(spark):
     """However many buckets there are, none holds much more than its share of the distinct values."""
     df = spark.range(200_000).select((F.col("id") * F.col("id")).cast("double").alias("o"), (F.col("id") % 3 == 0).alias("k"))
@@ -184,6 +206,25 @@ def test_split_refines_its_prefix(spark, monkeypatch, ranked):
     assert len(want) == 1290
 
 
+@pytest.mark.parametrize("ranked", [1 << 20, 5])
+def test_repeated_and_missing_keys_split_exactly(spark, monkeypatch, ranked):
+    """Wherever the cut falls among the copies of a key, the parts have their sizes and whole keys stay together."""
+    monkeypatch.setattr(split, "RANKED", ranked)
+    keys = [None] * 300 + [7] * 250 + list(range(100)) + [50] * 40
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k bigint, i bigint").repartition(6, "i")
+    path = df.sparkSession.conf.get("spark.checkpoint.dir") + f"/copies-{ranked}"
+    df.write.mode("overwrite").parquet(path)
+    df = spark.read.parquet(path)
+    order = [r["k"] for r in split.seeded_order(df, "k", 3).collect()]
+    for ratio in (0.0, 0.1, 0.33, 0.5, 0.77, 0.9, 1.0):
+        rows = split.exact_split(df, "k", ratio, 3).collect()
+        assert sorted(r["i"] for r in rows) == list(range(690))
+        train = [r["k"] for r in rows if r["split"] == "train"]
+        assert sorted(train, key=str) == sorted(order[:int(ratio * 690)], key=str)
+    parts = split.three_way_split(df, "k").groupBy("split").count().collect()
+    assert {r["split"]: r["count"] for r in parts} == {"train": 441, "val": 111, "test": 138}
+
+
 def test_three_way_split(spark):
     done = split.three_way_split(spark.range(1000), "id").groupBy("split").count().collect()
     assert {r["split"]: r["count"] for r in done} == {"train": 640, "val": 160, "test": 200}

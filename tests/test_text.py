@@ -126,3 +126,23 @@ def test_densify_and_inline_dot(micro):
     assert got[0] == ([0.5, 0.0, 2.0], 0.65) and got[7] == ([0.0, 0.0, 0.0], 0.0)
     with pytest.raises(ValueError):
         R.inline_dot(F.col("indices"), F.col("values"), [0.0] * 5000)
+
+
+@pytest.mark.parametrize("size", [1 << 20, 100, 9])
+def test_row_ids_are_line_numbers_in_path_order(spark, tmp_path, size):
+    """Also where large files come first in a scan, and where a partition reads pieces of several files."""
+    lines = []
+    for name, n in (("a", 3), ("b/c", 400), ("b-d", 0), ("z", 37), ("m", 1)):
+        path = tmp_path / f"{name}.txt"
+        path.parent.mkdir(exist_ok=True)
+        mine = [f"{name} {i} " + "x" * (i % 11) for i in range(n)]
+        path.write_text("".join(x + "\n" for x in mine))
+        lines.append((f"{path}", mine))
+    want = [x for _, mine in sorted(lines) for x in mine]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        got = libsvm.numbered_lines(spark, str(tmp_path) + "/{*.txt,b/*.txt}").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {r["row_id"]: r["value"] for r in got} == dict(enumerate(want)) and len(got) == len(want)
