@@ -197,15 +197,18 @@ class Grid:
         limit = cell_bytes or CELL_BYTES
         # One row a range that has entries; a range is dealt to so many cells.
         self.cells = materialize(sizes.select("span", "size", F.ceil(F.col("size") / limit).cast("int").alias("salts")), scratch_path(spark, "grid-cells"))
-        total = self.cells.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (4 * limit)))
+        found = self.cells.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.coalesce(F.sum("salts"), F.lit(0)).alias("cells")).first()
+        n_blocks = self._written.where(F.col("span") == HEAD).count()
+        # Some cells a partition, but no more partitions than there are cells, or blocks.
+        most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-found["size"] // (4 * limit)))
+        n, n_by_block = max(1, min(most, found["cells"])), max(1, min(most, n_blocks))
         salted = self._written.where(F.col("span") >= 0).join(self.cells.select("span", "salts"), "span").withColumn(
             "salt", F.pmod(F.xxhash64("block"), F.col("salts")).cast("int"))
         columns = ["span", "salt", "block", "rows", "owner", "j", "v"]
         self.pieces = keep(salted.select(*columns).repartition(n, "span", "salt").sortWithinPartitions("span", "salt"))
         heads = self._written.where(F.col("span") == HEAD).select("block", F.lit(HEAD).alias("span"), F.lit(0).alias("salt"), "rows", "v")
         links = salted.select("block", "span", "salt", "rows", F.lit(None).cast("binary").alias("v"))
-        self.blocks = keep(heads.unionAll(links).repartition(n, "block").sortWithinPartitions("block"))
+        self.blocks = keep(heads.unionAll(links).repartition(n_by_block, "block").sortWithinPartitions("block"))
 
         # Results are lazy, so the caches go with the grid; what still reads them cuts from the written pieces again.
         weakref.finalize(self, _forget, spark, self.pieces, self.blocks).atexit = False
