@@ -9,6 +9,8 @@ from __spark_entry__ import entry, oracle_sql, queries
 
 duckdb = pytest.importorskip("duckdb")
 SF = "/root/testdata/sf0.001"
+# Minutes of small jobs; test_grid holds the same code against dense fits on smaller input.
+LONG = {"tron_grid", "sweep_wide"}
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +27,7 @@ def comparable(row):
     return tuple(one(v) for v in row)
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(set(oracle_sql()) - LONG))
 def test_query_equals_sql(spark, connection, name):
     df = queries()[name](spark, SF)
     columns = sorted(df.columns)
