@@ -865,6 +865,20 @@ def row_ids_by_file(spark, sf):
         spark.conf.set(key, before)
 
 
+def _write_folders(df, folder, path):
+    """A folder of JSON lines for each value of a column.
+
+    Making a folder takes far longer than its few bytes tell, so the number of tasks is given: by size alone, Spark
+    would leave them all to one, as it would if rows that lie by the column already were dealt by it again. A task
+    also moves its own folders to their place, not the driver all of them.
+    """
+    spark = df.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = df.repartition(tasks, F.xxhash64(folder))
+    writer = dealt.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    writer.partitionBy(folder).json(path)
+
+
 @query("run_order", "select row_number() over (order by cast(user_id as varchar)) - 1 as position, cast(user_id as varchar) as name "
        "from (select distinct user_id from events)")
 def run_order(spark, sf):
@@ -873,7 +887,7 @@ def run_order(spark, sf):
     runs = events(spark, sf).select(F.col("user_id").cast("string").alias("user")).distinct().select(
         "user", F.lit(None).cast("string").alias("tag"), *(F.lit(None).cast(RUNS[n].dataType).alias(n) for n in RUNS.names if n != "meta"),
         _record(META, {"mode": F.lit("test")}).alias("meta"))
-    runs.write.partitionBy("user").json(path)
+    _write_folders(runs, "user", path)
     read = runlogs.in_path_order(runlogs.read_runs(spark, path, one_per_file=False))
     return read.select("position", F.regexp_extract("dir", "user=([^/]*)", 1).alias("name"))
 

@@ -6,7 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from sparselin import sinks
+from sparselin import queries, sinks
 from sparselin.functions import gaps, tags
 from sparselin.operators import curves
 from sparselin.plans import reports
@@ -178,3 +178,12 @@ def test_convergence_leaves_out_runs_without_times(spark):
     kept = {(r["run_id"], r["solver"]) for r in reports.convergence(history, solvers).collect()}
     assert kept == {("a", "lr"), ("d", "l2svm")}
     assert {r["run_id"] for r in reports.convergence(history, solvers, ["lr"]).collect()} == {"a"}
+
+
+def test_run_folders_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "scratch_path", lambda _, name: str(tmp_path / name))
+    read = queries.run_order(spark, "/root/testdata/sf0.001").collect()
+    files = list((tmp_path / "many-runs").glob("user=*/part-*.json"))
+    # A file in each folder, and not all from one task.
+    assert len(files) == len({f.parent for f in files}) == len(read)
+    assert len({f.name[:10] for f in files}) > 1
