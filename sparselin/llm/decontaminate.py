@@ -45,6 +45,8 @@ BLOCK_WORDS = 1 << 20
 TABLE_BITS = 18
 # Candidates whose words are compared at once.
 CHECKED = 1 << 14
+# Bytes of text whose walks a task holds at once.
+SLICE = 1 << 20
 MATCHES = "item_id long, start long, distance int, item_words int"
 
 
@@ -298,7 +300,7 @@ def find(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, recall: floa
                 [part.column(0).take(pa.array(owner, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds))],
                 names=["doc_id", "item_id", "start", "distance", "item_words"])
 
-        one = map_batches(docs.select("doc_id", "text"), task, f"doc_id long, {MATCHES}")
+        one = map_batches(docs.select("doc_id", "text"), task, f"doc_id long, {MATCHES}", SLICE)
         out = one if out is None else out.unionAll(one)
     return out
 
@@ -313,5 +315,5 @@ def remove(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, recall: fl
             clean[[m[0] for m in matches(words_of(part.column(at), BARE), items, rate)]] = False
             yield part.filter(pa.array(clean))
 
-        docs = map_batches(docs, task, schema)
+        docs = map_batches(docs, task, schema, SLICE)
     return docs

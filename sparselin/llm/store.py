@@ -33,6 +33,8 @@ def map_batches(df: DataFrame, task: Callable[[pa.RecordBatch], Iterator[pa.Reco
         for batch in batches:
             for part in slices(batch, slice_bytes):
                 yield from task(part.rename_columns(names))
+        # The last batch would stay with the worker as well.
+        batch = part = None
         give_back()
 
     # Spark looks columns up by name here, and would take a dot in it for a path.

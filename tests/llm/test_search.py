@@ -344,3 +344,28 @@ def test_bounded_sample_is_the_least_hashes(spark):
     for bound in (10, 700, 6000):
         want = {r["k"] for r in df.orderBy(F.xxhash64("k")).limit(bound).collect()}
         assert {r["k"] for r in bounded_sample(df, ["k"], bound).collect()} == want
+
+
+def test_decontamination_holds_walks_of_little_text_at_once(spark, monkeypatch):
+    import tracemalloc
+
+    from sparselin.llm.store import slices
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    texts = [" ".join(rng.choices(vocabulary, k=1500)) for _ in range(480)]
+    items = spark.createDataFrame([(1, " ".join(rng.choices(vocabulary, k=60))), (2, texts[7][:300])], "item_id long, text string")
+    asked = []
+    monkeypatch.setattr(decontaminate, "map_batches", lambda df, task, schema, size=1 << 22: asked.append((task, size)) or df)
+    docs = spark.createDataFrame([(0, "")], "doc_id long, text string")
+    decontaminate.remove(docs, items)
+    decontaminate.find(docs, items)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    assert batch.nbytes > 3 << 20
+    for task, size in asked:
+        parts = list(slices(batch, size))
+        tracemalloc.start()
+        done = [b for part in parts for b in task(part)]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 24 << 20
+        assert sum(b.num_rows for b in done) in (1, len(texts) - 1)
