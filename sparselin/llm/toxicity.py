@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparselin.llm.ngrams import distinct, features, logistic
-from sparselin.llm.store import Scratch, bounded_sample, extended, map_batches, named, others, slices, text_column
+from sparselin.llm.store import Scratch, bounded_sample, extended, give_back, map_batches, named, others, slices, text_column
 from sparselin.plans.fit import fit as fit_linear
 from sparselin.session import ship_package
 
@@ -71,11 +71,14 @@ def count_features(rows: DataFrame) -> DataFrame:
                 owner, feature = distinct(*features(part.column(0).to_pylist(), ORDERS, BITS), BITS)
                 for k in range(2):
                     counts[k] += np.bincount(feature[toxic[owner] == k], minlength=1 << BITS)
+        batch = part = owner = feature = None
         found = np.flatnonzero(counts.any(axis=0))
         for at in range(0, len(found), 1 << 16):
             some = found[at:at + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[1, some]), pa.array(counts[0, some])],
                                              names=["feature", "toxic", "other"])
+        counts = found = some = None
+        give_back()
 
     ship_package(rows.sparkSession)
     partial = rows.select("text", "toxic").mapInArrow(count, "feature long, toxic long, other long")
@@ -132,9 +135,11 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> Model:
     chosen = passing.select("feature", "ratio").orderBy("feature").collect()
     feature = np.array([r["feature"] for r in chosen], np.int64)
     ratios = np.array([r["ratio"] for r in chosen], np.float64)
-    fitted = fit_linear(scaled_rows(rows, feature, ratios), "lr", C=1.0, eps=1e-3, strategy="partition",
+    # Written, so that no task needs a Python worker for these rows and another one to pack them.
+    scaled = scratch.table(scaled_rows(rows, feature, ratios), "scaled")
+    fitted = fit_linear(scaled, "lr", C=1.0, eps=1e-3, strategy="partition",
                         n_features=len(feature) + 1)
-    scratch.drop("train", "features")
+    scratch.drop("train", "features", "scaled")
     return Model(feature, fitted.w[:-1] * ratios, float(fitted.w[-1]))
 
 

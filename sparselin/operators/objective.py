@@ -206,6 +206,7 @@ class Blocks:
         self.spark = rows.sparkSession
         packed = map_in_arrow(within(rows, n_features).select("label", "indices", "values"), kernels.pack, kernels.BLOCK_SCHEMA)
         self.blocks = packed.persist(storage)
+        self._filled = False
         cores = 2 * self.spark.sparkContext.defaultParallelism
         self._tasks = max(1, cores)
         flexible = self.spark.sparkContext.getConf().get("spark.dynamicAllocation.enabled", "false") == "true"
@@ -226,7 +227,9 @@ class Blocks:
 
     def _figures(self) -> dict:
         size = F.length("labels") + F.length("offsets") + F.length("indices") + F.length("vals")
-        return self.blocks.agg(F.max("top").alias("top"), F.coalesce(F.sum(size.cast("long")), F.lit(0)).alias("size")).first().asDict()
+        found = self.blocks.agg(F.max("top").alias("top"), F.coalesce(F.sum(size.cast("long")), F.lit(0)).alias("size")).first().asDict()
+        self._filled = True
+        return found
 
     def __enter__(self) -> Blocks:
         return self
@@ -239,6 +242,10 @@ class Blocks:
 
     def slices(self, task) -> DataFrame:
         """What ``task`` gives for the packed blocks: a record for each task and range."""
+        # A first pass that also packs would keep a Python worker for either beside that of the rows, and workers live on.
+        if not self._filled:
+            self.blocks.count()
+            self._filled = True
         return map_in_arrow(self.blocks.drop("top").coalesce(self._tasks), task, kernels.SLICES)
 
     def _sums(self, add, sent, length: int) -> np.ndarray:

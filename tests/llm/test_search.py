@@ -369,3 +369,14 @@ def test_decontamination_holds_walks_of_little_text_at_once(spark, monkeypatch):
         tracemalloc.stop()
         assert peak < 24 << 20
         assert sum(b.num_rows for b in done) in (1, len(texts) - 1)
+
+
+def test_toxicity_fit_reads_written_rows(spark, prose, monkeypatch):
+    """Rows that a Python worker makes while another packs them keep twice the workers, with their memory."""
+    given, fit = [], toxicity.fit_linear
+    monkeypatch.setattr(toxicity, "fit_linear", lambda rows, *a, **k: (given.append(rows), fit(rows, *a, **k))[1])
+    rows = toxic_rows(prose, 100)
+    toxicity.train(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"),
+                   spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int"))
+    plan = given[0]._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "parquet" in plan.lower()

@@ -264,3 +264,12 @@ def test_row_local_sums_exchange_features_only(spark, random_rows, solver):
     assert near.first()["f"] == pytest.approx(far.first()["f"])
     with pytest.raises(ValueError):
         obj.objective(rows, v, solver, 0.7, 30, strategy="other")
+
+
+def test_blocks_are_packed_before_the_first_pass(random_rows):
+    """No pass runs beside the packing: each holds a Python worker, and workers live on."""
+    rows, *_ = random_rows
+    with obj.Blocks(rows, 30) as b:
+        b.slices(lambda batches: iter(()))
+        leaves = b.blocks._jdf.queryExecution().withCachedData().collectLeaves()
+        assert leaves.apply(0).cacheBuilder().isCachedColumnBuffersLoaded()
