@@ -16,9 +16,12 @@ still shares a piece with each of its links, since an untouched piece is as ligh
 Equal sets are one class, found by a 128-bit fingerprint, whose smallest id goes on. Links are then found without
 listing the pairs of a piece: all classes of a piece are first compared with its smallest and its largest id, by
 sketches, then by full sets; that settles pieces of up to three classes. Pieces whose other classes are then of
-several components make families, which meet by scheme in blocks of ``BLOCK`` classes with their sketches only. A meeting
+several components are open, and the open pieces of one smallest id are a star. Stars that share classes are a family, which
+meets whole, by scheme, if that compares fewer pairs than its stars do by themselves. In a large table pieces shared by
+chance tie most open classes to one family, while a star has no more than the classes that share a piece with one.
+They meet in blocks of ``BLOCK`` classes with their sketches only. A meeting
 compares those outside the largest component with the others, and proposes for each class and foreign component the
-closest pair that the sketches allow. Proposals are confirmed on full sets. Families with a refuted proposal meet
+closest pair that the sketches allow. Proposals are confirmed on full sets. Where a proposal is refuted, the classes meet
 again, with more proposals each time, until none is refuted: then every pair that shares a piece is linked, refuted,
 or joined by others, and the components are those of all links. Texts are read again for proposed pairs only.
 
@@ -38,15 +41,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparselin.llm.components import components
-from sparselin.llm.near_dup import confirmed, grouped, shingle_sets
+from sparselin.llm.near_dup import confirmed, shingle_sets
 from sparselin.llm.store import Scratch, map_batches, partitions
-from sparselin.llm.words import U64, join, mix
+from sparselin.llm.words import U64, join, mix, spread_runs
 from sparselin.session import is_small, ship_package
 
 # Bits of a sketch for each shingle of the largest set it serves, about: between this and twice as many.
 BITS = 4
 # Classes of a block.
 BLOCK = 4096
+# Meetings of at most so many rows are looked through together for pairs that the sketches allow.
+ALONE = 64
 # Proposals a class makes to a foreign component grow by this from round to round.
 MORE = 16
 SIGNED = "doc_id long, n_shingles long, f long, g long, sketch binary, keys array<bigint>"
@@ -204,18 +209,60 @@ def allowed(pairs: DataFrame, standing: DataFrame, percent: int) -> DataFrame:
     return map_batches(met.select("a", "b", "sa", "sb", "na", "nb"), task, "a long, b long")
 
 
+def whole_groups(batches, keys: list[str]):
+    """Tables of whole groups of rows with equal keys and the bounds of the groups, from batches sorted by the keys."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        values = np.stack([table.column(c).to_numpy() for c in keys])
+        edges = np.concatenate([[0], np.flatnonzero((values[:, 1:] != values[:, :-1]).any(axis=0)) + 1])
+        last = int(edges[-1])
+        if last:
+            yield table.slice(0, last), edges
+        held = table.slice(last)
+    if held is not None and len(held):
+        yield held, np.array([0, len(held)])
+
+
+def promising(table: pa.Table, bounds: np.ndarray, percent: int) -> np.ndarray:
+    """Which meetings ``bounds[k]:bounds[k + 1]`` have a pair that the sketches allow, or more than ``ALONE`` rows."""
+    names, asks, sizes = (table.column(c).to_numpy() for c in ("component", "asks", "n_shingles"))
+    sketches = table.column("sketch").to_pylist()
+    length = np.fromiter(map(len, sketches), np.int64, len(sketches))
+    rows = np.diff(bounds)
+    out = rows > ALONE
+    meeting = np.repeat(np.arange(len(rows)), rows)
+    asking = np.flatnonzero((asks > 0) & ~out[meeting])
+    one, other = np.repeat(asking, rows[meeting[asking]]), spread_runs(bounds[meeting[asking]], rows[meeting[asking]])
+    fits = (asks[other] != 1) & (names[one] != names[other]) & ((asks[other] == 0) | (one < other))
+    fits &= 100 * np.minimum(sizes[one], sizes[other]) >= percent * np.maximum(sizes[one], sizes[other])
+    one, other = one[fits], other[fits]
+    width = np.minimum(length[one], length[other])
+    for w in np.unique(width).tolist():
+        a, b = one[width == w], other[width == w]
+        used = np.unique(np.concatenate([a, b]))
+        bits = folded([sketches[i] for i in used.tolist()], w)
+        step = max(1, (1 << 22) // w)
+        for at in range(0, len(a), step):
+            i, j = a[at:at + step], b[at:at + step]
+            apart = np.bitwise_count(bits[np.searchsorted(used, i)] ^ bits[np.searchsorted(used, j)]).sum(axis=1, dtype=np.int64)
+            out[meeting[i[apart <= largest_difference(sizes[i] + sizes[j], percent)]]] = True
+    return out
+
+
 def proposals(table: pa.Table, percent: int, most: int) -> list[tuple[int, int]]:
     """Pairs of one meeting that the sketches allow: of each asking class and foreign component the ``most`` closest.
 
-    With one proposal the two components count as joined for the rest of the meeting.
+    ``asks`` is 0 for a class that answers, 1 for one that asks, 2 for both. With one proposal the two components count as joined for the rest of the meeting.
     """
     ids, names, asks, sizes = (table.column(c).to_numpy() for c in ("doc_id", "component", "asks", "n_shingles"))
     names = names.copy()
     sketches = table.column("sketch").to_pylist()
     bits = folded(sketches, min(map(len, sketches)))
     refuted = table.column("refuted").to_pylist()
-    targets, out = np.flatnonzero(asks == 0), []
-    for i in np.flatnonzero(asks == 1).tolist():
+    targets, out = np.flatnonzero(asks != 1), []
+    for i in np.flatnonzero(asks > 0).tolist():
         others = targets[names[targets] != names[i]]
         others = others[100 * np.minimum(sizes[others], sizes[i]) >= percent * np.maximum(sizes[others], sizes[i])]
         if refuted[i]:
@@ -236,44 +283,67 @@ def proposals(table: pa.Table, percent: int, most: int) -> list[tuple[int, int]]
     return out
 
 
-def meetings(members: DataFrame, refuted: DataFrame, percent: int, most: int) -> DataFrame:
-    """Proposed pairs ``a, b`` of ``members`` (``doc_id, family, component, n_shingles, sketch``); ``refuted`` pairs are left out.
+def meetings(members: DataFrame, sketches: DataFrame, refuted: DataFrame, percent: int, most: int) -> DataFrame:
+    """Proposed pairs ``a, b`` of ``members`` (``family, whole, doc_id, component, n_shingles``); ``refuted`` pairs are left out.
 
-    Members of a family meet by scheme, so that only sizes that can link do. Those outside the largest component
-    of a meeting ask, all members answer, both in blocks that spread over tasks.
+    Members of a whole family meet by scheme, so that only sizes that can link do; in a star they do anyway. Those
+    outside the largest component of a meeting ask, all members answer, both in blocks that spread over tasks.
     """
     spark = members.sparkSession
     ship_package(spark)
     bands = np.asarray(Schemes.of(percent, 1 << 40).high).tolist()
     band = F.aggregate(F.array(*[F.lit(h) for h in bands]), F.lit(0), lambda n, h: n + (F.col("n_shingles") > h).cast("int"))
-    dealt = members.withColumn("band", band).withColumn("scheme", F.explode(F.array("band", F.col("band") - 1))).where("scheme >= 0")
+    schemes = F.when(F.col("whole"), F.array("band", F.col("band") - 1)).otherwise(F.array(F.lit(-1)))
+    dealt = members.withColumn("band", band).withColumn("scheme", F.explode(schemes)).where("scheme >= 0 or not whole")
     parts = dealt.groupBy("family", "scheme", "component").agg(F.count("*").alias("n"))
     sums = parts.groupBy("family", "scheme").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("large")).where("k > 1")
     blocks = lambda n: F.ceil(F.greatest(n / BLOCK, F.lit(1.0))).cast("long")
     sums = sums.select("family", "scheme", F.col("large.component").alias("large"), blocks(F.col("n")).alias("answer_blocks"),
                        blocks(F.col("n") - F.col("large.n")).alias("ask_blocks"))
     met = dealt.join(sums, ["family", "scheme"]).withColumn("h", F.xxhash64("doc_id"))
-    known = refuted.select(F.col("a").alias("doc_id"), F.col("b").alias("other")).unionAll(refuted.select("b", "a"))
-    met = met.join(known.groupBy("doc_id").agg(F.collect_list("other").alias("refuted")), "doc_id", "left")
     everywhere = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    columns = ["family", "scheme", "doc_id", "component", "n_shingles", "sketch"]
-    asking = met.where("component <> large").select(
-        *columns, "refuted", F.pmod("h", "ask_blocks").alias("q"), everywhere("answer_blocks").alias("t"), F.lit(1).alias("asks"))
-    answering = met.select(*columns, F.lit(None).cast("array<bigint>").alias("refuted"),
-                           everywhere("ask_blocks").alias("q"), F.pmod("h", "answer_blocks").alias("t"), F.lit(0).alias("asks"))
+    columns = ["family", "scheme", "doc_id", "component", "n_shingles"]
+    one_block = F.col("answer_blocks") == 1
+    # In a meeting of one block a class is one row, whether it asks or not.
+    at_once = met.where(one_block).select(
+        *columns, F.lit(0).cast("long").alias("q"), F.lit(0).cast("long").alias("t"), F.when(F.col("component") != F.col("large"), 2).otherwise(0).alias("asks"))
+    asking = met.where(~one_block & (F.col("component") != F.col("large"))).select(
+        *columns, F.pmod("h", "ask_blocks").alias("q"), everywhere("answer_blocks").alias("t"), F.lit(1).alias("asks"))
+    answering = met.where(~one_block).select(*columns, everywhere("ask_blocks").alias("q"), F.pmod("h", "answer_blocks").alias("t"), F.lit(0).alias("asks"))
     keys = ["family", "scheme", "q", "t"]
-    together = asking.unionAll(answering).select(*keys, "doc_id", "component", "n_shingles", "sketch", "refuted", "asks")
+    known = refuted.select(F.col("a").alias("doc_id"), F.col("b").alias("other")).unionAll(refuted.select("b", "a"))
+    together = at_once.unionAll(asking).unionAll(answering).join(sketches, ["doc_id", "n_shingles"]).join(
+        known.groupBy("doc_id").agg(F.collect_list("other").alias("refuted")), "doc_id", "left")
+    together = together.select(*keys, "doc_id", "component", "n_shingles", "sketch", "refuted", "asks")
     # Salted by the blocks, so that a large family spreads; no block has more than about BLOCK classes of either kind.
     together = together.repartition(partitions(spark), *keys).sortWithinPartitions(*keys)
 
     def task(batches):
-        for table in grouped(batches, keys):
-            if pairs := proposals(table, percent, most):
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs)], names=["a", "b"])
+        for table, bounds in whole_groups(batches, keys):
+            for k in np.flatnonzero(promising(table, bounds, percent)).tolist():
+                if pairs := proposals(table.slice(int(bounds[k]), int(bounds[k + 1] - bounds[k])), percent, most):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs)], names=["a", "b"])
 
     return together.mapInArrow(task, "a long, b long").distinct()
 
 
+def gathered(stars: DataFrame, scratch: Scratch) -> DataFrame:
+    """``family, whole, doc_id``: who meets, of distinct ``first, doc_id``.
+
+    Stars that share classes meet as a whole where that is no more pairs than in all of them by themselves.
+    """
+    names = components(stars.select(F.col("doc_id").alias("a"), F.col("first").alias("b")), scratch, "families")
+    names = names.select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
+    pairs = F.pow(F.count("*").cast("double"), F.lit(2))
+    apart = stars.groupBy("first").agg(pairs.alias("pairs")).join(names.withColumnRenamed("doc_id", "first"), "first").groupBy("family").agg(
+        F.sum("pairs").alias("apart"))
+    whole = names.groupBy("family").agg(pairs.alias("pairs")).join(apart, "family").where("pairs <= apart").select("family")
+    whole = scratch.table(names.join(whole, "family").select("family", F.lit(True).alias("whole"), "doc_id"), "whole")
+    # All classes of a star are of one family.
+    rest = stars.join(whole.select(F.col("doc_id").alias("first")), "first", "left_anti")
+    return whole.unionAll(rest.select(F.col("first").alias("family"), F.lit(False).alias("whole"), "doc_id"))
+
+
 def join_similar(docs: DataFrame, shingle: int = 3, percent: int = 90) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs`` (``doc_id, text``).
 
@@ -314,21 +384,23 @@ def join_similar(docs: DataFrame, shingle: int = 3, percent: int = 90) -> DataFr
         "component", F.coalesce("component", "doc_id"))
     open_ = component(inner.select("piece", "doc_id"), names).groupBy("piece").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.min("doc_id").alias("first")).where("low <> high")
-    meeting = scratch.table(inner.select("piece", "doc_id").join(open_.select("piece", "first"), "piece").select("doc_id", "first").distinct(), "open")
-    families = components(meeting.select(F.col("doc_id").alias("a"), F.col("first").alias("b")), scratch, "families")
-    families = scratch.table(families.select(F.col("node").alias("doc_id"), F.col("component").alias("family")).join(standing, "doc_id"), "family-members")
-    scratch.drop("shared", "inner", "open", "standing", "allowed")
+    stars = scratch.table(inner.select("piece", "doc_id").join(open_.select("piece", "first"), "piece").select("doc_id", "first").distinct(), "open")
+    families = scratch.table(gathered(stars, scratch).join(standing.select("doc_id", "n_shingles").distinct(), "doc_id"), "family-members")
+    sketches = scratch.table(standing.join(stars.select("doc_id").distinct(), "doc_id", "left_semi"), "sketches")
+    scratch.drop("shared", "inner", "open", "whole", "standing", "allowed")
     refuted, most, round_ = spark.createDataFrame([], "a long, b long"), 1, 0
     while not families.isEmpty():
         round_ += 1
-        asked = scratch.table(meetings(component(families, names), refuted, percent, most), f"asked-{round_}")
+        asked = scratch.table(meetings(component(families, names), sketches, refuted, percent, most), f"asked-{round_}")
         if asked.isEmpty():
             break
         denied = scratch.table(asked.join(pairs_found(asked), ["a", "b"], "left_anti"), f"denied-{round_}")
         names = components(reduce(DataFrame.unionAll, found_links), scratch, f"names-{round_}")
         refuted = refuted.unionAll(denied)
-        again = families.join(denied.select(F.explode(F.array("a", "b")).alias("doc_id")), "doc_id").select("family").distinct()
-        families = scratch.table(families.join(again, "family", "left_semi"), f"again-{round_}")
+        # A meeting that made a proposal has both its classes.
+        one, other = (families.select("family", "whole", F.col("doc_id").alias(c)) for c in "ab")
+        again = denied.join(one, "a").join(other, ["family", "whole", "b"]).select("family", "whole").distinct()
+        families = scratch.table(families.join(again, ["family", "whole"], "left_semi"), f"again-{round_}")
         most *= MORE
     named = component(classes, names).select("f", "g", "n_shingles", "component")
     return slim.join(named, ["f", "g", "n_shingles"], "left").select(

@@ -113,3 +113,40 @@ def test_refuted_proposals_meet_again(spark, prose, monkeypatch):
 
 def test_no_rows(spark, no_docs):
     assert jj.join_similar(no_docs).count() == 0
+
+
+def test_pieces_shared_by_chance_tie_no_family(spark, prose, monkeypatch):
+    # Two phrases a text: each phrase is in some twenty texts, and over them nearly all texts hang together.
+    rng = random.Random(11)
+    phrases = [prose(2000 + k, 8) for k in range(60)]
+    rows = [(i, " ".join(rng.sample(phrases, 2))) for i in range(600)]
+    rows += [(1000 + i, rows[i][1] + " " + rows[i][1].split()[0]) for i in range(0, 600, 9)]
+    met, meetings = [], jj.meetings
+
+    def counted(members, *more):
+        sizes = members.groupBy([c for c in ("family", "whole") if c in members.columns]).count().collect()
+        met.append(sum(r["count"] ** 2 for r in sizes))
+        return meetings(members, *more)
+
+    monkeypatch.setattr(jj, "meetings", counted)
+    got = jj.join_similar(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == plain_classes(rows, 3, 90)
+    assert 0 < met[0] < 20_000
+
+
+def test_meetings_passed_over_propose_nothing(prose):
+    rng = random.Random(12)
+    texts = []
+    for _ in range(30):
+        base = prose(rng.randrange(10**6), rng.choice([12, 30, 90]))
+        texts += [edited(base, rng, rng.randrange(0, 4)) if rng.random() < 0.5 else prose(rng.randrange(10**6), 30) for _ in range(rng.randrange(2, 6))]
+    n = len(texts)
+    owner, values, _ = sets_of(texts, 3)
+    counts = np.bincount(owner, minlength=n)
+    sketch = jj.parity_bits(owner, values, np.full(n, 8) + (counts > 40))
+    table = pa.table({"doc_id": np.arange(n), "component": np.arange(n) - np.arange(n) % 2, "n_shingles": counts, "sketch": pa.array(sketch, pa.binary()),
+                      "refuted": pa.array([None] * n, pa.list_(pa.int64())), "asks": np.array([rng.choice([0, 2]) for _ in range(n)])})
+    bounds = np.unique([0, n, *(rng.randrange(n) for _ in range(25))])
+    said = jj.promising(table, bounds, 90)
+    found = [bool(jj.proposals(table.slice(int(a), int(b - a)), 90, 1)) for a, b in zip(bounds[:-1], bounds[1:])]
+    assert all(x >= y for x, y in zip(said, found)) and any(found) and not all(said)
